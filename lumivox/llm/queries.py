@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lumivox.llm import near_dedup, pieces, sharding, token_files
+from lumivox.llm import near_dedup, pieces, quality, sharding, substring_dedup, token_files
 
 QUERIES = {
     f.__name__: f
     for f in (
+        substring_dedup.op1_substring_dedup,
+        quality.op2_quality,
         pieces.op3_token_counts,
         sharding.op4_jump_shards,
         token_files.op7_orc_tokens,
@@ -14,5 +16,5 @@ QUERIES = {
         near_dedup.op10_simhash_near_dedup,
     )
 }
-#: None of these is expressible in SQL; tests/llm holds each against brute force or its library.
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL can't express a query, tests/llm hold it against brute force, its library or held-out labels.
+ORACLE_SQL = {"op1_substring_dedup": substring_dedup.ORACLE_SQL}
