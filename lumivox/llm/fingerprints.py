@@ -44,3 +44,31 @@ def majority_bits(hashes: np.ndarray) -> int:
 def fingerprint(text: str | None, width: int = 3) -> int:
     """SimHash of a text as an unsigned number; 0 for a text without words."""
     return majority_bits(shingle_hashes(text, width))
+
+
+#: Fixed value: one bit in each byte of a 64-bit number.
+LANES = np.uint64(0x0101010101010101)
+
+
+def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each group of consecutive hashes the number whose bits are set in over half of them.
+
+    Eight bits are summed at a time, one per byte, over runs of at most 255 hashes.
+    Empty groups give 0.
+    """
+    out = np.zeros(len(counts), np.uint64)
+    full = np.flatnonzero(counts)
+    if not len(full):
+        return out
+    runs = -(-counts[full] // 255)
+    group = np.repeat(np.arange(len(full)), runs)
+    nth = np.arange(len(group)) - (np.cumsum(runs) - runs)[group]
+    starts = (np.cumsum(counts) - counts)[full][group] + 255 * nth
+    sums = np.empty((len(group), 8, 8), np.uint8)
+    for bit in range(8):
+        lanes = (hashes >> np.uint64(bit)) & LANES
+        sums[:, :, bit] = np.add.reduceat(lanes, starts).view(np.uint8).reshape(-1, 8)
+    totals = np.add.reduceat(sums.reshape(-1, 64).astype(np.int64), np.cumsum(runs) - runs, axis=0)
+    bits = 2 * totals > counts[full][:, None]
+    out[full] = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
