@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumivox.llm import decontaminate, line_dedup, near_dedup, pieces, quality, sharding, substring_dedup, token_files
+from lumivox.llm import decontaminate, line_dedup, near_dedup, neighbours, pieces, quality, sharding, substring_dedup, token_files
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         quality.op2_quality,
         pieces.op3_token_counts,
         sharding.op4_jump_shards,
+        neighbours.op5_projected_neighbours,
         line_dedup.op6_line_dedup,
         token_files.op7_orc_tokens,
         decontaminate.op8_decontamination,
