@@ -3,9 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumivox.llm import near_dedup, pieces
-from lumivox.llm.common import cut, table
+from lumivox.llm import decontaminate, line_dedup, near_dedup, pieces, quality
+from lumivox.llm.common import table, written
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of nearly equal lines one stays; n_chars follows the text."""
+    left = line_dedup.without_repeated_lines(docs)
+    kind = dict(docs.dtypes).get("n_chars")
+    return left.withColumn("n_chars", F.length("text").cast(kind)) if kind else left
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,13 +26,21 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return near_dedup.one_of_each(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a segment of a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document that is left, and what they decode to."""
     return pieces.encode_and_decode(docs, pieces.model_bytes(), keep=True)
 
 
 STAGES = [
+    ("quality_classifier", quality_filter),
+    ("line_dedup", line_dedup_stage),
     ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
     ("sentencepiece", sentencepiece),
 ]
 #: No stage is expressible in SQL; tests/llm holds the pipeline against brute force.
@@ -27,9 +48,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each returns is written before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at + 1 < len(STAGES):
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,6 +36,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder and read again: wide rows stay compressed."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def filtered(docs: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """Rows of documents, with all their columns, that ``keep`` marks; it sees parts of a few MB of text.
+
+    Each row is judged by itself, so nothing is shuffled. Other columns pass by,
+    whatever their names.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(keep(part), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """The two columns that operators read; others, whatever their names, stay out."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))

@@ -9,13 +9,14 @@ overlapping bands of diagonals; only bands that reach that number are aligned.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumivox.llm.common import id_and_text, slices, table
+from lumivox.llm.common import filtered, id_and_text, slices, table
 from lumivox.llm.edit import banded_find
 
 #: Bytes of a q-gram: they are read as one 64-bit number.
@@ -135,9 +136,27 @@ class Index:
         return [(item, len(own), min(x[1] for x in own.values()), max(x[2] for x in own.values()), min(x[0] for x in own.values())) for item, own in sorted(found.items())]
 
 
-def search(docs: DataFrame, items: list[tuple[int, str | None]]) -> DataFrame:
+def matches_of(index: Index, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int, int, int, int]]]]:
+    """(number of the text, its matches) of the texts that have any."""
+    forms = [normal(x) for x in texts]
+    # line feeds part the texts: no normal text has any, so no q-gram of a segment lies across
+    ends = np.cumsum([len(x) + 1 for x in forms])
+    owner, place, at = index.hits(b"\n".join(forms) + b"\n")
+    crowded = index.crowded(owner, place, at)
+    owner, place, at = owner[crowded], place[crowded], at[crowded]
+    if not len(at):
+        return
+    cuts = np.searchsorted(np.searchsorted(ends, at, side="right"), np.arange(len(forms) + 1))
+    # a document with fewer hits than the easiest segment needs can't match
+    for d in np.flatnonzero(np.diff(cuts) >= index.needed.min()).tolist():
+        own = slice(cuts[d], cuts[d + 1])
+        begin = int(ends[d]) - len(forms[d]) - 1
+        if found := index.matches(forms[d], (owner[own], place[own], at[own] - begin)):
+            yield d, found
+
+
+def search(docs: DataFrame, index: Index) -> DataFrame:
     """Matches of one block of items with all documents."""
-    index = Index(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "item_id", "n_segments", "first_byte", "last_byte", "least_edits"]
@@ -145,26 +164,24 @@ def search(docs: DataFrame, items: list[tuple[int, str | None]]) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 ids = part.column("doc_id").to_pylist()
-                texts = [normal(x) for x in part.column("text").to_pylist()]
-                # line feeds part the texts: no normal text has any, so no q-gram of a segment lies across
-                ends = np.cumsum([len(x) + 1 for x in texts])
-                owner, place, at = index.hits(b"\n".join(texts) + b"\n")
-                crowded = index.crowded(owner, place, at)
-                owner, place, at = owner[crowded], place[crowded], at[crowded]
-                doc = np.searchsorted(ends, at, side="right")
-                rows = []
-                cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-                # a document with fewer hits than the easiest segment needs can't match
-                for d in np.flatnonzero(np.diff(cuts) >= index.needed.min()).tolist() if len(at) else []:
-                    own = slice(cuts[d], cuts[d + 1])
-                    begin = int(ends[d]) - len(texts[d]) - 1
-                    rows += [(ids[d], *m) for m in index.matches(texts[d], (owner[own], place[own], at[own] - begin))]
+                rows = [(ids[d], *m) for d, found in matches_of(index, part.column("text").to_pylist()) for m in found]
                 columns = list(zip(*rows)) if rows else [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     return docs.mapInArrow(run, FOUND)
 
 
+def indexes(benchmark: DataFrame, block_bytes: int) -> Iterator[Index]:
+    """An index for each block of items of about ``block_bytes``, by a hash of their ids."""
+    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text"))
+    items = items.where("item_id IS NOT NULL AND text IS NOT NULL")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    for b in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).dropDuplicates().collect()
+        yield Index(sorted((r.item_id, r.text) for r in rows))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document and benchmark item that it holds a segment of.
 
@@ -180,21 +197,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     Items are taken in blocks of about ``block_bytes`` by a hash of their ids. A
     block's index goes to every task; each block is one pass over the documents.
     """
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    base, found = id_and_text(docs), None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).dropDuplicates().collect()
-        part = search(base, sorted((r.item_id, r.text) for r in rows if r.item_id is not None))
-        found = found.unionByName(part) if found is not None else part
-    return found
+    base = id_and_text(docs)
+    return reduce(DataFrame.unionByName, [search(base, index) for index in indexes(benchmark, block_bytes)])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without a leak, with all their columns, by the same rules."""
 
+    def keep(index: Index, part: pa.RecordBatch) -> list[bool]:
+        leaky = {d for d, _ in matches_of(index, part.column("text").to_pylist())}
+        return [d not in leaky for d in range(part.num_rows)]
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak, with all their columns; null ids stay."""
-    found = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    for index in indexes(benchmark, block_bytes):
+        docs = filtered(docs, partial(keep, index))
+    return docs
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

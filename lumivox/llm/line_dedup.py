@@ -179,45 +179,62 @@ def kept_lines(docs: DataFrame, most_bits: int, least: float) -> DataFrame:
     return stay.groupBy("at.doc_id").agg(F.collect_list("at.line").alias("lines"))
 
 
-def strip(docs: DataFrame, keep_text: bool) -> DataFrame:
-    """Digest, or the text too, of documents whose lines with words stay as ``lines`` says."""
+def kept_of(doc_id: int | None, text: str | None, lines: list[int] | None) -> list[str]:
+    """The lines of a text that stay: those without words, and those in ``lines``."""
+    own, stay = (text or "").split("\n"), set(lines or ())
+    return own if doc_id is None else [x for n, (x, form) in enumerate(zip(own, normal_lines(text))) if n in stay or not form.strip()]
+
+
+def digested(docs: DataFrame) -> DataFrame:
+    """What is left of each text, in figures; ``lines`` has the numbers of the lines that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                total, gone, left = [], [], []
+                total, gone, shas = [], [], []
                 for doc_id, text, lines in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "lines"))):
-                    own, stay = (text or "").split("\n"), set(lines or ())
-                    kept = own if doc_id is None else [x for n, (x, form) in enumerate(zip(own, normal_lines(text))) if n in stay or not form.strip()]
-                    total.append(len(own) if text else 0)
-                    gone.append(len(own) - len(kept))
-                    left.append("\n".join(kept))
-                columns = [part.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in left], pa.string())]
-                names = ["doc_id", "n_lines", "n_removed", "kept_sha256"]
-                if keep_text:
-                    columns.append(pa.array(left, pa.string()))
-                    names.append("kept_text")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    n, kept = (text.count("\n") + 1 if text else 0), kept_of(doc_id, text, lines)
+                    total.append(n)
+                    gone.append(n - len(kept) if text else 0)
+                    shas.append(hashlib.sha256("\n".join(kept).encode()).hexdigest())
+                columns = [part.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_lines", "n_removed", "kept_sha256"])
+
+    return docs.mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
-    return docs.mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
 
+def judged(docs: DataFrame, most_bits: int, least: float, lines: str) -> DataFrame:
+    """The documents with one more column, named ``lines``: numbers of the lines that stay."""
+    kept = kept_lines(id_and_text(docs).where("doc_id IS NOT NULL"), most_bits, least).select(F.col("doc_id").alias(f"{lines} id"), F.col("lines").alias(lines))
+    return docs.join(kept, docs["doc_id"] == kept[f"{lines} id"], "left").drop(f"{lines} id")
 
-def dedup_lines(docs: DataFrame, most_bits: int = MOST_BITS, least: float = LEAST_SIMILARITY, keep_text: bool = False) -> DataFrame:
-    """Remove every line but the first of each group of equal or nearly equal lines.
+
+def dedup_lines(docs: DataFrame, most_bits: int = MOST_BITS, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """How every text looks without all lines but the first of each group of nearly equal lines.
 
     First is: in the document of the smallest doc_id, there the smallest line. Lines
     lie between line feeds. Their normal form has small letters a-z, 0 for digits and
     single spaces for other ASCII; lines without words always stay. Returns doc_id,
-    n_lines, n_removed, kept_sha256 (of the kept lines joined by line feeds), and with
-    ``keep_text`` kept_text. Null and empty texts have no lines; rows that repeat a
-    doc_id with its text count as one document and each return it; documents without
-    an id are returned whole.
+    n_lines, n_removed, kept_sha256 (of the kept lines joined by line feeds). Null and
+    empty texts have no lines; rows that repeat a doc_id with its text count as one
+    document and each return it; documents without an id are returned whole.
     """
-    base = id_and_text(docs)
-    known = base.where("doc_id IS NOT NULL")
-    judged = known.join(kept_lines(known, most_bits, least), "doc_id", "left")
-    rest = base.where("doc_id IS NULL").withColumn("lines", F.lit(None).cast("array<int>"))
-    return strip(judged.unionByName(rest), keep_text)
+    return digested(judged(id_and_text(docs), most_bits, least, "lines"))
+
+
+def without_repeated_lines(docs: DataFrame, most_bits: int = MOST_BITS, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """The documents with all their columns, their texts without those lines; null texts stay null."""
+    lines = "lines that stay"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                rows = zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", lines)))
+                texts = [None if text is None else "\n".join(kept_of(doc_id, text, stay)) for doc_id, text, stay in rows]
+                at, rest = part.schema.get_field_index("text"), part.drop_columns([lines])
+                yield rest.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+
+    return judged(docs, most_bits, least, lines).mapInArrow(run, docs.schema)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

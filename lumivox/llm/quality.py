@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumivox.llm.common import id_and_text, slices, table
+from lumivox.llm.common import filtered, id_and_text, slices, table
 
 THRESHOLD = 0.3
 FOLDS = 5
@@ -189,10 +189,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return score(docs, learn(docs, labels, sample))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents that are not rejected, with all their columns; null ids stay."""
-    rejected = classify(docs, labels, sample).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose score reaches the threshold, with all their columns."""
+    net = learn(docs, labels, sample)
+    return filtered(docs, lambda part: (net.scores([(x or "").encode() for x in part.column("text").to_pylist()]) >= threshold).tolist())
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
