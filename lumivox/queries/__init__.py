@@ -50,5 +50,5 @@ def query(sql: str | None = None, *ctes: str, name: str | None = None) -> Callab
     return register
 
 
-for _module in ("images", "volumes", "spectra", "detectors", "reconstruction", "matrices", "curves"):
+for _module in ("images", "volumes", "spectra", "detectors", "reconstruction", "matrices", "curves", "systems"):
     import_module(f"{__name__}.{_module}")
