@@ -39,11 +39,20 @@ def edit_distance(a: str | bytes, b: str | bytes) -> int:
     return distance
 
 
-def similar(a: str | bytes, b: str | bytes, least: float) -> bool:
-    """True if 1 - distance / longer length is at least ``least``."""
+def similar(a: bytes, b: bytes, least: float) -> bool:
+    """True if 1 - distance / longer length is at least ``least``.
+
+    Words set against each other in order bound the distance from above; often that
+    is enough.
+    """
     longer = max(len(a), len(b))
     most = int((1 - least) * longer + 1e-9)
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(b" "), b.split(b" ")
+    if len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y) if u != v) <= most:
+        return True
+    return edit_distance(a, b) <= most
 
 
 def banded_find(pattern: bytes, text: bytes, lowest: int, highest: int, most: int) -> tuple[int, int, int] | None:

@@ -91,45 +91,83 @@ def block_key(sims: np.ndarray, blocks: tuple[tuple[int, int], tuple[int, int]])
     return key
 
 
-def close_sims(sims: DataFrame, parts: int, most_bits: int = MOST_BITS) -> DataFrame:
-    """(a, b) as signed longs, a != b: all pairs of distinct fingerprints with few differing bits."""
-    if most_bits > len(BLOCKS) - 2:
-        raise ValueError("pairs of blocks find all pairs only up to 3 bits")
+def dealt(rows: DataFrame, columns: list[str], parts: int) -> DataFrame:
+    """(bucket, pack): every row's longs in one table per pair of blocks of its ``sim``, the first column."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column("sim").to_numpy().view(np.uint64)
+            values = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in columns], 1)
             buckets, packs = [], []
             for t, blocks in enumerate(TABLES):
-                part = block_key(values, blocks) % np.uint32(parts)
+                part = block_key(values[:, 0], blocks) % np.uint32(parts)
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(cuts)).tolist():
                     buckets.append(t * parts + p)
                     packs.append(values[order[cuts[p] : cuts[p + 1]]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(packs, pa.binary())], ["bucket", "sims"])
-
-    def meet(rows: pa.Table) -> pa.Table:
-        blocks = TABLES[rows.column("bucket")[0].as_py() // parts]
-        values = np.frombuffer(b"".join(x.as_py() for x in rows.column("sims")), np.uint64)
-        keys = block_key(values, blocks)
-        order = np.argsort(keys, kind="stable")
-        values, keys = values[order], keys[order]
-        low, high = [], []
-        left, step = np.arange(len(keys)), 0
-        while len(left):  # neighbours at growing distance, as long as they share the key
-            step += 1
-            left = left[left + step < len(keys)]
-            left = left[keys[left] == keys[left + step]]
-            a, b = values[left], values[left + step]
-            near = np.bitwise_count(a ^ b) <= most_bits
-            low.append(a[near])
-            high.append(b[near])
-        columns = [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (low, high)]
-        return pa.table([pa.array(c) for c in columns], ["a", "b"])
-
-    met = sims.mapInArrow(deal, "bucket int, sims binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(packs, pa.binary())], ["bucket", "pack"])
+
+    return rows.select(*columns).mapInArrow(run, "bucket int, pack binary")
+
+
+def met(rows: pa.Table, width: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket's rows in the order of their table's keys, and the keys."""
+    blocks = TABLES[rows.column("bucket")[0].as_py() // parts]
+    values = np.frombuffer(b"".join(x.as_py() for x in rows.column("pack")), np.uint64).reshape(-1, width)
+    keys = block_key(values[:, 0], blocks)
+    order = np.argsort(keys, kind="stable")
+    return values[order], keys[order]
+
+
+def neighbours(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places with equal keys in sorted order, at growing distance."""
+    left, step = np.arange(len(keys)), 0
+    while len(left):
+        step += 1
+        left = left[left + step < len(keys)]
+        left = left[keys[left] == keys[left + step]]
+        yield left, left + step
+
+
+def some_neighbours(sims: DataFrame, parts: int, most_bits: int) -> DataFrame:
+    """(a, b): for every distinct fingerprint and table the first close one on either side, if any.
+
+    At most two pairs a fingerprint and table, however large a group; whoever has a
+    close one at all appears.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        values, keys = met(rows, 1, parts)
+        values = values[:, 0]
+        later, earlier = np.zeros(len(values), bool), np.zeros(len(values), bool)
+        low, high = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        for left, right in neighbours(keys):
+            near = np.bitwise_count(values[left] ^ values[right]) <= most_bits
+            left, right = left[near], right[near]
+            new = ~later[left] | ~earlier[right]
+            later[left] = earlier[right] = True
+            low.append(values[left[new]])
+            high.append(values[right[new]])
+        return pa.table([pa.array(np.concatenate(x).view(np.int64)) for x in (low, high)], ["a", "b"])
+
+    found = dealt(sims, ["sim"], parts).groupBy("bucket").applyInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def pairs_across(lines: DataFrame, parts: int, most_bits: int) -> DataFrame:
+    """(a, b): keys of all lines (sim, key, root) with close fingerprints and different roots."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        values, keys = met(rows, 3, parts)
+        low, high = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        for left, right in neighbours(keys):
+            near = (values[left, 2] != values[right, 2]) & (np.bitwise_count(values[left, 0] ^ values[right, 0]) <= most_bits)
+            low.append(values[left[near], 1])
+            high.append(values[right[near], 1])
+        return pa.table([pa.array(np.concatenate(x).view(np.int64)) for x in (low, high)], ["a", "b"])
+
+    found = dealt(lines, ["sim", "key", "root"], parts).groupBy("bucket").applyInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def normal_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -159,21 +197,48 @@ def verified(pairs: DataFrame, forms: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def linked(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """The pairs of keys that are similar enough, by the texts of their first occurrences."""
+    pairs = cut(pairs)
+    if pairs.isEmpty():
+        return pairs
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    places = cut(distinct.join(nodes, "key").select("key", "at.doc_id", "at.line"))
+    return cut(verified(pairs, normal_texts(docs, places), least))
+
+
+def groups_of(distinct: DataFrame, docs: DataFrame, most_bits: int, least: float) -> DataFrame:
+    """(key, root) of the lines that are linked with any other.
+
+    A large group has far more links than its connection needs, so links are sought
+    twice. First every fingerprint meets the nearest in its tables only, and lines of
+    equal fingerprints one of them; that joins most groups. Then all pairs are looked
+    at, but only lines of different groups are sent to be verified: no link is lost,
+    and no group sends all its pairs.
+    """
+    if most_bits > len(BLOCKS) - 2:
+        raise ValueError("pairs of blocks find all pairs only up to 3 bits")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heads = distinct.groupBy("sim").agg(F.min("key").alias("head"), F.count("*").alias("n"))
+    near = cut(some_neighbours(heads.select("sim"), parts, most_bits))
+    head = lambda x: heads.select(F.col("sim").alias(x), F.col("head").alias(f"key_{x}"))
+    apart = near.join(head("a"), "a").join(head("b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    crowd = distinct.join(heads.where("n > 1"), "sim").where("key != head")
+    first = linked(apart.unionByName(crowd.select(F.col("head").alias("a"), F.col("key").alias("b"))), distinct, docs, least)
+    roots = components(first, "a", "b").withColumnRenamed("node", "key")
+    sims = near.select(F.explode(F.array("a", "b")).alias("sim")).unionByName(heads.where("n > 1").select("sim")).distinct()
+    lines = distinct.join(sims, "sim").join(roots, "key", "left").select("sim", "key", F.coalesce("root", "key").alias("root"))
+    lines = cut(lines)
+    same = lines.select("sim", F.col("key").alias("a"), F.col("root").alias("ra")).join(lines.select("sim", F.col("key").alias("b"), F.col("root").alias("rb")), "sim").where("a < b AND ra != rb")
+    rest = linked(pairs_across(lines, parts, most_bits).unionByName(same.select("a", "b")).distinct(), distinct, docs, least)
+    return components(first.unionByName(rest), "a", "b").withColumnRenamed("node", "key")
+
+
 def kept_lines(docs: DataFrame, most_bits: int, least: float) -> DataFrame:
     """(doc_id, lines): the numbers of the lines with words that stay in each document."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = F.min(F.struct("doc_id", "line"))
     distinct = cut(lines_of(docs).groupBy("key").agg(F.first("sim").alias("sim"), first.alias("at")))
-    near = close_sims(distinct.select("sim").distinct(), parts, most_bits)
-    side = lambda x: distinct.select(F.col("sim").alias(x), F.col("key").alias(f"key_{x}"))
-    apart = near.join(side("a"), "a").join(side("b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    same = distinct.select("sim", F.col("key").alias("a")).join(distinct.select("sim", F.col("key").alias("b")), "sim").where("a < b").select("a", "b")
-    pairs = cut(apart.unionByName(same))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    places = cut(distinct.join(nodes, "key").select("key", "at.doc_id", "at.line"))
-    roots = components(verified(pairs, normal_texts(docs, places), least), "a", "b")
-    members = distinct.join(roots.withColumnRenamed("node", "key"), "key").select("key", "root", "at")
+    members = distinct.join(groups_of(distinct, docs, most_bits, least), "key").select("key", "root", "at")
     later = members.join(members.groupBy("root").agg(F.min("at").alias("best")), "root").where("at != best").select("key")
     stay = distinct.join(later, "key", "left_anti")
     return stay.groupBy("at.doc_id").agg(F.collect_list("at.line").alias("lines"))
