@@ -70,10 +70,11 @@ def clip_sql() -> str:
     )
 
 
-@query(clip_sql() + "SELECT lor_id, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in ENDS) + " FROM clipped")
+@query(clip_sql() + "SELECT lor_id, " + ", ".join(f"round({c} + 1e-8, 5) + 0.0 AS {c}" for c in ENDS) + " FROM clipped")
 def raycast_clip(spark, sf_dir):
     found = sc.clip(sc.positions(g.detector_events(spark, sf_dir), sc.RING_22), 55, 141, 45)
-    return found.select("lor_id", *(g.rounded(c, 5).alias(c) for c in ENDS))
+    # ends have nine digits; a hair more keeps them from halfway between two of five digits
+    return found.select("lor_id", *(g.rounded(F.col(c) + 1e-8, 5).alias(c) for c in ENDS))
 
 
 @query(clip_sql() + "SELECT lor_id, " + ", ".join(f"CAST(floor({c}) AS INTEGER) AS {c}" for c in ENDS) + " FROM clipped")
