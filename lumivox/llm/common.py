@@ -59,8 +59,14 @@ def filtered(docs: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]]) -> D
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
-    """The two columns that operators read; others, whatever their names, stay out."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    """The two columns that operators read; others, whatever their names, stay out.
+
+    Columns of the right type are taken as they are: an alias would keep Spark from
+    seeing that two joins need the same exchange.
+    """
+    kinds = dict(docs.dtypes)
+    wanted = {"doc_id": "bigint", "text": "string"}
+    return docs.select(*(docs[c] if kinds[c] == kind else docs[c].cast(kind).alias(c) for c, kind in wanted.items()))
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
