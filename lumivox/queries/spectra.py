@@ -164,3 +164,25 @@ def filter_profil(spark, sf_dir):
     """Profile of a spectrum from its centre along x."""
     line = f.power(spectrum(spark, sf_dir), 64).where("ky = 4 AND kx >= 4")
     return line.select("image_id", (F.col("kx") - 4).alias("i"), ((F.col("kx") - 4) / 8).alias("freq"), g.rounded("v").alias("v"))
+
+
+@query(VDFT + SHELLS.replace("FROM voxel", "FROM spec").replace("(z - 4) * (z - 4) + (y - 4) * (y - 4) + (x - 4) * (x - 4)", "(kz - 4) * (kz - 4) + (ky - 4) * (ky - 4) + (kx - 4) * (kx - 4)").replace("SELECT volume_id, v, sqrt", "SELECT CAST(volume_id AS BIGINT) AS volume_id, (re * re + im * im) / 512 AS v, sqrt", 1), "voxel")
+def volume_raps(spark, sf_dir):
+    return s.radial_average(f.power(cube(spark, sf_dir), 512), "volume_id", ("kz", "ky", "kx"), 8).withColumn("val", g.rounded("val"))
+
+
+def volume_filter(name: str, transfer, sql: str):
+    radius = "sqrt((kz - 4) * (kz - 4) + (ky - 4) * (ky - 4) + (kx - 4) * (kx - 4))"
+    back = (
+        VDFT + f", h AS (SELECT volume_id, kz, ky, kx, re * h AS re, im * h AS im FROM (SELECT *, {sql} AS h FROM (SELECT *, {radius} / 8 AS f FROM spec))) "
+        "SELECT CAST(volume_id AS BIGINT) AS volume_id, CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(sqrt(pow(sum(re * cos(a) - im * sin(a)) / 512, 2) + pow(sum(re * sin(a) + im * cos(a)) / 512, 2)), 6) + 0.0 AS v "
+        "FROM (SELECT h.*, z, y, x, 2 * pi() * ((kz - 4) * z + (ky - 4) * y + (kx - 4) * x) / 8 AS a FROM h, range(8) o(z), range(8) q(y), range(8) p(x)) GROUP BY volume_id, z, y, x"
+    )
+
+    @query(back, "voxel", name=f"filter_3d_{name}")
+    def apply(spark, sf_dir):
+        return f.filtered(g.voxels(spark, sf_dir), "volume_id", ZYX, 8, transfer).withColumn("v", g.rounded("v"))
+
+
+for _name in ("gaussian", "metz", "butterworth_lp", "tanh_lp"):
+    volume_filter(_name, *TRANSFERS[_name])

@@ -217,3 +217,55 @@ def warp_nearest(spark, sf_dir):
     """Backward warp by an integer linear map, nearest sample below."""
     target = g.grid(spark, y2=8, x2=8).select("y2", "x2", F.expr("CAST((3 * y2 + x2) DIV 4 AS INT)").alias("y"), F.expr("CAST((3 * x2 + y2) DIV 4 AS INT)").alias("x"))
     return g.pixels(spark, sf_dir).join(F.broadcast(target), ["y", "x"]).select("image_id", F.col("y2").alias("y"), F.col("x2").alias("x"), "v")
+
+
+def bresenham(axes: str):
+    """Rows (lor_id, place per axis) of integer lines: steps of the longest axis, the others to the nearest cell."""
+    cells = ", ".join(f"CAST({a}1 + sign({a}2 - {a}1) * floor((2 * n * abs({a}2 - {a}1) + far) / (2 * far)) AS INTEGER) AS {a}" for a in axes)
+    far = "greatest(" + ", ".join(f"abs({a}2 - {a}1)" for a in axes) + ")"
+
+    @query(f", s AS (SELECT *, {far} AS far, unnest(range(0, {far} + 1)) AS n FROM lor WHERE {far} > 0) SELECT {', '.join(axes)}, count(*) AS n FROM (SELECT {cells} FROM s) GROUP BY ALL", "lor", name=f"lines_bresenham_{len(axes)}d")
+    def run(spark, sf_dir):
+        lines = g.lors(spark, sf_dir).withColumn("far", F.expr(far)).where("far > 0").withColumn("n", F.explode(F.sequence(F.lit(0), F.col("far"))))
+        place = lambda a: F.expr(f"CAST({a}1 + sign({a}2 - {a}1) * ((2 * n * abs({a}2 - {a}1) + far) DIV (2 * far)) AS INT)").alias(a)
+        return lines.select(*map(place, axes)).groupBy(*axes).agg(F.count("*").alias("n"))
+
+
+bresenham("yx")
+bresenham("zyx")
+
+#: A uniform number of each pixel, from its place alone.
+SEED = "((image_id * 64 + y * 8 + x) * 1103515245 + 12345) % 2147483648"
+
+
+def noisy(name: str, sql: str, change):
+    @query(f"SELECT image_id, y, x, round(v + {sql}, 6) + 0.0 AS v FROM (SELECT *, ({SEED} + 1) / 2147483649.0::DOUBLE AS u, (({SEED}) * 48271 % 2147483647) / 2147483647.0::DOUBLE AS w FROM pixel)", "pixel", name=name)
+    def run(spark, sf_dir):
+        seed = SEED.replace("1103515245", "1103515245L").replace("12345)", "12345L)")
+        p = g.pixels(spark, sf_dir).withColumn("u", F.expr(f"({seed} + 1) / 2147483649.0D")).withColumn("w", F.expr(f"(({seed}) * 48271L % 2147483647L) / 2147483647.0D"))
+        return p.select("image_id", "y", "x", g.rounded(F.col("v") + change(F.col("u"), F.col("w"))).alias("v"))
+
+
+noisy("image_noise_gauss", "0.1 * sqrt(-2 * ln(u)) * cos(2 * pi() * w)", lambda u, w: 0.1 * F.sqrt(-2 * F.log(u)) * F.cos(2 * 3.141592653589793 * w))
+noisy("image_noise_exponential", "-0.1 * ln(u)", lambda u, w: -0.1 * F.log(u))
+
+
+@query(
+    ", h AS (SELECT image_id, y, x, v, CAST(greatest(0, least(9, floor(round((v - lo) / (hi - lo) * 10, 9)))) AS INTEGER) AS bin FROM (SELECT *, min(v) OVER p AS lo, max(v) OVER p AS hi FROM pixel WINDOW p AS (PARTITION BY image_id))) SELECT image_id, bin, count(*) AS n, round(avg(v), 6) + 0.0 AS mean FROM h GROUP BY ALL",
+    "pixel",
+)
+def image_hist(spark, sf_dir):
+    """Ten equal bins between each image's least and largest value, the last closed upward."""
+    scaled = s.min_max(g.pixels(spark, sf_dir), "image_id").withColumn("bin", F.least(F.lit(9), F.floor(F.round(F.col("v") * 10, 9))).cast("int"))
+    both = scaled.select("image_id", "y", "x", "bin").join(g.pixels(spark, sf_dir), ["image_id", "y", "x"])
+    return both.groupBy("image_id", "bin").agg(F.count("*").alias("n"), g.rounded(F.avg("v")).alias("mean"))
+
+
+@query(
+    ", r AS (SELECT lor_id, ray.vox, row_number() OVER (PARTITION BY lor_id ORDER BY vox) AS n, count(*) OVER (PARTITION BY lor_id) AS c FROM ray JOIN (SELECT CAST(i AS INTEGER) AS vox FROM range(8192) t(i)) im USING (vox) WHERE vox % 3 = 0) SELECT lor_id, min(vox) AS vox, CAST(max(c) AS BIGINT) AS n FROM r GROUP BY lor_id",
+    "lor", "ray",
+)
+def first_hit(spark, sf_dir):
+    """For every line its lowest marked voxel and the number of marked ones it meets."""
+    marked = start(spark).where("vox % 3 = 0").select("vox")
+    return sc.samples_of(g.lors(spark, sf_dir), g.NX, g.NY).join(marked, "vox").groupBy("lor_id").agg(F.min("vox").alias("vox"), F.count("*").alias("n"))
