@@ -27,6 +27,8 @@ from lumivox.llm.common import id_and_text, slices, table
 WINDOW = 20
 #: Text bytes whose repeats are settled together before anything is sent.
 BATCH_BYTES = 8 << 20
+#: Buckets of hashes, at least; with more shuffle partitions as many as these.
+BUCKETS = 64
 #: Text bytes that are hashed at a time.
 HASH_BYTES = 1 << 20
 #: The bytes that part words.
@@ -314,7 +316,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = Fals
     spark = docs.sparkSession
     base = id_and_text(docs)
     known = base.where("doc_id IS NOT NULL")
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     gathered = lambda found: found.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges"))
     around = gathered(hits(probes(known, window, buckets), window))
     later = gathered(later_windows(candidate_windows(known.join(around, "doc_id"), window, buckets)))
