@@ -85,6 +85,16 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes), np.concatenate(counts)) if texts else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
+def planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: small numbers leave runs of zeros to compress."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def from_planes(data: bytes, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+
+
 class Batch:
     """Documents in ascending id order, as one sequence of word hashes."""
 
@@ -120,10 +130,12 @@ class Batch:
                 yield (b, 0, *self.by_doc(at[lo:hi]), hashes[lo:hi].tobytes())
 
     def by_doc(self, at: np.ndarray) -> tuple[bytes, bytes, bytes]:
-        docs, counts = np.unique(self.doc[at], return_counts=True)
-        places = self.place[at]
-        small = not len(places) or places.max() < 1 << 16
-        return self.ids[docs].tobytes(), counts.astype(np.uint32).tobytes(), places.astype(np.uint16 if small else np.uint32).tobytes()
+        """Documents, their numbers of entries, and the places as steps from one to the next."""
+        docs, first, counts = np.unique(self.doc[at], return_index=True, return_counts=True)
+        steps = np.diff(self.place[at], prepend=0)
+        steps[first] = self.place[at[first]]
+        small = steps.max(initial=0) < 1 << 16
+        return planes(self.ids[docs]), planes(counts.astype(np.uint32)), planes(steps.astype(np.uint16 if small else np.uint32))
 
     def ranges(self, at: np.ndarray, buckets: int) -> Iterator[tuple]:
         """One row per document: the window starts ``at`` as ranges, to be passed on as they are."""
@@ -186,12 +198,15 @@ def probes(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
 def unpacked(rows: pa.Table, width: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, place and hash of every entry of packed rows."""
-    ids, counts, places, hashes = ([x.as_py() for x in rows.column(c)] for c in ("ids", "counts", "places", "hashes"))
-    docs = [np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)) for i, c in zip(ids, counts)]
-    values = [np.frombuffer(h, width) for h in hashes]
-    at = [np.frombuffer(p, np.uint16 if len(p) == 2 * len(h) else np.uint32).astype(np.int32) for p, h in zip(places, values)]
-    empty = [np.empty(0, np.int64)]
-    return np.concatenate(docs or empty), np.concatenate(at or empty).astype(np.int32), np.concatenate(values or [np.empty(0, width)])
+    docs, places, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, width)]
+    for row in zip(*(rows.column(c).to_pylist() for c in ("ids", "counts", "places", "hashes"))):
+        ids, counts, values = from_planes(row[0], np.int64), from_planes(row[1], np.uint32).astype(np.int64), np.frombuffer(row[3], width)
+        steps = from_planes(row[2], np.uint16 if len(row[2]) == 2 * len(values) else np.uint32)
+        sums, first = np.cumsum(steps, dtype=np.int64), np.cumsum(counts) - counts
+        docs.append(np.repeat(ids, counts))
+        places.append((sums - np.repeat(sums[first] - steps[first], counts)).astype(np.int32))
+        hashes.append(values)
+    return np.concatenate(docs), np.concatenate(places), np.concatenate(hashes)
 
 
 def ranges_by_doc(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
