@@ -8,23 +8,33 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumivox.llm.common import id_and_text, shared_dir, slices, table
+from lumivox.llm.common import cut, id_and_text, shared_dir, slices, table
 
 MODEL = "byte_bpe_50k.json"
 END = 0
-#: A space before a printable ASCII or Latin letter always begins a new pre-token
-#: of the byte-level pattern, so what lies between such spaces is encoded alone.
-UNIT_START = re.compile(" (?=[!-~¡-ʯ])")
-REMEMBERED = 500_000
+#: A space before a printable ASCII or Latin letter always begins a new pre-token of
+#: the byte-level pattern, and a single line feed before one is a pre-token, so what
+#: lies between them is encoded alone.
+CLEAN = re.compile("\ue000?[!-~¡-ʯ]+")
+#: Any other space or line feed, one at the end, and the marks below.
+ODD = r" ([^!-~¡-ʯ]|$)|\n([^!-~¡-ʯ]|$)|\s\n|[\x{e000}\x{e001}]"
+#: Marks: of the key of a text's or line's first unit, and the key of the line feed.
+FIRST, LINE = "\ue000", "\ue001"
+#: Fixed value: the letter that stands for a space in byte-level vocabularies.
+SPACE = "Ġ"
+#: Units that a task remembers before it forgets those not met lately.
+REMEMBERED = 350_000
+#: Text bytes whose units are numbered together.
+SLICE_BYTES = 8 << 20
 #: Unknown units that are encoded in one call of the library.
 CALL = 1000
 ORC_OPTIONS = {
@@ -38,43 +48,100 @@ ORC_OPTIONS = {
 
 
 class Encoder:
-    """The tokenizers library, asked once for each distinct unit that a task meets."""
+    """The tokenizers library, asked once for each distinct unit that a task meets.
+
+    A unit's key is its text without the space in front, or for a text's or line's
+    first unit, which has none, ``FIRST`` and its text. Codes are ids as unsigned 16-bit integers.
+    Units are remembered in two generations: when the young one is full it becomes
+    the old one, and what is met again comes back.
+    """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_str(model)
+        vocabulary = self.library.get_vocab()
+        if len(vocabulary) > 1 << 16:
+            raise ValueError("ids of this vocabulary have more than 16 bits")
+        self.begins = np.zeros(1 << 16, bool)
+        self.begins[[i for token, i in vocabulary.items() if token[0] == SPACE]] = True
+        self.feeds = np.zeros(1 << 16, bool)
+        self.feeds[self.library.encode("\n", add_special_tokens=False).ids[0]] = True
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, np.ndarray] = {}
-
-    def learn(self, units: list[str]) -> None:
-        """Encode units, many in one text, and deal the ids out by their places.
-
-        Units without a space in front begin a text, so each is a group of its own.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint16) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, keys: list[str]) -> None:
+        """Encode units, many in one text: spaces, or else line feeds, begin only what a new unit begins."""
+        young, spaced, first, rest = self.young, [], [], []
+        for key in keys:
+            (rest if CLEAN.fullmatch(key) is None else first if key[0] == FIRST else spaced).append(key)
+        for many, text, begins in ((spaced, lambda g: " " + " ".join(g), self.begins), (first, lambda g: "\n" + "\n".join(k[1:] for k in g), self.feeds)):
+            groups = [many[at : at + CALL] for at in range(0, len(many), CALL)]
+            for group, ids in zip(groups, self.ids([text(g) for g in groups])):
+                cuts = np.flatnonzero(begins[ids]).tolist()
+                if len(cuts) != len(group):
+                    raise AssertionError("the ids of units can't be told apart")
+                skip, data = many is first, ids.tobytes()
+                young.update(zip(group, (data[2 * (a + skip) : 2 * b] for a, b in zip(cuts, [*cuts[1:], len(ids)]))))
+        texts = ["\n" if k == LINE else k[1:] if k[:1] == FIRST else f" {k}" for k in rest]
+        young.update(zip(rest, (x.tobytes() for x in self.ids(texts))))
+
+    def of_units(self, units: list[str]) -> list[bytes]:
+        """Codes of distinct units."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        codes = list(map(young.get, units))
+        unknown = []
+        for n in [n for n, c in enumerate(codes) if c is None]:
+            if (code := old.get(units[n])) is None:
+                unknown.append(n)
+            else:
+                codes[n] = young[units[n]] = code
+        self.learn([units[n] for n in unknown])
+        for n in unknown:
+            codes[n] = young[units[n]]
+        return codes
+
+    def encode(self, texts: pa.Array, end: int) -> pa.ListArray:
+        """Ids of every text, and ``end`` after them.
+
+        Texts whose spaces all begin a unit are parted, and their units numbered, by
+        Arrow; ids are then gathered by those numbers. Others go through the library
+        as they are: those with unusual spaces, or strings of added tokens.
         """
-        spaced = [x for x in units if x[0] == " "]
-        groups = [spaced[at : at + CALL] for at in range(0, len(spaced), CALL)] + [[x] for x in units if x[0] != " "]
-        found = self.library.encode_batch(["".join(g) for g in groups], add_special_tokens=False)
-        for group, code in zip(groups, found):
-            ends = np.fromiter(accumulate(map(len, group)), np.int64, len(group))
-            starts = np.fromiter((s for s, _ in code.offsets), np.int64, len(code.ids))
-            cuts = np.searchsorted(starts, ends).tolist()
-            ids = np.array(code.ids, np.uint32).tobytes()
-            self.known.update(zip(group, (ids[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        plain = [not any(a in x for a in self.added) for x in texts]
-        units = [self.units(x) if p else [] for x, p in zip(texts, plain)]
-        self.learn(list(set(chain.from_iterable(units)).difference(self.known)))
-        known = self.known.__getitem__
-        return [b"".join(map(known, u)) if p else np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x, u, p in zip(texts, units, plain)]
-
-    @staticmethod
-    def units(text: str) -> list[str]:
-        first, *rest = UNIT_START.split(text)
-        return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
+        odd = pc.match_substring_regex(texts, ODD)
+        for added in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, added))
+        plain = texts.filter(pc.invert(odd))
+        lined = pc.replace_substring(plain, "\n", f" {LINE} {FIRST}")
+        lists = pc.split_pattern(pc.binary_join_element_wise(FIRST, lined, ""), " ")
+        units = lists.flatten().dictionary_encode()
+        codes = self.of_units(units.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, codes), np.int32, len(codes)) // 2
+        number = units.indices.to_numpy()
+        counts = lengths[number]
+        ends = np.cumsum(counts, dtype=np.int32)
+        begins = np.cumsum(lengths, dtype=np.int32) - lengths
+        at = np.repeat(begins[number] - (ends - counts), counts)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = np.frombuffer(b"".join(codes), np.uint16)[at]
+        upto = np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        found = as_lists(np.insert(ids, upto[1:], end), upto + np.arange(len(upto)))
+        if not pc.any(odd).as_py():
+            return found
+        own = [np.append(x, np.uint16(end)) for x in self.ids(texts.filter(odd).to_pylist())]
+        rest = as_lists(np.concatenate(own), np.cumsum([0, *map(len, own)]))
+        mask = odd.to_numpy(zero_copy_only=False)
+        order = np.where(mask, len(found) + np.cumsum(mask) - 1, np.cumsum(~mask) - 1)
+        return pa.concat_arrays([found, rest]).take(pa.array(order))
+
+
+def as_lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
 @lru_cache(maxsize=1)
@@ -86,13 +153,10 @@ def encode(docs: DataFrame, model: str, end: int = END) -> DataFrame:
     """(doc_id, ids array<int>) of every document, the end id appended; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.array([end], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch):
-                codes = [x + last for x in encoder(model).encode([x or "" for x in part.column("text").to_pylist()])]
-                ends = np.fromiter(accumulate((len(x) // 4 for x in codes), initial=0), np.int32, len(codes) + 1)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(codes), np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+            for part in slices(batch, most=SLICE_BYTES):
+                texts = part.column("text").fill_null("")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), encoder(model).encode(texts, end)], ["doc_id", "ids"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -154,7 +218,7 @@ def tokens_through_orc(docs: DataFrame, model: str, path: str | None = None) ->
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, model)
-    return with_starts(digest(read_tokens(spark, path))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(cut(digest(read_tokens(spark, path)))).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def model_text(path: str | None = None) -> str:

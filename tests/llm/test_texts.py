@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -23,7 +24,7 @@ def rows_of(df):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(), st.sampled_from(" ▁ab\n.")), max_size=60))
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" ▁ab\n.")), max_size=60))
 def test_units_encode_as_the_library_does(text):
     merge = pieces.vocabulary(MODEL).merge
     assert [i for u in pieces.units_of(text) for i in merge(u)] == LIBRARY.encode(text)
@@ -33,7 +34,9 @@ def test_units_encode_as_the_library_does(text):
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" ab\n.,'s1é")), max_size=60))
 def test_orc_units_encode_as_the_library_does(text):
     encoder = token_files.encoder(token_files.model_text())
-    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+    texts = [text, "a b", f"a{text}", f"{text} b", ""]
+    want = [[*encoder.library.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert encoder.encode(pa.array(texts), 0).to_pylist() == want
 
 
 def test_whole_tokens_are_one_token():
