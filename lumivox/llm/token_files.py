@@ -38,7 +38,7 @@ SLICE_BYTES = 8 << 20
 #: Unknown units that are encoded in one call of the library.
 CALL = 1000
 ORC_OPTIONS = {
-    "compression": "zstd",
+    "compression": "lz4",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
     "orc.create.index": "true",
