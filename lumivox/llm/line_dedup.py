@@ -1,9 +1,17 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity.
+"""Fuzzy line dedup: sketches of normalised lines, edit similarity.
 
 Lines whose normal forms are equal are one line. Of the distinct ones, those whose
-64-bit SimHashes (of their words) differ in at most three bits, and whose normal
-forms have an edit similarity of at least 0.8, are linked; of each connected group
-the first occurrence stays.
+normal forms have an edit similarity of at least 0.8 are linked; of each connected
+group the first occurrence stays. ``most_bits`` says which lines are compared.
+
+None: lines meet by their words alone. Every line draws its words in BANDS orders, a
+word the sooner the longer it is, and the first words of a few orders make one key;
+lines that share a key, and whose lengths and 64-bit sketches of those first words
+allow the similarity, are compared. Two lines that share the part j of their words,
+weighed by length, have a common key with the probability 1 - (1 - j^4)^16.
+
+A number: only lines whose 64-bit SimHashes (of their words) differ in at most so
+many bits, which leaves out most pairs of ordinary lines.
 
 Three differing bits leave two of five blocks untouched, so every fingerprint enters
 one table for each pair of blocks (25 or 26 bits a key); only fingerprints that meet
@@ -24,13 +32,17 @@ from pyspark.sql import functions as F
 from lumivox.llm.common import components, cut, id_and_text, slices, table
 from lumivox.llm.edit import similar
 from lumivox.llm.fingerprints import majorities
-from lumivox.llm.substring_dedup import run_sums, word_hashes
+from lumivox.llm.substring_dedup import mixed, run_sums, word_hashes
 
 MOST_BITS = 3
 LEAST_SIMILARITY = 0.8
 #: First bit and width of the five blocks of a fingerprint.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 TABLES = list(combinations(BLOCKS, 2))
+#: Keys of a line, and orders of its words that make one key.
+BANDS, ORDERS = 16, 4
+#: Bits of two sketches that may differ: 11 are expected at an edit similarity of 0.8, about 28 by chance.
+SKETCH_BITS = 22
 #: Lines whose texts may be fetched by a broadcast of their places (about 24 bytes each).
 BROADCAST_LINES = 300_000
 
@@ -59,8 +71,40 @@ def line_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return counts, run_sums(words, ends - counts, ends), majorities(words, counts)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(key, sim, doc_id, line): each batch's distinct lines with words, and where they come first."""
+def word_bands(lines: list[bytes]) -> np.ndarray:
+    """BANDS keys of each line with words, the two halves of its sketch, and its length, as 32-bit numbers.
+
+    In every order a word has the place -log(u) / length with u from its hash, so that
+    the first words of two lines are the same with the probability of their weighted
+    Jaccard similarity. The sketch has one bit of each first word.
+    """
+    hashes, counts = word_hashes(lines)
+    out = np.zeros((len(lines), BANDS + 3), np.uint32)
+    if not len(lines):
+        return out
+    lengths = np.fromiter((len(w) for x in lines for w in x.split()), np.int64, len(hashes))
+    words, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    weights, starts = lengths[first].astype(np.float64), np.cumsum(counts) - counts
+    sketch = np.zeros(len(lines), np.uint64)
+    for band in range(BANDS):
+        key = np.zeros(len(lines), np.uint64)
+        for order in range(band * ORDERS, (band + 1) * ORDERS):
+            share = ((mixed(words ^ mixed(np.full(1, order + 1, np.uint64))) >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
+            places = (-np.log(share) / weights).astype(np.float32)
+            least = mixed(np.minimum.reduceat(places[which], starts).view(np.uint32).astype(np.uint64) + np.uint64(order))
+            key = mixed(key ^ least)
+            sketch = sketch << np.uint64(1) | least >> np.uint64(63)
+        out[:, band] = key >> np.uint64(32)
+    out[:, BANDS], out[:, BANDS + 1] = sketch >> np.uint64(32), sketch & np.uint64(0xFFFFFFFF)
+    out[:, BANDS + 2] = np.add.reduceat(lengths, starts) + counts - 1
+    return out
+
+
+def lines_of(docs: DataFrame, banded: bool = False) -> DataFrame:
+    """(key, sim, doc_id, line): each batch's distinct lines with words, and where they come first.
+
+    With ``banded`` also ``bands``, the packed numbers of ``word_bands``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,18 +114,19 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 texts = part.column("text").to_pylist()
                 lines = [normal_lines(texts[i]) for i in order]
                 numbers = np.array(list(map(len, lines)))
-                counts, keys, sims = line_keys([x for own in lines for x in own])
+                every = [x for own in lines for x in own]
+                counts, keys, sims = line_keys(every)
                 doc = np.repeat(ids[order], numbers)
                 line = np.arange(len(doc)) - np.repeat(np.cumsum(numbers) - numbers, numbers)
                 full = np.flatnonzero(counts)
                 _, first = np.unique(keys[full], return_index=True)
                 at = full[first]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[at].view(np.int64)), pa.array(sims[at].view(np.int64)), pa.array(doc[at]), pa.array(line[at].astype(np.int32))],
-                    ["key", "sim", "doc_id", "line"],
-                )
+                columns = [pa.array(keys[at].view(np.int64)), pa.array(sims[at].view(np.int64)), pa.array(doc[at]), pa.array(line[at].astype(np.int32))]
+                if banded:
+                    columns.append(pa.array([x.tobytes() for x in word_bands([every[n] for n in at])], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["key", "sim", "doc_id", "line", "bands"][: len(columns)])
 
-    return docs.mapInArrow(run, "key long, sim long, doc_id long, line int")
+    return docs.mapInArrow(run, "key long, sim long, doc_id long, line int" + (", bands binary" if banded else ""))
 
 
 def block_key(sims: np.ndarray, blocks: tuple[tuple[int, int], tuple[int, int]]) -> np.ndarray:
@@ -170,6 +215,59 @@ def pairs_across(lines: DataFrame, parts: int, most_bits: int) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def dealt_by_words(rows: DataFrame, columns: list[str], parts: int) -> DataFrame:
+    """(bucket, pack): each row's key with its length, its sketch, and ``columns``, once for every band of its ``bands``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint32).reshape(-1, BANDS + 3).astype(np.uint64)
+            sketch = bands[:, BANDS] << np.uint64(32) | bands[:, BANDS + 1]
+            own = [batch.column(c).to_numpy().view(np.uint64) for c in columns]
+            buckets, packs = [], []
+            for t in range(BANDS):
+                values = np.stack([bands[:, t] << np.uint64(32) | bands[:, BANDS + 2], sketch, *own], 1)
+                part = bands[:, t] % np.uint64(parts)
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+                for p in np.flatnonzero(np.diff(cuts)).tolist():
+                    buckets.append(t * parts + p)
+                    packs.append(values[order[cuts[p] : cuts[p + 1]]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(packs, pa.binary())], ["bucket", "pack"])
+
+    return rows.select("bands", *columns).mapInArrow(run, "bucket int, pack binary")
+
+
+def word_pairs(lines: DataFrame, parts: int, least: float, rooted: bool) -> DataFrame:
+    """(a, b): keys of lines that share a band, of lengths and sketches that allow ``least``.
+
+    Without ``rooted`` for every line and band the first such line on either side, if
+    any; with it all pairs of lines (bands, key, root) with different roots.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        values = np.frombuffer(b"".join(x.as_py() for x in rows.column("pack")), np.uint64).reshape(-1, 3 + rooted)
+        values = values[np.argsort(values[:, 0], kind="stable")]
+        lengths = (values[:, 0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        most = ((1 - least) * lengths + 1e-9).astype(np.int64)
+        later, earlier = np.zeros(len(values), bool), np.zeros(len(values), bool)
+        low, high = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        for left, right in neighbours(values[:, 0] >> np.uint64(32)):
+            near = (lengths[right] - lengths[left] <= most[right]) & (np.bitwise_count(values[left, 1] ^ values[right, 1]) <= SKETCH_BITS)
+            if rooted:
+                near &= values[left, 3] != values[right, 3]
+            left, right = left[near], right[near]
+            if not rooted:
+                new = ~later[left] | ~earlier[right]
+                later[left] = earlier[right] = True
+                left, right = left[new], right[new]
+            low.append(values[left, 2])
+            high.append(values[right, 2])
+        return pa.table([pa.array(np.concatenate(x).view(np.int64)) for x in (low, high)], ["a", "b"])
+
+    found = dealt_by_words(lines, ["key", "root"] if rooted else ["key"], parts).groupBy("bucket").applyInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def normal_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(key, form) of the lines at ``places`` (key, doc_id, line): their words joined by single spaces."""
     small = places.count() <= BROADCAST_LINES
@@ -234,11 +332,26 @@ def groups_of(distinct: DataFrame, docs: DataFrame, most_bits: int, least: float
     return components(first.unionByName(rest), "a", "b").withColumnRenamed("node", "key")
 
 
-def kept_lines(docs: DataFrame, most_bits: int, least: float) -> DataFrame:
+def groups_by_words(distinct: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """(key, root) of the lines that are linked with any other, met by their words; in two rounds like ``groups_of``."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = cut(word_pairs(distinct, parts, least, rooted=False))
+    first = linked(near, distinct, docs, least)
+    roots = components(first, "a", "b").withColumnRenamed("node", "key")
+    met_any = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    lines = cut(distinct.join(met_any, "key").join(roots, "key", "left").select("bands", "key", F.coalesce("root", "key").alias("root")))
+    rest = linked(word_pairs(lines, parts, least, rooted=True).join(near, ["a", "b"], "left_anti"), distinct, docs, least)
+    return components(first.unionByName(rest), "a", "b").withColumnRenamed("node", "key")
+
+
+def kept_lines(docs: DataFrame, most_bits: int | None, least: float) -> DataFrame:
     """(doc_id, lines): the numbers of the lines with words that stay in each document."""
     first = F.min(F.struct("doc_id", "line"))
-    distinct = cut(lines_of(docs).groupBy("key").agg(F.first("sim").alias("sim"), first.alias("at")))
-    members = distinct.join(groups_of(distinct, docs, most_bits, least), "key").select("key", "root", "at")
+    banded = most_bits is None
+    marks = "bands" if banded else "sim"
+    distinct = cut(lines_of(docs, banded).groupBy("key").agg(F.first(marks).alias(marks), first.alias("at")))
+    groups = groups_by_words(distinct, docs, least) if banded else groups_of(distinct, docs, most_bits, least)
+    members = distinct.join(groups, "key").select("key", "root", "at")
     later = members.join(members.groupBy("root").agg(F.min("at").alias("best")), "root").where("at != best").select("key")
     stay = distinct.join(later, "key", "left_anti")
     return stay.groupBy("at.doc_id").agg(F.collect_list("at.line").alias("lines"))
@@ -268,13 +381,13 @@ def digested(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
-def judged(docs: DataFrame, most_bits: int, least: float, lines: str) -> DataFrame:
+def judged(docs: DataFrame, most_bits: int | None, least: float, lines: str) -> DataFrame:
     """The documents with one more column, named ``lines``: numbers of the lines that stay."""
     kept = kept_lines(id_and_text(docs).where("doc_id IS NOT NULL"), most_bits, least).select(F.col("doc_id").alias(f"{lines} id"), F.col("lines").alias(lines))
     return docs.join(kept, docs["doc_id"] == kept[f"{lines} id"], "left").drop(f"{lines} id")
 
 
-def dedup_lines(docs: DataFrame, most_bits: int = MOST_BITS, least: float = LEAST_SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, most_bits: int | None = MOST_BITS, least: float = LEAST_SIMILARITY) -> DataFrame:
     """How every text looks without all lines but the first of each group of nearly equal lines.
 
     First is: in the document of the smallest doc_id, there the smallest line. Lines
@@ -287,7 +400,7 @@ def dedup_lines(docs: DataFrame, most_bits: int = MOST_BITS, least: float = LEAS
     return digested(judged(id_and_text(docs), most_bits, least, "lines"))
 
 
-def without_repeated_lines(docs: DataFrame, most_bits: int = MOST_BITS, least: float = LEAST_SIMILARITY) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, most_bits: int | None = MOST_BITS, least: float = LEAST_SIMILARITY) -> DataFrame:
     """The documents with all their columns, their texts without those lines; null texts stay null."""
     lines = "lines that stay"
 
@@ -303,4 +416,4 @@ def without_repeated_lines(docs: DataFrame, most_bits: int = MOST_BITS, least: f
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    return dedup_lines(table(spark, sf_dir, "documents"), most_bits=None)

@@ -175,6 +175,32 @@ def test_line_dedup_of_odd_rows(odd, make_docs):
     assert line_dedup.dedup_lines(make_docs([])).count() == line_dedup.without_repeated_lines(make_docs([])).count() == 0
 
 
+def test_line_dedup_by_edit_similarity_alone(make_docs):
+    """Lines of 5 to 60 words with a tenth of them replaced: brute force has no filter before the edit similarity."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 8)))
+    forms, rows = [], []
+    for i in range(100):
+        line = [word() for _ in range((6, 10, 20, 40, 60)[i % 5])]
+        for copy in range(2):
+            if copy:
+                for at in rng.sample(range(len(line)), max(1, len(line) // 10)):
+                    line[at] = word()
+            forms.append(" ".join(line).encode())
+            rows.append((2 * i + copy, forms[-1].decode()))
+    links = [(a, b) for b in range(len(forms)) for a in range(b) if edit.similar(forms[a], forms[b], 0.8)]
+    sims = line_dedup.line_keys(forms)[2]
+    assert len(links) >= 90 and sum(int(np.bitwise_count(sims[a] ^ sims[b])) <= 3 for a, b in links) < 0.4 * len(links)
+    gone = {r.doc_id for r in line_dedup.dedup_lines(make_docs(rows), None).collect() if r.n_removed}
+    assert gone <= {b for _, b in links} and len(gone) >= 0.95 * len(links)
+
+
+def test_line_dedup_by_words_of_odd_rows(odd, make_docs):
+    found = line_dedup.dedup_lines(odd, None).collect()
+    assert len(found) == len(rows_of(odd)) and all(r.n_removed == 0 for r in found if r.doc_id is None)
+    assert line_dedup.dedup_lines(make_docs([]), None).count() == 0
+
+
 def brute_fingerprint(text, width):
     words = text.encode().translate(fingerprints.LOWER).split()
     if not words:
