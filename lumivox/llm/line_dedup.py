@@ -269,16 +269,23 @@ def word_pairs(lines: DataFrame, parts: int, least: float, rooted: bool) -> Data
 
 
 def normal_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(key, form) of the lines at ``places`` (key, doc_id, line): their words joined by single spaces."""
+    """(key, form) of the lines at ``places`` (key, doc_id, line): their words joined by single spaces.
+
+    A document meets all its wanted lines at once, so its text is sent and split once.
+    """
     small = places.count() <= BROADCAST_LINES
-    found = docs.join(F.broadcast(places) if small else places, "doc_id")
+    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "line")).alias("wanted"))
+    found = docs.join(F.broadcast(wanted) if small else wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                texts, lines = part.column("text").to_pylist(), part.column("line").to_pylist()
-                forms = [b" ".join(normal_lines(x)[n].split()) for x, n in zip(texts, lines)]
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(forms, pa.binary())], ["key", "form"])
+                keys, forms = [], []
+                for text, places in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist()):
+                    lines = normal_lines(text)
+                    keys += [x["key"] for x in places]
+                    forms += [b" ".join(lines[x["line"]].split()) for x in places]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(forms, pa.binary())], ["key", "form"])
 
     return found.mapInArrow(run, "key long, form binary").dropDuplicates(["key"])
 

@@ -201,6 +201,23 @@ def test_line_dedup_by_words_of_odd_rows(odd, make_docs):
     assert line_dedup.dedup_lines(make_docs([]), None).count() == 0
 
 
+def test_normal_texts_split_each_document_once(spark, make_docs, monkeypatch, tmp_path):
+    split, seen = line_dedup.normal_lines, str(tmp_path / "seen")
+
+    def noted(text):
+        with open(seen, "a") as out:
+            out.write("x")
+        return split(text)
+
+    monkeypatch.setattr(line_dedup, "normal_lines", noted)
+    docs = make_docs([(1, "\n".join(f"Line {chr(97 + n)}" for n in range(20))), (2, "other")]).select("doc_id", "text")
+    places = spark.createDataFrame([(n, 1, n) for n in range(0, 20, 2)], "key long, doc_id long, line int")
+    found = line_dedup.normal_texts(docs, places).collect()
+    assert {r.key: bytes(r.form) for r in found} == {n: f"line {chr(97 + n)}".encode() for n in range(0, 20, 2)}
+    with open(seen) as notes:
+        assert len(notes.read()) == 1
+
+
 def brute_fingerprint(text, width):
     words = text.encode().translate(fingerprints.LOWER).split()
     if not words:
