@@ -15,10 +15,12 @@ found in a third of all documents thus costs its bucket one entry per batch.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,18 +28,21 @@ from lumivox.llm.common import id_and_text, slices, table
 
 WINDOW = 20
 #: Text bytes whose repeats are settled together before anything is sent.
-BATCH_BYTES = 8 << 20
-#: Buckets of hashes, at least; with more shuffle partitions as many as these.
-BUCKETS = 64
+BATCH_BYTES = 5 << 20
+#: Buckets of hashes, at least; text bytes of all documents for each bucket, at most.
+BUCKETS, BUCKET_BYTES = 64, 64 << 20
 #: Text bytes that are hashed at a time.
 HASH_BYTES = 1 << 20
+#: Bytes of a word that numpy hashes; longer words go through XXH3.
+LONG_WORD = 4096
 #: The bytes that part words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
-#: An odd multiplier and its inverse modulo 2^64, and random values for bytes.
-BASE = 0x9E3779B97F4A7C15
-UNBASE = pow(BASE, -1, 1 << 64)
+#: Odd multipliers of the two window hashes, and random values for bytes and for places in a word.
+BASES = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 BYTE_VALUES = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+PLACE_VALUES = np.random.default_rng(21).integers(0, 1 << 64, LONG_WORD, dtype=np.uint64) | np.uint64(1)
 PARTS = np.isin(np.arange(256), list(SPACES))
+SPACE = re.compile(b"[" + re.escape(SPACES) + b"]")
 PACKED = "bucket int, kind byte, ids binary, counts binary, places binary, hashes binary"
 
 _powers: dict[int, np.ndarray] = {}
@@ -58,31 +63,73 @@ def mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def run_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of values[start:end], the same wherever the run lies."""
+def run_sums(values: np.ndarray, starts: np.ndarray, width: int, base: int = BASES[0]) -> np.ndarray:
+    """Polynomial hash of ``width`` values from each start, the same wherever the run lies."""
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(BASE, len(values)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * powers(UNBASE, len(values) + 1)[starts])
+    np.cumsum(values * powers(base, len(values)), out=sums[1:])
+    return mixed((sums[starts + width] - sums[starts]) * powers(pow(base, -1, 1 << 64), len(values) + 1)[starts])
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of all texts in order, and each text's number of words."""
-    hashes, counts, at = [], [], 0
+def stretches(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about HASH_BYTES that end where a word ends."""
+    at = 0
+    while len(text) - at > HASH_BYTES:
+        cut = SPACE.search(text, at + HASH_BYTES)
+        upto = cut.start() if cut else len(text)
+        yield text[at:upto]
+        at = upto
+    yield text[at:] if at else text
+
+
+def hashed(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and length of every word of some bytes.
+
+    Each byte's value is multiplied by that of its place in the word, so no order of
+    letters is special.
+    """
+    letters = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(letters) + 2, np.int8)
+    np.logical_not(PARTS[letters], out=inside[1:-1].view(bool))
+    steps = np.diff(inside)
+    starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+    lengths = ends - starts
+    long = np.flatnonzero(lengths > LONG_WORD)
+    for n in long.tolist():
+        inside[1 + starts[n] : 1 + ends[n]] = 0
+    short = np.where(lengths > LONG_WORD, 0, lengths)
+    offsets = np.cumsum(short) - short
+    place = np.arange(short.sum(), dtype=np.int32) - np.repeat(offsets.astype(np.int32), short)
+    products = BYTE_VALUES[letters[inside[1:-1].view(bool)]] * PLACE_VALUES[place]
+    sums = np.zeros(len(products) + 1, np.uint64)
+    np.cumsum(products, out=sums[1:])
+    hashes = mixed(sums[offsets + short] - sums[offsets] + lengths.astype(np.uint64))
+    for n in long.tolist():
+        hashes[n] = xxhash.xxh3_64_intdigest(data[starts[n] : ends[n]])
+    return hashes, starts, lengths
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and length of every word of all texts in order, and each text's number of words."""
+    hashes, lengths, counts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
     while at < len(texts):
+        if len(texts[at]) > HASH_BYTES:
+            parts = [hashed(x) for x in stretches(texts[at])]
+            hashes += [x[0] for x in parts]
+            lengths += [x[2] for x in parts]
+            counts.append(np.array([sum(len(x[0]) for x in parts)]))
+            at += 1
+            continue
         upto, held = at, 0
         while upto < len(texts) and (upto == at or held + len(texts[upto]) <= HASH_BYTES):
             held += len(texts[upto]) + 1
             upto += 1
-        data = np.frombuffer(b" ".join(texts[at:upto]) + b" ", np.uint8)
-        inside = np.zeros(len(data) + 1, np.int8)
-        inside[1:] = ~PARTS[data]
-        steps = np.diff(inside)
-        starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
-        hashes.append(run_sums(BYTE_VALUES[data], starts, ends))
+        own, starts, sizes = hashed(b" ".join(texts[at:upto]))
         bounds = np.cumsum([len(x) + 1 for x in texts[at:upto]])
+        hashes.append(own)
+        lengths.append(sizes)
         counts.append(np.diff(np.searchsorted(starts, bounds), prepend=0))
         at = upto
-    return (np.concatenate(hashes), np.concatenate(counts)) if texts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    return np.concatenate(hashes), np.concatenate(lengths), np.concatenate(counts)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -101,33 +148,33 @@ class Batch:
     def __init__(self, ids: np.ndarray, texts: list[bytes], window: int):
         order = np.argsort(ids, kind="stable")
         self.ids = ids[order]
-        self.words, self.counts = word_hashes([texts[i] for i in order])
+        self.words, _, self.counts = word_hashes([texts[i] for i in order])  # under 2^31 words
         self.first = np.cumsum(self.counts) - self.counts
-        self.doc = np.repeat(np.arange(len(ids)), self.counts)
-        self.place = np.arange(len(self.words)) - self.first[self.doc]
+        self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), self.counts)
+        self.place = np.arange(len(self.words), dtype=np.int32) - self.first.astype(np.int32)[self.doc]
         self.window = window
 
     def runs(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Places where a run of ``width`` words of one document begins, and the runs' hashes."""
         at = np.flatnonzero(self.place + width <= self.counts[self.doc])
-        return at, run_sums(self.words, at, at + width)
+        return at, run_sums(self.words, at, width)
 
     def spread(self, at: np.ndarray, after: int) -> np.ndarray:
         """Mask of the places in [a, a + after) for each a."""
-        marks = np.zeros(len(self.words) + after + 1, np.int64)
+        marks = np.zeros(len(self.words) + after + 1, np.int32)
         np.add.at(marks, at, 1)
         np.add.at(marks, at + after, -1)
-        return np.cumsum(marks)[: len(self.words)] > 0
+        return np.cumsum(marks, dtype=np.int32)[: len(self.words)] > 0
 
-    def packed(self, at: np.ndarray, hashes: np.ndarray, buckets: int, width: type) -> Iterator[tuple]:
-        """One row per bucket of the hashes: documents, entries of each, places, hashes."""
+    def packed(self, at: np.ndarray, hashes: np.ndarray, buckets: int, *kept: np.ndarray) -> Iterator[tuple]:
+        """One row per bucket of the hashes: documents, entries of each, places, and the ``kept`` numbers one after the other."""
         bucket = (hashes >> np.uint64(40)).astype(np.int64) % buckets
         order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        at, hashes = at[order], hashes[order].astype(width)
-        for b in range(buckets):
-            if (lo := cuts[b]) < (hi := cuts[b + 1]):
-                yield (b, 0, *self.by_doc(at[lo:hi]), hashes[lo:hi].tobytes())
+        ranked = bucket[order]
+        cuts = np.append(np.flatnonzero(np.diff(ranked, prepend=-1)), len(ranked))
+        at, kept = at[order], [x[order] for x in kept]
+        for b, lo, hi in zip(ranked[cuts[:-1]].tolist(), cuts, cuts[1:]):
+            yield (b, 0, *self.by_doc(at[lo:hi]), b"".join(x[lo:hi].tobytes() for x in kept))
 
     def by_doc(self, at: np.ndarray) -> tuple[bytes, bytes, bytes]:
         """Documents, their numbers of entries, and the places as steps from one to the next."""
@@ -174,8 +221,13 @@ def words_of(batch: pa.RecordBatch, window: int) -> Batch:
 
 def first_of_each(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each value the index of its first occurrence in order, and its number of occurrences."""
-    _, first, where, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    return first[where], counts[where]
+    order = np.argsort(hashes, kind="stable").astype(np.int32)
+    ranked = hashes[order]
+    new = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(hashes) else np.empty(0, np.int64)
+    counts = np.diff(np.append(new, len(hashes))).astype(np.int32)
+    out = np.empty((2, len(hashes)), np.int32)
+    out[:, order] = np.repeat(np.stack([order[new], counts]), counts, axis=1)
+    return out[0], out[1]
 
 
 def probes(docs: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -191,22 +243,27 @@ def probes(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             wanted = b.spread(own, window - block + 1)
             block_at, block_hashes = b.runs(block)
             keep = wanted[block_at]
-            yield rows_of([*b.packed(block_at[keep], block_hashes[keep], buckets, np.uint32), *b.ranges(at[counts > 1], buckets)])
+            block_hashes = block_hashes[keep]
+            yield rows_of([*b.packed(block_at[keep], block_hashes, buckets, block_hashes.astype(np.uint32)), *b.ranges(at[counts > 1], buckets)])
 
     return docs.mapInArrow(run, PACKED)
 
 
-def unpacked(rows: pa.Table, width: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, place and hash of every entry of packed rows."""
-    docs, places, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, width)]
+def unpacked(rows: pa.Table, *widths: type) -> list[np.ndarray]:
+    """Document and place of every entry of packed rows, and its numbers of the given widths."""
+    docs, places = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    kept = [[np.empty(0, w)] for w in widths]
     for row in zip(*(rows.column(c).to_pylist() for c in ("ids", "counts", "places", "hashes"))):
-        ids, counts, values = from_planes(row[0], np.int64), from_planes(row[1], np.uint32).astype(np.int64), np.frombuffer(row[3], width)
-        steps = from_planes(row[2], np.uint16 if len(row[2]) == 2 * len(values) else np.uint32)
+        ids, counts = from_planes(row[0], np.int64), from_planes(row[1], np.uint32).astype(np.int64)
+        number, at = int(counts.sum()), 0
+        for w, own in zip(widths, kept):
+            own.append(np.frombuffer(row[3], w, number, at))
+            at += own[-1].nbytes
+        steps = from_planes(row[2], np.uint16 if len(row[2]) == 2 * number else np.uint32)
         sums, first = np.cumsum(steps, dtype=np.int64), np.cumsum(counts) - counts
         docs.append(np.repeat(ids, counts))
         places.append((sums - np.repeat(sums[first] - steps[first], counts)).astype(np.int32))
-        hashes.append(values)
-    return np.concatenate(docs), np.concatenate(places), np.concatenate(hashes)
+    return [np.concatenate(x) for x in (docs, places, *kept)]
 
 
 def ranges_by_doc(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
@@ -262,11 +319,12 @@ def candidate_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             wanted = marked(b.place, [lists[i] for i in order], b.first, b.counts, 0)
             at, hashes = b.runs(window)
             keep = wanted[at]
+            more = (run_sums(b.words, at[keep], window, BASES[1]) >> np.uint64(32)).astype(np.uint32)
             at, hashes = at[keep], hashes[keep]
             first, _ = first_of_each(hashes)
-            own = first == np.arange(len(at))
+            own = (first == np.arange(len(at))) | (more != more[first])
             twin = (b.ids[b.doc[at]] == b.ids[b.doc[at[first]]]) & (b.place[at] == b.place[at[first]])
-            yield rows_of([*b.packed(at[own], hashes[own], buckets, np.uint64), *b.ranges(at[~own & ~twin], buckets)])
+            yield rows_of([*b.packed(at[own], hashes[own], buckets, hashes[own], more[own]), *b.ranges(at[~own & ~twin], buckets)])
 
     return docs.mapInArrow(run, PACKED)
 
@@ -276,10 +334,10 @@ def later_windows(packed: DataFrame) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         kind = rows.column("kind").to_numpy()
-        docs, places, hashes = unpacked(rows.filter(pa.array(kind == 0)), np.uint64)
-        order = np.lexsort((places, docs, hashes))
-        docs, places, hashes = docs[order], places[order], hashes[order]
-        new = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.empty(0, np.int64)
+        docs, places, hashes, more = unpacked(rows.filter(pa.array(kind == 0)), np.uint64, np.uint32)
+        order = np.lexsort((places, docs, more, hashes))
+        docs, places, hashes, more = docs[order], places[order], hashes[order], more[order]
+        new = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (more[1:] != more[:-1]))) if len(hashes) else np.empty(0, np.int64)
         first = np.repeat(new, np.diff(np.append(new, len(hashes))))
         later = (docs != docs[first]) | (places != places[first]) if len(hashes) else np.empty(0, bool)
         found = ranges_by_doc(docs[later], places[later], places[later] + 1)
@@ -324,14 +382,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = Fals
     kept_sha256 (of the kept words joined by one space), and with ``keep_text``
     kept_text. Null and empty texts have no words; documents of less than a window
     lose none; rows that repeat a doc_id with its text count as one document and
-    each return it; documents without an id are returned whole.
+    each return it; of rows that repeat a doc_id with other texts each loses the
+    places that any of them loses; documents without an id are returned whole.
+
+    Windows are the same if 96 bits of their words' hashes agree. Buckets grow in
+    number with the text, so each has about the same size however much there is.
     """
     if window < 2:
         raise ValueError("a window has two words at least")
     spark = docs.sparkSession
     base = id_and_text(docs)
     known = base.where("doc_id IS NOT NULL")
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     gathered = lambda found: found.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges"))
     around = gathered(hits(probes(known, window, buckets), window))
     later = gathered(later_windows(candidate_windows(known.join(around, "doc_id"), window, buckets)))
