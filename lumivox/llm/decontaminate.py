@@ -8,16 +8,18 @@ overlapping bands of diagonals; only bands that reach that number are aligned.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumivox.llm.common import filtered, id_and_text, slices, table
 from lumivox.llm.edit import banded_find
+from lumivox.llm.substring_dedup import stretches
 
 #: Bytes of a q-gram: they are read as one 64-bit number.
 Q = 8
@@ -25,18 +27,24 @@ Q = 8
 SEGMENT, STRIDE = 64, 32
 #: Edits per byte of a segment.
 BUDGET = 0.1
-#: Benchmark text that one pass over the documents takes, in bytes.
-BLOCK_BYTES = 4 << 20
+#: Benchmark text that one index takes, in bytes, and document text that meets an index in one task.
+BLOCK_BYTES, TASK_BYTES = 8 << 20, 64 << 20
+#: Text bytes whose q-grams are looked up at a time, and shared q-grams that are counted at a time.
+LOOK_BYTES, ENTRIES = 1 << 20, 1 << 20
+#: Bytes of text in which all q-grams of a segment and a band lie.
+REACH = 2 * SEGMENT
 #: Counters of hits by hash of segment and band, a power of two.
 CELLS = 1 << 20
 FOUND = "doc_id long, item_id long, n_segments long, first_byte long, last_byte long, least_edits int"
+RESULT = pa.schema([(x.split()[0], pa.int32() if x.endswith(" int") else pa.int64()) for x in FOUND.split(", ")])
 #: Fixed value: capitals A-Z to small letters.
 SMALL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def normal(text: str | None) -> bytes:
     """UTF-8 with small letters a-z and single spaces between words."""
-    return b" ".join((text or "").encode().translate(SMALL).split())
+    parts = (b" ".join(x.split()) for x in stretches((text or "").encode().translate(SMALL)))
+    return b" ".join(x for x in parts if x)
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -65,29 +73,49 @@ class Index:
         self.needed = lengths - Q + 1 - self.most * Q
         each = [grams(s) for s in self.segments]
         values = np.concatenate(each or [np.empty(0, np.uint64)])
-        owner = np.repeat(np.arange(len(each)), list(map(len, each)))
-        place = np.concatenate([np.arange(len(g)) for g in each] or [np.empty(0, np.int64)])
+        owner = np.repeat(np.arange(len(each), dtype=np.int32), list(map(len, each)))
+        place = np.concatenate([np.arange(len(g), dtype=np.uint8) for g in each] or [np.empty(0, np.uint8)])
         order = np.argsort(values, kind="stable")
         self.owner, self.place = owner[order], place[order]
         self.values, self.first = np.unique(values[order], return_index=True)
         self.number = np.diff(np.append(self.first, len(values)))
-        self.bits = max(16, int(len(self.values)).bit_length() + 5)
+        self.bits = max(16, int(len(self.values)).bit_length() + 3)
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[self.slot(self.values)] = True
 
     def slot(self, values: np.ndarray) -> np.ndarray:
         return (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
-    def hits(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Segment, place in the segment and place in the text of every shared q-gram."""
-        values = np.ndarray((max(0, len(text) - Q + 1),), "<u8", text, strides=(1,)) if len(text) >= Q else np.empty(0, np.uint64)
-        at = np.flatnonzero(self.maybe[self.slot(values)])
-        found = np.minimum(np.searchsorted(self.values, values[at]), max(0, len(self.values) - 1))
-        same = self.values[found] == values[at] if len(self.values) else np.zeros(len(at), bool)
-        at, found = at[same], found[same]
-        number = self.number[found]
-        entry = np.repeat(self.first[found] - (np.cumsum(number) - number), number) + np.arange(number.sum())
-        return self.owner[entry], self.place[entry], np.repeat(at, number)
+    def shared(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the text whose q-gram some segment has, and the q-gram's number in the index."""
+        places, numbers = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for begin in range(0, len(text) - Q + 1 if len(self.values) else 0, LOOK_BYTES):
+            n = min(LOOK_BYTES, len(text) - Q + 1 - begin)
+            values = np.ndarray((n,), "<u8", text, offset=begin, strides=(1,))
+            at = np.flatnonzero(self.maybe[self.slot(values)])
+            found = np.minimum(np.searchsorted(self.values, values[at]), len(self.values) - 1)
+            same = self.values[found] == values[at]
+            places.append(at[same] + begin)
+            numbers.append(found[same])
+        return np.concatenate(places), np.concatenate(numbers)
+
+    def hits(self, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Segment, place in the segment and place in the text of every shared q-gram.
+
+        They come in parts of about ENTRIES; a part begins REACH before the last one
+        ended, so every band of a segment lies whole in one of them.
+        """
+        at, found = self.shared(text)
+        upto = np.cumsum(self.number[found])
+        begin = 0
+        while begin < len(at):
+            back = np.searchsorted(at, at[begin] - REACH)
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + ENTRIES, side="right")))
+            own = found[back:end]
+            number = self.number[own]
+            entry = np.repeat(self.first[own] - (np.cumsum(number) - number), number) + np.arange(number.sum())
+            yield self.owner[entry].astype(np.int64), self.place[entry].astype(np.int64), np.repeat(at[back:end], number)
+            begin = end
 
     def crowded(self, owner: np.ndarray, place: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Mask of the hits in bands that may share enough q-grams: repeats and other bands count too."""
@@ -115,10 +143,11 @@ class Index:
         for s, b in zip(owners[starts[enough]].tolist(), bands[starts[enough]].tolist()):
             yield s, b * int(self.most[s] + 1)
 
-    def matches(self, text: bytes, hits: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-        """(item, segments, first byte, last byte, least edits) of every item found in a normal text."""
-        found: dict[int, dict[int, tuple[int, int, int]]] = {}
+    def matches(self, text: bytes, hits: tuple[np.ndarray, np.ndarray, np.ndarray], found: dict[int, tuple[int, int, int]]) -> None:
+        """Put the best (edits, start, end) of every segment found in a normal text into ``found``."""
         for s, lowest in self.bands(*hits):
+            if s in found and not found[s][0] and found[s][1] <= max(0, lowest):
+                continue  # nothing better comes after an exact match
             most, segment = int(self.most[s]), self.segments[s]
             highest = lowest + 2 * most + 1  # an alignment's diagonals all lie in one of the two bands they share
             base = max(0, lowest)
@@ -128,12 +157,16 @@ class Index:
             else:
                 best = banded_find(segment, region, lowest - base, highest - base, most)
             if best is not None:
-                edits, start, end = best
-                for item in self.owners[s]:
-                    old = found.setdefault(item, {}).get(s)
-                    new = (edits, base + start, base + end)
-                    found[item][s] = min(old, new) if old else new
-        return [(item, len(own), min(x[1] for x in own.values()), max(x[2] for x in own.values()), min(x[0] for x in own.values())) for item, own in sorted(found.items())]
+                new = (best[0], base + best[1], base + best[2])
+                found[s] = min(found.get(s, new), new)
+
+    def by_item(self, found: dict[int, tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+        """(item, segments, first byte, last byte, least edits) of every item that has a segment in ``found``."""
+        items: dict[int, list[tuple[int, int, int]]] = {}
+        for s, best in found.items():
+            for item in self.owners[s]:
+                items.setdefault(item, []).append(best)
+        return [(item, len(own), min(x[1] for x in own), max(x[2] for x in own), min(x[0] for x in own)) for item, own in sorted(items.items())]
 
 
 def matches_of(index: Index, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int, int, int, int]]]]:
@@ -141,45 +174,75 @@ def matches_of(index: Index, texts: list[str | None]) -> Iterator[tuple[int, lis
     forms = [normal(x) for x in texts]
     # line feeds part the texts: no normal text has any, so no q-gram of a segment lies across
     ends = np.cumsum([len(x) + 1 for x in forms])
-    owner, place, at = index.hits(b"\n".join(forms) + b"\n")
-    crowded = index.crowded(owner, place, at)
-    owner, place, at = owner[crowded], place[crowded], at[crowded]
-    if not len(at):
-        return
-    cuts = np.searchsorted(np.searchsorted(ends, at, side="right"), np.arange(len(forms) + 1))
-    # a document with fewer hits than the easiest segment needs can't match
-    for d in np.flatnonzero(np.diff(cuts) >= index.needed.min()).tolist():
-        own = slice(cuts[d], cuts[d + 1])
-        begin = int(ends[d]) - len(forms[d]) - 1
-        if found := index.matches(forms[d], (owner[own], place[own], at[own] - begin)):
-            yield d, found
-
-
-def search(docs: DataFrame, index: Index) -> DataFrame:
-    """Matches of one block of items with all documents."""
+    found: dict[int, dict[int, tuple[int, int, int]]] = {}
+    exact, last = np.zeros(len(index.segments), bool), -1  # segments that the last text of the part before has as they are
+    for owner, place, at in index.hits(b"\n".join(forms) + b"\n"):
+        doc = np.searchsorted(ends, at, side="right")
+        now = int(doc[-1])
+        keep = index.crowded(owner, place, at)
+        keep[keep] = ~(exact[owner[keep]] & (doc[keep] == last))
+        owner, place, at, doc = owner[keep], place[keep], at[keep], doc[keep]
+        cuts = np.searchsorted(doc, np.arange(len(forms) + 1))
+        # a document with fewer hits than the easiest segment needs can't match
+        for d in np.flatnonzero(np.diff(cuts) >= index.needed.min()).tolist():
+            own = slice(cuts[d], cuts[d + 1])
+            begin = int(ends[d]) - len(forms[d]) - 1
+            index.matches(forms[d], (owner[own], place[own], at[own] - begin), found.setdefault(d, {}))
+        exact[:] = False
+        exact[[s for s, best in found.get(now, {}).items() if not best[0]]] = True
+        last = now
+    yield from ((d, index.by_item(own)) for d, own in found.items() if own)
+
+
+_indexes: dict[str, Index] = {}
+
+
+def index_of(items: Broadcast) -> Index:
+    """The index of broadcast items, made once in each Python worker."""
+    key, rows = items.value
+    if key not in _indexes:
+        _indexes.clear()
+        _indexes[key] = Index(rows)
+    return _indexes[key]
+
+
+def rows_of(index: Index, docs: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for part in slices(docs):
+        ids = part.column("doc_id").to_pylist()
+        rows = [(ids[d], *m) for d, found in matches_of(index, part.column("text").to_pylist()) for m in found]
+        columns = list(zip(*rows)) if rows else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RESULT)], schema=RESULT)
+
+
+def items_of(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """(item_id, text) of the items that count, and in how many blocks of about ``block_bytes`` they are taken."""
+    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text"))
+    items = items.where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items, max(1, -(-total // block_bytes))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "item_id", "n_segments", "first_byte", "last_byte", "least_edits"]
-        types = [pa.int64()] * 5 + [pa.int32()]
-        for batch in batches:
-            for part in slices(batch):
-                ids = part.column("doc_id").to_pylist()
-                rows = [(ids[d], *m) for d, found in matches_of(index, part.column("text").to_pylist()) for m in found]
-                columns = list(zip(*rows)) if rows else [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return docs.mapInArrow(run, FOUND)
+def broadcast_items(items: DataFrame) -> Broadcast:
+    return items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted((r.item_id, r.text) for r in items.collect())))
 
 
-def indexes(benchmark: DataFrame, block_bytes: int) -> Iterator[Index]:
-    """An index for each block of items of about ``block_bytes``, by a hash of their ids."""
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text"))
-    items = items.where("item_id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).dropDuplicates().collect()
-        yield Index(sorted((r.item_id, r.text) for r in rows))
+def in_blocks(docs: DataFrame, items: DataFrame, blocks: int) -> DataFrame:
+    """Matches of (doc_id, text) with a benchmark that is too large to broadcast.
+
+    Every block of items meets every part of the documents in a task of its own, which
+    makes the block's index; documents are sent once for each block.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + size // TASK_BYTES
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    texts = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block"))
+    marked = items.select("item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int").alias("block"), every(parts).alias("part"))
+
+    def run(texts: pa.Table, items: pa.Table) -> pa.Table:
+        index = Index(sorted(zip(items.column("item_id").to_pylist(), items.column("text").to_pylist())))
+        return pa.Table.from_batches([x for batch in texts.to_batches() for x in rows_of(index, batch)], RESULT)
+
+    return texts.groupBy("block", "part").cogroup(marked.groupBy("block", "part")).applyInArrow(run, FOUND)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -194,23 +257,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     the same rows again; null doc_ids are kept as they are; without items or
     documents the result is empty.
 
-    Items are taken in blocks of about ``block_bytes`` by a hash of their ids. A
-    block's index goes to every task; each block is one pass over the documents.
+    A benchmark of up to ``block_bytes`` is broadcast, and the documents are read once
+    without a shuffle. A larger one is dealt into blocks by a hash of item_id, and every
+    block meets every part of the documents.
     """
     base = id_and_text(docs)
-    return reduce(DataFrame.unionByName, [search(base, index) for index in indexes(benchmark, block_bytes)])
+    items, blocks = items_of(benchmark, block_bytes)
+    if blocks > 1:
+        return in_blocks(base, items, blocks)
+    known = broadcast_items(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from rows_of(index_of(known), batch)
 
+    return base.mapInArrow(run, FOUND)
 
-def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents without a leak, with all their columns, by the same rules."""
 
-    def keep(index: Index, part: pa.RecordBatch) -> list[bool]:
-        leaky = {d for d, _ in matches_of(index, part.column("text").to_pylist())}
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without a leak, with all their columns, by the same rules; each row is judged by its own text."""
+    items, blocks = items_of(benchmark, block_bytes)
+    if blocks > 1:
+        # texts stand for themselves here: ids may be null, or repeat with other texts
+        texts = docs.select(F.xxhash64(docs["text"]).alias("doc_id"), docs["text"].cast("string").alias("text")).where("text IS NOT NULL").distinct()
+        leaky = in_blocks(texts, items, blocks).select(F.col("doc_id").alias("hash of a leaky text")).distinct()
+        return docs.join(leaky, F.xxhash64(docs["text"]) == leaky["hash of a leaky text"], "left_anti")
+    known = broadcast_items(items)
+
+    def keep(part: pa.RecordBatch) -> list[bool]:
+        leaky = {d for d, _ in matches_of(index_of(known), part.column("text").to_pylist())}
         return [d not in leaky for d in range(part.num_rows)]
 
-    for index in indexes(benchmark, block_bytes):
-        docs = filtered(docs, partial(keep, index))
-    return docs
+    return filtered(docs, keep)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
