@@ -9,13 +9,16 @@ the original vectors, and stops when the next region is farther than the distanc
 to the k-th best so far times the root of the CONFIDENCE quantile.
 
 The top of the kd-tree is fitted on a bounded sample and deals all rows into cells;
-each cell's task builds the tree below. A query first searches its own cell, then,
-with the bound found there, only the cells that the stopping test leaves.
+each cell's task builds the tree below. Queries visit cells from the nearest outwards
+in rounds of growing size; after each round the k-th best so far bounds what may
+follow, and a query ends when its next cell fails the stopping test.
 """
 
 from __future__ import annotations
 
+import logging
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,11 +30,17 @@ from lumivox.llm.common import cut, table
 
 K, EVERY = 20, 20
 DIMS, CONFIDENCE = 8, 0.96
-#: Rows that the driver fits the top of the tree on, at most.
-SAMPLE = 20_000
+#: Rows that the driver fits the top of the tree on, at most, and rows of the sample that a leaf needs.
+SAMPLE, LEAF_SAMPLE = 65_536, 8
 #: Rows of a cell that one task takes, rows of a bucket in it, queries that meet a cell at a time.
 CELL_ROWS, BUCKET_ROWS, QUERY_ROWS = 8192, 512, 20_000
-LEAVES = 1024
+#: Leaves of the top, at most; cells that a query visits in the first round, and the factor from round to round.
+LEAVES = SAMPLE // LEAF_SAMPLE
+FIRST, GROWTH = 1, 4
+#: Distances between queries and leaves that are held at a time.
+DISTANCES = 1 << 21
+
+log = logging.getLogger(__name__)
 
 
 def chi_square_quantile(share: float, dims: int) -> float:
@@ -98,7 +107,7 @@ class Space:
     @classmethod
     def fit(cls, sample: np.ndarray, length: float, dims: int, leaves: int, seed: int) -> Space:
         planes = np.random.default_rng(seed).normal(size=(dims + 1, DIMS))
-        depth = max(0, math.ceil(math.log2(max(1, min(leaves, LEAVES, len(sample) // 8)))))
+        depth = max(0, math.ceil(math.log2(max(1, min(leaves, LEAVES, len(sample) // LEAF_SAMPLE)))))
         space = cls(planes, length, np.zeros((1 << depth) - 1, np.int64), np.zeros((1 << depth) - 1), depth)
         groups = [space.candidates(sample)]
         for level in range(depth):
@@ -214,62 +223,51 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, confidence: floa
     once, with the smallest vector. No rows give no rows.
 
     Cells of more than CELL_ROWS rows (many equal vectors, say) are split by a hash of
-    the id, and more than QUERY_ROWS queries meet a cell in blocks.
+    the id; where more than QUERY_ROWS queries meet a cell in a round, they do so in
+    blocks, and only that cell's vectors are sent once for each block.
     """
     rows = cut(usable(vectors))
+    spark = rows.sparkSession
     total, length, dims = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.max(F.size("v"))).first()
     if not total:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow() if total > SAMPLE else rows.select("v").toArrow()
     space = Space.fit(vectors_of(sample), length, dims, -(-total // CELL_ROWS), seed)
     factor = chi_square_quantile(confidence, DIMS)
 
-    def place(batches):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = vectors_of(pa.Table.from_batches([batch]))
             leaves = space.leaf(space.candidates(found)) if len(found) else np.empty(0, np.int64)
             yield batch.append_column("leaf", pa.array(leaves.astype(np.int32)))
 
     placed = cut(rows.mapInArrow(place, "vec_id long, v array<double>, leaf int"))
-    counts = dict(placed.groupBy("leaf").count().collect())  # at most LEAVES rows
-    chunks = {leaf: -(-n // CELL_ROWS) for leaf, n in counts.items()}
-    first = dict(zip(sorted(chunks), np.cumsum([0, *(chunks[x] for x in sorted(chunks))]).tolist()))
-    lookup = lambda values: F.element_at(F.array(*(F.lit(values.get(i, 0)) for i in range(1 << space.depth))), F.col("leaf") + 1)
-    cell = (lookup(first) + F.pmod(F.xxhash64("vec_id"), F.greatest(lookup(chunks), F.lit(1)))).cast("int")
-    placed = placed.withColumn("cell", cell)
-    schema = "query_id long, vec_id long, score double"
-
-    def own_cell(rows: pa.Table) -> pa.Table:
-        """The queries of a cell with the k-th best score that the cell itself gives."""
-        at = np.flatnonzero(rows.column("query").to_numpy())
-        ids, found = rows.column("vec_id").to_numpy(), vectors_of(rows)
-        scores, _ = Search(space, ids, found).run(ids[at], found[at], np.full(len(at), -np.inf), k, factor)
-        # a hair lower: the same product may differ in its last bit when another cell computes it
-        floor = scores.min(1)
-        floor -= 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))
-        return pa.table([pa.array(ids[at]), rows.column("v").combine_chunks().take(pa.array(at)), pa.array(floor)], ["query_id", "v", "floor"])
-
-    bounded = placed.select("cell", "vec_id", "v", (F.col("vec_id") % every == 0).alias("query")).groupBy("cell").applyInArrow(own_cell, "query_id long, v array<double>, floor double")
-    bounded = cut(bounded)
-    blocks = max(1, -(-bounded.count() // QUERY_ROWS))
-    low, high = space.boxes()
-    leaves = sorted(chunks)
-
-    def reach(batches):
-        """Cells that the stopping test does not rule out for each query."""
-        for batch in batches:
-            found = vectors_of(pa.Table.from_batches([batch]))
-            if not len(found):
-                continue
-            floor = batch.column("floor").to_numpy()
-            most = np.where(np.isfinite(floor), np.maximum((found * found).sum(1) + length - 2 * floor, 0) * factor, np.inf)
-            far = box_distances(space.queries(found), low[leaves], high[leaves])
-            lists = [[c for i in np.flatnonzero(row <= m) for c in range(first[leaves[i]], first[leaves[i]] + chunks[leaves[i]])] for row, m in zip(far, most)]
-            yield batch.append_column("cells", pa.array(lists, pa.list_(pa.int32())))
-
-    sent = bounded.mapInArrow(reach, "query_id long, v array<double>, floor double, cells array<int>")
-    sent = sent.select("query_id", "v", "floor", F.explode("cells").alias("cell"), F.pmod(F.xxhash64("query_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
-    dealt = placed.select("cell", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    chunks = {leaf: -(-n // CELL_ROWS) for leaf, n in sorted(placed.groupBy("leaf").count().collect())}  # at most LEAVES rows
+    leaves = np.array(list(chunks))
+    number = np.array(list(chunks.values()))
+    first = np.cumsum(number) - number
+    spread = spark.createDataFrame(list(zip(*(x.tolist() for x in (leaves, first, number)))), "leaf int, first int, number int")
+    cell = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("number"))).cast("int").alias("cell")
+    placed = placed.join(F.broadcast(spread), "leaf").select(cell, "vec_id", "v")
+    low, high = (x[leaves] for x in space.boxes())
+
+    def ahead(queries: DataFrame, start: int, step: int) -> DataFrame:
+        """The queries whose next cells pass the stopping test, with these of their cells from ``start`` on in the order of distance."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            few = max(1, DISTANCES // len(leaves))
+            for batch in batches:
+                for part in (batch.slice(at, few) for at in range(0, batch.num_rows, few)):
+                    found, floor = vectors_of(pa.Table.from_batches([part])), part.column("floor").to_numpy()
+                    most = np.where(np.isfinite(floor), np.maximum((found * found).sum(1) + length - 2 * floor, 0) * factor, np.inf)
+                    far = box_distances(space.queries(found), low, high)
+                    order = np.argsort(far, axis=1, kind="stable")[:, start : start + step]
+                    open_ = np.take_along_axis(far, order, 1) <= most[:, None]
+                    cells = [[c for i in own[ok].tolist() for c in range(first[i], first[i] + number[i])] for own, ok in zip(order, open_)]
+                    kept = pa.array([bool(x) for x in cells])
+                    yield part.append_column("cells", pa.array(cells, pa.list_(pa.int32()))).filter(kept)
+
+        return queries.mapInArrow(run, "query_id long, v array<double>, floor double, cells array<int>")
 
     def search(q: pa.Table, p: pa.Table) -> pa.Table:
         if not len(q) or not len(p):
@@ -280,9 +278,33 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, confidence: floa
         query = np.broadcast_to(ids[:, None], scores.shape)
         return pa.table([pa.array(query[useful]), pa.array(found[useful]), pa.array(scores[useful])], ["query_id", "vec_id", "score"])
 
-    met = sent.groupBy("cell", "block").cogroup(dealt.groupBy("cell", "block")).applyInArrow(search, schema)
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def visited(asked: DataFrame) -> DataFrame:
+        """What queries find in the cells they visit this round; cells that nobody visits are not sent."""
+        sent = asked.select("query_id", "v", "floor", F.explode("cells").alias("cell"))
+        blocks = sent.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
+        sent = sent.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
+        dealt = placed.join(blocks, "cell").select("cell", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        return sent.groupBy("cell", "block").cogroup(dealt.groupBy("cell", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    top = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asked = cut(ahead(placed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", F.lit(float("-inf")).alias("floor")), 0, FIRST))
+    best, start, step = None, 0, FIRST
+    while not asked.isEmpty():
+        met = visited(asked)
+        log.info("cells %d to %d: visits %s", start, start + step, asked.agg(F.count("*"), F.sum(F.size("cells"))).first() if log.isEnabledFor(logging.INFO) else "")
+        best = top(met if best is None else best.drop("rank").unionByName(met))
+        start, step = start + step, step * GROWTH
+        if start >= len(leaves):
+            break
+        best = cut(best)
+        # a hair lower: the same product may differ in its last bit when another cell computes it
+        floor = F.when(F.count("*") >= k, F.min("score") - 1e-9 * (1 + F.abs(F.min("score"))))
+        known = best.groupBy("query_id").agg(floor.alias("known"))
+        asked = cut(ahead(asked.select("query_id", "v").join(known, "query_id", "left").select("query_id", "v", F.coalesce("known", F.lit(float("-inf"))).alias("floor")), start, step))
+    if best is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op5_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
