@@ -19,8 +19,8 @@ from lumivox.llm.common import filtered, id_and_text, slices, table
 
 THRESHOLD = 0.3
 FOLDS = 5
-#: Labelled rows of each class that the driver learns from, at most.
-SAMPLE = 1500
+#: Labelled rows of each class that the driver learns from, at most, and bytes of the text of each.
+SAMPLE, SAMPLE_BYTES = 1500, 1 << 16
 EPOCHS = 8
 CHUNK, STEP, DEPTH, FILTERS = 512, 4, 8, 32
 HALF = CHUNK // 2
@@ -106,10 +106,34 @@ class Network:
         grads["embed"] = embed
         return grads
 
+    def of_long(self, text: bytes) -> float:
+        """Log-odds of one text of any length, SLICE_BYTES at a time; ``forward`` gives the same but for rounding."""
+        p, halves, some = self.params, -(-(len(text) + STEP) // HALF), SLICE_BYTES // HALF
+        left, right = np.split(p["filters"], 2)
+        most, total, before = np.zeros(FILTERS, np.float32), np.zeros(FILTERS), None
+        for at in range(0, halves, some):
+            upto = min(halves, at + some)
+            ahead = STEP * (upto < halves)  # the last filter of a part reaches into the next one
+            data = text[at * HALF : upto * HALF + ahead].ljust((upto - at) * HALF + ahead, b"\0")
+            seen = p["embed"][np.frombuffer(data, np.uint8).reshape(-1, STEP)].reshape(-1, STEP * DEPTH)
+            windows = np.zeros(((upto - at) * (HALF // STEP), FILTERS), np.float32)
+            windows[: len(seen) - 1] = (seen[:-1] @ left) + (seen[1:] @ right) + p["bias"]
+            pooled = np.maximum(windows, 0).reshape(-1, HALF // STEP, FILTERS).max(axis=1)
+            most = np.maximum(most, pooled.max(0))
+            if before is not None:
+                total += np.maximum(before, pooled[0])
+            total += np.maximum(pooled[:-1], pooled[1:]).sum(0)
+            before = pooled[-1]
+        return float(np.concatenate([most, (total + before) / halves]) @ p["out"] + p["shift"][0])
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Probability that each whole text is of good quality; an empty text is all padding."""
         out, at = np.empty(len(texts)), 0
         while at < len(texts):
+            if len(texts[at]) > SLICE_BYTES:
+                out[at] = self.of_long(texts[at])
+                at += 1
+                continue
             upto, held = at, 0
             while upto < len(texts) and (upto == at or held + len(texts[upto]) <= SLICE_BYTES):
                 held += len(texts[upto]) + HALF
@@ -156,13 +180,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
 
     The sample is the documents that come first by a hash of their ids, so it is the
     same at every run. Only ids and labels are ordered; the chosen ids (at most
-    twice ``sample``) are broadcast to fetch their texts. An id with several
-    labels counts with the least; null labels don't count.
+    twice ``sample``) are broadcast to fetch their texts, of which labels of texts of
+    more than SAMPLE_BYTES are left out. An id with several labels counts with the
+    least; null labels don't count.
     """
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality"))
     marks = marks.where(marks["quality"].isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = lambda q: marks.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = id_and_text(docs).join(F.broadcast(some(0).unionByName(some(1))), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = id_and_text(docs).join(F.broadcast(some(0).unionByName(some(1))), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     return fit([(x or "").encode() for x in rows.text], rows.quality.to_numpy(np.float32), seed=seed)
 
 
@@ -190,7 +215,11 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches the threshold, with all their columns."""
+    """The documents whose score reaches the threshold, with all their columns.
+
+    Each row is judged by its text as in ``classify``: null and empty texts by the score
+    of padding alone, repeated rows alike. No rows give no rows.
+    """
     net = learn(docs, labels, sample)
     return filtered(docs, lambda part: (net.scores([(x or "").encode() for x in part.column("text").to_pylist()]) >= threshold).tolist())
 
