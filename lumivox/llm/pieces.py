@@ -28,8 +28,10 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNIT_START = re.compile(f"(?<=[^{MARK}])(?={MARK})")
 INNER_MARK = re.compile(f"[^{MARK}]{MARK}")
-#: Units that a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Units that a task remembers before it starts anew, and letters of the longest that it does.
+REMEMBERED, LONGEST = 400_000, 64
+#: Letters of a unit that the agenda takes; longer ones (no space for so long) go to the library.
+AGENDA = 100_000
 TOKEN_LIMIT = 4096
 
 
@@ -94,15 +96,17 @@ def vocabulary(model: bytes) -> Vocabulary:
 
 
 class Remembered(dict):
-    """What a function gave for the units met so far; ``fresh`` lists those since the last check."""
+    """What a function gave for the units met so far, but long ones; ``fresh`` has all since the last check."""
 
     def __init__(self, make, most: int = REMEMBERED):
         super().__init__()
-        self.make, self.most, self.fresh = make, most, []
+        self.make, self.most, self.fresh = make, most, {}
 
     def __missing__(self, unit: str):
-        self[unit] = value = self.make(unit)
-        self.fresh.append(unit)
+        if (value := self.fresh.get(unit)) is None:
+            self.fresh[unit] = value = self.make(unit)
+            if len(unit) <= LONGEST:
+                self[unit] = value
         return value
 
     def trim(self) -> None:
@@ -114,8 +118,8 @@ class Remembered(dict):
 @lru_cache(maxsize=2)
 def remembered_ids(model: bytes) -> Remembered:
     """Units to their ids, as decimals joined by commas: shorter than lists of numbers."""
-    merge = vocabulary(model).merge
-    return Remembered(lambda unit: ",".join(map(str, merge(unit))))
+    merge, library = vocabulary(model).merge, vocabulary(model).library
+    return Remembered(lambda unit: ",".join(map(str, merge(unit) if len(unit) <= AGENDA else library.encode(unit))))
 
 
 @lru_cache(maxsize=2)
@@ -146,8 +150,11 @@ def count_tokens(docs: DataFrame, model: bytes, limit: int = TOKEN_LIMIT) -> Dat
                 counts.update(zip(rest, map(len, library.encode(rest, num_threads=1))))
                 # the library reads an empty unit as no text; within a text it is a lone space mark
                 counts[""] = 1
+                long = [x for x in rest if len(x) > LONGEST]
                 n_tokens = [sum(map(counts.__getitem__, u)) for u in units]
                 n_bytes = [len(x.encode()) for x in texts]
+                for x in long:
+                    del counts[x]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
@@ -171,8 +178,8 @@ def encode_and_decode(docs: DataFrame, model: bytes, keep: bool = False) -> Data
         for batch in batches:
             for part in slices(batch):
                 joined = [",".join(map(known.__getitem__, units_of(x or ""))) for x in part.column("text").to_pylist()]
-                fresh = [x for x in known.fresh if x]
-                if [known[x] for x in fresh] != [",".join(map(str, ids)) for ids in library.encode(fresh, num_threads=1)]:
+                fresh = [x for x in known.fresh if x and len(x) <= AGENDA]
+                if [known.fresh[x] for x in fresh] != [",".join(map(str, ids)) for ids in library.encode(fresh, num_threads=1)]:
                     raise AssertionError("the agenda and the sentencepiece library differ")
                 known.trim()
                 ids = [json.loads(f"[{x}]") for x in joined]
