@@ -31,8 +31,12 @@ ODD = r" ([^!-~¡-ʯ]|$)|\n([^!-~¡-ʯ]|$)|\s\n|[\x{e000}\x{e001}]"
 FIRST, LINE = "\ue000", "\ue001"
 #: Fixed value: the letter that stands for a space in byte-level vocabularies.
 SPACE = "Ġ"
-#: Units that a task remembers before it forgets those not met lately.
-REMEMBERED = 350_000
+#: Units that a task remembers before it forgets those not met lately, and letters of the longest that it does.
+REMEMBERED, LONGEST = 350_000, 64
+#: Letters of a text that the library is given at a time, where the text has a place to part it.
+CALL_LETTERS = 1 << 18
+#: Places that no pre-token goes across: before the space of a word, between a letter and a digit.
+APART = re.compile("(?<=[!-~])(?= [!-~])|(?<=[A-Za-z])(?=[0-9])")
 #: Text bytes whose units are numbered together.
 SLICE_BYTES = 8 << 20
 #: Unknown units that are encoded in one call of the library.
@@ -67,11 +71,22 @@ class Encoder:
         self.feeds = np.zeros(1 << 16, bool)
         self.feeds[self.library.encode("\n", add_special_tokens=False).ids[0]] = True
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.parted = any(map(APART.search, self.added))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint16) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = [list(self.parts(x)) for x in texts]
+        found = iter(self.library.encode_batch_fast([x for own in parts for x in own], add_special_tokens=False))
+        return [np.concatenate([np.array(next(found).ids, np.uint16) for _ in own]) for own in parts]
+
+    def parts(self, text: str) -> Iterator[str]:
+        """A text whole, or if it is long, in parts that are encoded alike alone."""
+        at = 0
+        while len(text) - at > CALL_LETTERS and not self.parted and (cut := APART.search(text, at + CALL_LETTERS)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
 
     def learn(self, keys: list[str]) -> None:
         """Encode units, many in one text: spaces, or else line feeds, begin only what a new unit begins."""
@@ -82,8 +97,9 @@ class Encoder:
             groups = [many[at : at + CALL] for at in range(0, len(many), CALL)]
             for group, ids in zip(groups, self.ids([text(g) for g in groups])):
                 cuts = np.flatnonzero(begins[ids]).tolist()
-                if len(cuts) != len(group):
-                    raise AssertionError("the ids of units can't be told apart")
+                if len(cuts) != len(group):  # ids of units that can't be told apart: one by one
+                    rest += group
+                    continue
                 skip, data = many is first, ids.tobytes()
                 young.update(zip(group, (data[2 * (a + skip) : 2 * b] for a, b in zip(cuts, [*cuts[1:], len(ids)]))))
         texts = ["\n" if k == LINE else k[1:] if k[:1] == FIRST else f" {k}" for k in rest]
@@ -103,7 +119,7 @@ class Encoder:
                 codes[n] = young[units[n]] = code
         self.learn([units[n] for n in unknown])
         for n in unknown:
-            codes[n] = young[units[n]]
+            codes[n] = young[units[n]] if len(units[n]) <= LONGEST else young.pop(units[n])
         return codes
 
     def encode(self, texts: pa.Array, end: int) -> pa.ListArray:
@@ -169,7 +185,7 @@ def write_tokens(docs: DataFrame, path: str, model: str, end: int = END) -> None
     know the order of files without their names. Rows are sorted in each file, so
     stripe and row-group statistics prune by doc_id, and Bloom filters help further.
     """
-    ranged = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = id_and_text(docs).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows = encode(ranged, model, end).select(F.spark_partition_id().alias("part"), "doc_id", "ids")
     rows.write.format("orc").options(**ORC_OPTIONS).save(path)
 
@@ -213,7 +229,7 @@ def tokens_through_orc(docs: DataFrame, model: str, path: str | None = None) ->
     doc_id, start, n_tokens (with the end id), ids_crc32 (unsigned, of the ids as
     little-endian unsigned 32-bit integers). Null and empty texts have the end id
     alone; null ids come first; rows that repeat a doc_id are neighbours, and are
-    numbered by length and checksum. Without rows the result is empty.
+    numbered in their files' order. Without rows the result is empty.
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
