@@ -53,8 +53,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, run_rows: int = RUN_ROW
     share one shard; repeated rows each get a slot; no rows give no rows.
 
     A shard's rows are numbered in runs of about ``run_rows`` keyed by a hash of
-    the id; only the runs' counts are summed up in order, so no shard meets in
-    one task. Rows of one id stay in one run; ties are ordered by size and crc32.
+    the id, size and crc32, so many null or equal ids with other texts are spread as
+    well; only the runs' counts are summed up in order, so no shard meets in one task.
+    Rows that are alike in all three are neighbours, in any order.
     """
     base = id_and_text(docs)
     rows = base.select(
@@ -65,8 +66,8 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, run_rows: int = RUN_ROW
         shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"),
     )
     runs = max(1, -(-base.select("doc_id").count() // (shards * run_rows)))
-    rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", F.lit("run")), F.lit(runs)))
-    sizes = base.select(shard_of(F.col("doc_id"), shards).alias("shard"), F.pmod(F.xxhash64("doc_id", F.lit("run")), F.lit(runs)).alias("run")).groupBy("shard", "run").count()
+    rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(runs)))
+    sizes = rows.groupBy("shard", "run").count()
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("shard", "run").orderBy("doc_id", "size", "text_crc32")
