@@ -78,7 +78,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, most_bits: int = MOST_B
 def one_of_each(docs: DataFrame, width: int = WIDTH, most_bits: int = MOST_BITS) -> DataFrame:
     """The documents, with all their columns, of which doc_id is its group's smallest.
 
-    Rows that repeat a doc_id are all kept or all dropped; null ids stay.
+    Of a tie nothing is left to choose: the smallest doc_id of a group is one. Null and
+    empty texts form one group of their own, by fingerprint 0. Rows that repeat a doc_id
+    are all kept, unless one of them lies in a group with a smaller doc_id; null ids stay.
+    No rows give no rows.
     """
     found = near_duplicates(docs.where("doc_id IS NOT NULL"), width, most_bits)
     dropped = found.where("doc_id != component_id").select("doc_id").distinct()
