@@ -1,18 +1,83 @@
-"""Iterative reconstruction as joins and grouped sums.
+"""Iterative reconstruction, by lines or as joins and grouped sums.
 
-A system matrix is a table (lor_id, vox, w). Forward projection is a join with the
-image and a sum by line; back projection is a join with the lines and a sum by
-voxel. The image has as many rows as the grid, so Spark may broadcast it by size;
-lines never are.
+By lines: an image of at most GRID_CELLS voxels goes to every task, which projects its
+lines in Arrow batches and adds their ratios to an image of its own; only these partial
+images are summed, and no line or ray sample is shuffled.
+
+As joins, for other weights and larger grids: a system matrix is a table (lor_id, vox,
+w). Forward projection is a join with the image and a sum by line; back projection is a
+join with the lines and a sum by voxel.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumivox.lineage import cut
 
+#: Voxels of an image that goes to every task (8 bytes each), and ray samples that are held at a time.
+GRID_CELLS, SAMPLES = 1 << 22, 1 << 20
+
+
+def gathered(image: DataFrame, cells: int, column: str = "v") -> np.ndarray:
+    """An image's values by voxel; its size is that of the grid, not of the data."""
+    if cells > GRID_CELLS:
+        raise ValueError("images of larger grids are joined, see expectation()")
+    rows = image.select("vox", column).toArrow()
+    out = np.zeros(cells)
+    out[rows.column("vox").to_numpy()] = rows.column(column).to_numpy()
+    return out
+
+
+def pieces(lengths: np.ndarray) -> Iterator[slice]:
+    """Consecutive lines of about SAMPLES steps."""
+    upto = np.cumsum(lengths)
+    start = 0
+    while start < len(lengths):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + SAMPLES, side="right")))
+        yield slice(start, end)
+        start = end
+
+
+def back_by_lines(lines: DataFrame, width: int, height: int, cells: int, image: np.ndarray | None = None, mu: np.ndarray | None = None, scale: float = 0.5, count: str | None = None) -> DataFrame:
+    """(vox, f): each line's count over its projection, or, without an image, its count alone, summed over its voxels.
+
+    Lines (x1..z2, len and ``count``) take one voxel a step of their longest axis; lines
+    without a step or with a projection of zero give nothing.
+    """
+    ends = [f"{a}{i}" for a in "xyz" for i in "12"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = np.zeros(cells)
+        for batch in batches:
+            every = {c: batch.column(c).to_numpy().astype(np.int64) for c in (*ends, "len")}
+            counts = batch.column(count).to_numpy() if count else np.ones(batch.num_rows)
+            for rows in pieces(every["len"]):
+                own = {c: v[rows] for c, v in every.items()}
+                length = own["len"]
+                starts = np.cumsum(length) - length
+                line = np.repeat(np.arange(len(length)), length)
+                n = np.arange(len(line)) - starts[line]
+                z, y, x = (own[f"{a}1"][line] + np.floor(n * (own[f"{a}2"] - own[f"{a}1"])[line] / length[line]).astype(np.int64) for a in "zyx")
+                vox = z * (width * height) + y * width + x
+                weight = counts[rows].astype(np.float64)
+                if image is not None:
+                    q = np.add.reduceat(image[vox], starts)
+                    if mu is not None:
+                        q *= np.exp(-scale * np.add.reduceat(mu[vox], starts))
+                    weight = np.divide(weight, q, out=np.zeros(len(q)), where=q != 0)
+                f += np.bincount(vox, weight[line], cells)
+        met = np.flatnonzero(f)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(f[met])], ["vox", "f"])
+
+    columns = [*ends, "len", *([count] if count else [])]
+    return lines.where("len > 0").select(*columns).mapInArrow(run, "vox int, f double").groupBy("vox").agg(F.sum("f").alias("f"))
+
 
 def forward(rays: DataFrame, image: DataFrame, mu: DataFrame | None = None, scale: float = 0.5) -> DataFrame:
     """(lor_id, q): what the image projects on each line, attenuated by exp(-scale * sum of mu); zeros are dropped."""
@@ -48,17 +113,16 @@ def update(image: DataFrame, f: DataFrame, norm: DataFrame | None = None) -> Dat
     return out.select("vox", (F.col("v") * factor).alias("v"))
 
 
-def ordered_subsets(rays: DataFrame, image: DataFrame, subset: Column, subsets: int, passes: int = 1, **step) -> DataFrame:
+def ordered_subsets(lines: DataFrame, image: DataFrame, subset: Column, subsets: int, grid: tuple[int, int, int], passes: int = 1, norm: DataFrame | None = None, **step) -> DataFrame:
     """EM over subsets of lines, the image updated after each; lineage is cut between them.
 
-    ``subset`` numbers each ray's line from 0. ``norm`` and what ``expectation`` takes
-    are given by name.
+    ``subset`` numbers each line from 0, ``grid`` is (nx, ny, nz). What ``back_by_lines``
+    takes besides is given by name.
     """
-    norm = step.pop("norm", None)
-    parts = rays.withColumn("subset", subset)
+    nx, ny, nz = grid
     for n in range(passes * subsets):
-        own = parts.where(F.col("subset") == n % subsets).drop("subset")
-        image = update(image, expectation(own, image, **step), norm)
+        own = lines.where(subset == n % subsets)
+        image = update(image, back_by_lines(own, nx, ny, nx * ny * nz, gathered(image, nx * ny * nz), **step), norm)
         if n + 1 < passes * subsets:
             image = cut(image)
     return image

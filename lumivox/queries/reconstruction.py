@@ -9,7 +9,7 @@ from lumivox.functions import scanner as sc
 from lumivox.jobs import reconstruction as r
 from lumivox.queries import query, shared
 
-CELLS = g.NX * g.NY * g.NZ
+GRID, CELLS = (g.NX, g.NY, g.NZ), g.NX * g.NY * g.NZ
 START = "im0 AS (SELECT CAST(i AS INTEGER) AS vox, 1.0::DOUBLE AS v FROM range(8192) t(i))"
 MU = "mu AS (SELECT vox, (vox % 7) * 0.001::DOUBLE AS mu FROM im0)"
 NORM = "nm AS (SELECT vox, 1 + (vox % 5) * 0.1::DOUBLE AS norm FROM im0)"
@@ -23,6 +23,11 @@ def start(spark):
     return spark.range(CELLS).select(F.col("id").cast("int").alias("vox"), F.lit(1.0).alias("v"))
 
 
+def values(spark, of=None):
+    """The starting image, or another one on its grid, for every task."""
+    return r.gathered(of(spark), CELLS, "mu") if of else r.gathered(start(spark), CELLS)
+
+
 def mumap(spark):
     return start(spark).select("vox", ((F.col("vox") % 7) * F.lit(0.001)).alias("mu"))
 
@@ -54,14 +59,12 @@ def out(image):
 @query(sql(step(1, "ray", "im0"), last="im1"))
 def lmem_iteration(spark, sf_dir):
     """One list-mode EM iteration over all lines."""
-    own = rays(spark, sf_dir)
-    return out(r.update(start(spark), r.expectation(own, start(spark))))
+    return out(r.update(start(spark), r.back_by_lines(g.lors(spark, sf_dir), g.NX, g.NY, CELLS, values(spark))))
 
 
 @query(sql(MU, step(1, "ray", "im0", 0.5), last="im1"))
 def lmem_attenuated(spark, sf_dir):
-    own = rays(spark, sf_dir)
-    return out(r.update(start(spark), r.expectation(own, start(spark), mumap(spark), 0.5)))
+    return out(r.update(start(spark), r.back_by_lines(g.lors(spark, sf_dir), g.NX, g.NY, CELLS, values(spark), values(spark, mumap), 0.5)))
 
 
 HALVES = ("lor_id % 2 = 0", "lor_id % 2 = 1")
@@ -69,17 +72,17 @@ HALVES = ("lor_id % 2 = 0", "lor_id % 2 = 1")
 
 @query(sql(step(1, "ray", "im0", where=HALVES[0]), step(2, "ray", "im1", where=HALVES[1]), last="im2"))
 def osem_2subsets(spark, sf_dir):
-    return out(r.ordered_subsets(rays(spark, sf_dir), start(spark), F.col("lor_id") % 2, 2))
+    return out(r.ordered_subsets(g.lors(spark, sf_dir), start(spark), F.col("lor_id") % 2, 2, GRID))
 
 
 @query(sql(NORM, step(1, "ray", "im0", where=HALVES[0], norm=True), step(2, "ray", "im1", where=HALVES[1], norm=True), last="im2"))
 def oplem_2subsets(spark, sf_dir):
-    return out(r.ordered_subsets(rays(spark, sf_dir), start(spark), F.col("lor_id") % 2, 2, norm=norms(spark)))
+    return out(r.ordered_subsets(g.lors(spark, sf_dir), start(spark), F.col("lor_id") % 2, 2, GRID, norm=norms(spark)))
 
 
 @query(sql(NORM, MU, step(1, "ray", "im0", 0.3333, HALVES[0], True), step(2, "ray", "im1", 0.3333, HALVES[1], True), last="im2"))
 def oplem_att(spark, sf_dir):
-    return out(r.ordered_subsets(rays(spark, sf_dir), start(spark), F.col("lor_id") % 2, 2, norm=norms(spark), mu=mumap(spark), scale=0.3333))
+    return out(r.ordered_subsets(g.lors(spark, sf_dir), start(spark), F.col("lor_id") % 2, 2, GRID, norm=norms(spark), mu=values(spark, mumap), scale=0.3333))
 
 
 @query(
@@ -92,10 +95,9 @@ def oplem_att(spark, sf_dir):
 )
 def mlem_binned(spark, sf_dir):
     """Binned EM: lines carry counts, and voxels their sensitivity."""
-    own = rays(spark, sf_dir)
-    counts = g.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS lor_id", "1 + o_orderkey % 3 AS n")
-    sensitivity = own.groupBy("vox").agg(F.sum("w").alias("norm"))
-    return out(r.update(start(spark), r.expectation(own, start(spark), counts=counts), sensitivity))
+    lines = g.lors(spark, sf_dir).withColumn("n", 1 + F.col("lor_id") % 3)
+    sensitivity = r.back_by_lines(lines, g.NX, g.NY, CELLS).withColumnRenamed("f", "norm")
+    return out(r.update(start(spark), r.back_by_lines(lines, g.NX, g.NY, CELLS, values(spark), count="n"), sensitivity))
 
 
 @query(shared("lor", "ray") + "SELECT vox, round(sum(1.0 / len), 6) + 0.0 AS v FROM ray JOIN lor USING (lor_id) GROUP BY vox")
