@@ -78,12 +78,12 @@ def clip(lors: DataFrame, border: float, side: float, depth: float) -> DataFrame
     return cut.where(~same)
 
 
-def samples_of(lors: DataFrame, width: int, height: int, include_end: bool = False) -> DataFrame:
-    """(lor_id, vox) along each integer line: one voxel a step of the longest axis, in exact integers."""
+def samples_of(lors: DataFrame, width: int, height: int, include_end: bool = False, step: bool = False) -> DataFrame:
+    """(lor_id, vox) along each integer line: one voxel a step of the longest axis, in exact integers; with ``step`` its number n, too."""
     steps = F.sequence(F.lit(0), F.col("len") if include_end else F.col("len") - 1)
     rays = lors.where("len > 0").withColumn("n", F.explode(steps))
     place = lambda a: F.col(f"{a}1") + F.floor(F.col("n") * (F.col(f"{a}2") - F.col(f"{a}1")) / F.col("len"))
-    return rays.select("lor_id", (place("z") * (width * height) + place("y") * width + place("x")).cast("int").alias("vox"))
+    return rays.select("lor_id", *["n"] * step, (place("z") * (width * height) + place("y") * width + place("x")).cast("int").alias("vox"))
 
 
 def pair_id(i: Column, j: Column) -> Column:

@@ -7,7 +7,7 @@ sample is not zero, so operators that need a full grid ask for one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The small reconstruction grid of the adapters.
@@ -25,10 +25,9 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each label the first eight images as slices of an 8 x 8 x 8 volume."""
-    order = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    first = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding").withColumn("z", order).where("z < 8")
-    rows = first.select(F.col("label").alias("volume_id"), "z", F.posexplode("embedding").alias("p", "v"))
+    """Each eight images in the order of vec_id as slices of an 8 x 8 x 8 volume; where an id is missing, so is its slice."""
+    place = [F.expr("vec_id DIV 8").alias("volume_id"), (F.col("vec_id") % 8).cast("int").alias("z")]
+    rows = table(spark, sf_dir, "embeddings").select(*place, F.posexplode("embedding").alias("p", "v"))
     return rows.select("volume_id", "z", F.expr("CAST(p DIV 8 AS INT)").alias("y"), (F.col("p") % 8).alias("x"), F.col("v").cast("double").alias("v"))
 
 

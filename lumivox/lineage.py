@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Compute the rows once and keep them in the folder that spark.checkpoint.dir names.
 
-    Where the setting is absent (tests, one machine) a new local folder serves.
+    Where the setting is absent and Spark runs on this machine alone (as in tests), a new
+    local folder serves; on a cluster that is an error.
     """
     spark = df.sparkSession
     if spark._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()

@@ -88,13 +88,30 @@ def neighbourhood(samples: DataFrame, axes: Sequence[str], reach: int) -> DataFr
     return out
 
 
+def windows(samples: DataFrame, key: str, axes: Sequence[str], width: int, sizes: Sequence[int]) -> DataFrame:
+    """(places, lo, m, hi): least, middle and largest value of every full width^n window."""
+    reach, inner, n = width // 2, F.lit(True), width ** len(axes)
+    for a, size in zip(axes, sizes):
+        inner = inner & F.col(a).between(reach, size - 1 - reach)
+    found = neighbourhood(samples, axes, reach).where(inner).groupBy(key, *axes).agg(F.array_sort(F.collect_list("v")).alias("w")).where(F.size("w") == n)
+    return found.select(key, *axes, F.col("w")[0].alias("lo"), F.col("w")[n // 2].alias("m"), F.col("w")[n - 1].alias("hi"))
+
+
+def adaptive_median(samples: DataFrame, key: str, axes: Sequence[str], width: int, most: int, sizes: Sequence[int]) -> DataFrame:
+    """Medians over windows that grow from ``width`` to ``most`` by two, each pass over what the last one left.
+
+    A value stays if it and the median lie strictly inside its window's range, or if its window is not full.
+    """
+    for w in range(width, most + 1, 2):
+        keep = F.expr("m IS NULL OR (v > lo AND v < hi AND m > lo AND m < hi)")
+        found = samples.join(windows(samples, key, axes, w, sizes), [key, *axes], "left")
+        samples = found.select(key, *axes, F.when(keep, F.col("v")).otherwise(F.col("m")).alias("v"))
+    return samples
+
+
 def median_filter(samples: DataFrame, key: str, axes: Sequence[str], width: int, sizes: Sequence[int]) -> DataFrame:
-    """Median of the width^n window; places whose window leaves the grid have 0."""
-    reach, inner = width // 2, F.lit(True)
-    for a, n in zip(axes, sizes):
-        inner = inner & F.col(a).between(reach, n - 1 - reach)
-    windows = neighbourhood(samples, axes, reach).where(inner).groupBy(key, *axes)
-    medians = windows.agg(F.element_at(F.array_sort(F.collect_list("v")), width ** len(axes) // 2 + 1).alias("m"))
+    """Median of the width^n window; places whose window leaves the grid, or lacks samples, have 0."""
+    medians = windows(samples, key, axes, width, sizes).select(key, *axes, "m")
     return samples.join(medians, [key, *axes], "left").select(key, *axes, F.coalesce("m", F.lit(0.0)).alias("v"))
 
 

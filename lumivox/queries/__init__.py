@@ -15,8 +15,7 @@ ORACLE_SQL: dict[str, str] = {}
 SHARED = {
     "pixel": "pixel AS (SELECT vec_id AS image_id, CAST((p - 1) // 8 AS INTEGER) AS y, CAST((p - 1) % 8 AS INTEGER) AS x, CAST(embedding[p] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(p))",
     "voxel": (
-        "sliced AS (SELECT label AS volume_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS z, embedding FROM embeddings), "
-        "voxel AS (SELECT volume_id, z, CAST((p - 1) // 8 AS INTEGER) AS y, CAST((p - 1) % 8 AS INTEGER) AS x, CAST(embedding[p] AS DOUBLE) AS v FROM sliced, range(1, 65) t(p) WHERE z < 8)"
+        "voxel AS (SELECT vec_id // 8 AS volume_id, CAST(vec_id % 8 AS INTEGER) AS z, CAST((p - 1) // 8 AS INTEGER) AS y, CAST((p - 1) % 8 AS INTEGER) AS x, CAST(embedding[p] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(p))"
     ),
     "pair": "pair AS (SELECT a.image_id, a.y, a.x, a.v AS v1, b.v AS v2 FROM pixel a JOIN pixel b ON b.image_id = a.image_id + 1 AND a.y = b.y AND a.x = b.x)",
     "vpair": "vpair AS (SELECT a.volume_id, a.z, a.y, a.x, a.v AS v1, b.v AS v2 FROM voxel a JOIN voxel b ON b.volume_id = a.volume_id + 1 AND a.z = b.z AND a.y = b.y AND a.x = b.x)",

@@ -22,11 +22,15 @@ def frame_cut(spark, sf_dir):
     return days(spark, sf_dir).select("day", g.rounded("v").alias("v"), "n")
 
 
-@query(DAYS + "SELECT day, round((coalesce(lag(v) OVER w, v) + v) / 2, 6) + 0.0 AS v FROM days WINDOW w AS (ORDER BY day)")
+@query(
+    DAYS + ", once AS (SELECT day, (v + coalesce(lead(v) OVER w, v)) / 2 AS v FROM days WINDOW w AS (ORDER BY day)), twice AS (SELECT day, (v + coalesce(lead(v) OVER w, v)) / 2 AS v FROM once WINDOW w AS (ORDER BY day)) SELECT day, round(v, 6) + 0.0 AS v FROM twice"
+)
 def curve_smooth(spark, sf_dir):
-    """One pass of means of neighbours over the daily curve; days are few, events are not ordered."""
-    w = Window.orderBy("day")
-    return days(spark, sf_dir).select("day", g.rounded((F.coalesce(F.lag("v").over(w), "v") + F.col("v")) / 2).alias("v"))
+    """Two passes over the daily curve, each point the mean of itself and the next, the last kept; days are few, events are not ordered."""
+    w, curve = Window.orderBy("day"), days(spark, sf_dir).select("day", "v")
+    for _ in range(2):
+        curve = curve.select("day", ((F.col("v") + F.coalesce(F.lead("v").over(w), "v")) / 2).alias("v"))
+    return curve.select("day", g.rounded("v").alias("v"))
 
 
 @query(
@@ -40,11 +44,20 @@ def vector_hist(spark, sf_dir):
     return events.join(F.broadcast(ends)).groupBy(F.least(F.lit(19), place).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, round(avg(value / 100), 6) + 0.0 AS cx, round(avg(CAST(user_id % 8 AS DOUBLE)), 6) + 0.0 AS cy, round(sqrt(avg((value / 100) ** 2)), 6) + 0.0 AS r FROM events GROUP BY user_id")
+@query(
+    "WITH p AS (SELECT event_id, event_type AS grp, value / 100 AS x, CAST(user_id % 8 AS DOUBLE) AS y FROM events), c AS (SELECT *, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy FROM p WINDOW w AS (PARTITION BY grp)), "
+    "s AS (SELECT grp, sqrt(2.0::DOUBLE) / nullif(avg(sqrt(dx * dx + dy * dy)), 0) AS scale FROM c GROUP BY grp) SELECT event_id, round(scale * dx, 6) + 0.0 AS x, round(scale * dy, 6) + 0.0 AS y FROM c JOIN s USING (grp)"
+)
 def norm2d_pts(spark, sf_dir):
-    """Centre and root mean square of each user's points."""
-    p = g.table(spark, sf_dir, "events").select("user_id", (F.col("value") / 100).alias("x"), (F.col("user_id") % 8).cast("double").alias("y"))
-    return p.groupBy("user_id").agg(g.rounded(F.avg("x")).alias("cx"), g.rounded(F.avg("y")).alias("cy"), g.rounded(F.sqrt(F.avg(F.col("x") * F.col("x")))).alias("r"))
+    """The points of each type of event about their centre, scaled to a mean distance of the square root of two.
+
+    Centres and scales are grouped sums, joined back to the points; types are few.
+    """
+    p = points(spark, sf_dir).join(g.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("grp")), "event_id")
+    centres = p.groupBy("grp").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    moved = p.join(centres, "grp").select("event_id", "grp", (F.col("x") - F.col("cx")).alias("dx"), (F.col("y") - F.col("cy")).alias("dy"))
+    scales = moved.groupBy("grp").agg(F.try_divide(F.sqrt(F.lit(2.0)), F.avg(F.hypot("dx", "dy"))).alias("scale"))
+    return moved.join(scales, "grp").select("event_id", *(g.rounded(F.col("scale") * F.col(f"d{a}")).alias(a) for a in "xy"))
 
 
 PTS = "SELECT event_id, value / 100 AS x, CAST(user_id % 8 AS DOUBLE) AS y FROM events"
@@ -145,10 +158,27 @@ def deflect(spark, sf_dir):
     return a.select("event_id", g.rounded(F.sin("t") * F.cos("p")).alias("dx"), g.rounded(F.sin("t") * F.sin("p")).alias("dy"), g.rounded(F.cos("t")).alias("dz"))
 
 
+MOVES = "t AS (SELECT z1 AS z, y2 - y1 AS ty, x2 - x1 AS tx, count(*) AS n FROM lor GROUP BY ALL)"
+
+
 @query(
-    "SELECT count(*) AS n, x2 - x1 AS dx, y2 - y1 AS dy FROM lor GROUP BY ALL HAVING count(*) > 1", "lor"
+    f", {MOVES}, m AS (SELECT a.z, a.ty, a.tx, sum(b.n) AS cons, sum(b.n * sqrt((b.ty - a.ty) ** 2 + (b.tx - a.tx) ** 2)) / sum(b.n) AS err FROM t a JOIN t b ON a.z = b.z AND (b.ty - a.ty) ** 2 + (b.tx - a.tx) ** 2 < 9 GROUP BY a.z, a.ty, a.tx) "
+    "SELECT z, ty, tx, round(err, 6) + 0.0 AS err, CAST(cons AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY z ORDER BY round(err, 9), ty, tx) AS r FROM m WHERE cons > 2) WHERE r = 1",
+    "lor",
 )
 def ransac_translation(spark, sf_dir):
-    """Votes for translations between the two ends of each line; consensus is more than one."""
-    votes = g.lors(spark, sf_dir).groupBy((F.col("x2") - F.col("x1")).alias("dx"), (F.col("y2") - F.col("y1")).alias("dy")).agg(F.count("*").alias("n"))
-    return votes.where("n > 1")
+    """For the lines of each first slice the translation between their ends that fits its consensus best.
+
+    Every line's own translation is tried. Its consensus are the lines whose translation
+    is less than 3 away, more than 2 of them; its error is their mean distance, ties go
+    to the smaller translation. Lines of equal translation are counted first, and each
+    count is handed to the integer translations around it, so lines meet no lines.
+    """
+    moves = g.lors(spark, sf_dir).groupBy(F.col("z1").alias("z"), (F.col("y2") - F.col("y1")).alias("ty"), (F.col("x2") - F.col("x1")).alias("tx")).agg(F.count("*").alias("n"))
+    near = [(dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if dy * dy + dx * dx < 9]
+    around = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit((dy * dy + dx * dx) ** 0.5).alias("d")) for dy, dx in near)))
+    votes = moves.select("z", "ty", "tx", "n", around.alias("a")).select("z", (F.col("ty") + F.col("a.dy")).alias("ty"), (F.col("tx") + F.col("a.dx")).alias("tx"), "n", "a.d")
+    models = votes.groupBy("z", "ty", "tx").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("d")) / F.sum("n")).alias("err")).where("n > 2")
+    models = models.join(moves.select("z", "ty", "tx"), ["z", "ty", "tx"], "left_semi")
+    best = models.groupBy("z").agg(F.min(F.struct(F.round("err", 9).alias("e"), "ty", "tx", "n", "err")).alias("b"))
+    return best.select("z", "b.ty", "b.tx", g.rounded("b.err").alias("err"), "b.n")

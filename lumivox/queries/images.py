@@ -198,12 +198,19 @@ def combined(name: str, sql: str, change):
 combined("mat_add", "v1 + v2", lambda a, b: a + b)
 combined("mat_sub", "v1 - v2", lambda a, b: a - b)
 combined("mat_mul", "v1 * v2", lambda a, b: a * b)
-combined("mat_div", "v1 / (1 + v2 * v2)", lambda a, b: a / (1 + b * b))
+combined("mat_div", "v1 / nullif(v2, 0)", F.try_divide)
 combined("color_gray_blend", "0.299 * v1 + 0.587 * v2 + 0.114 * v1", lambda a, b: 0.299 * a + 0.587 * b + 0.114 * a)
-combined("image_anaglyph", "(1 + v1) / 2 + (1 + v2) / 2", lambda a, b: (1 + a) / 2 + (1 + b) / 2)
 combined("blend_mask", "v1 * (x / 7.0) + v2 * (1 - x / 7.0)", lambda a, b: a * (F.col("x") / 7.0) + b * (1 - F.col("x") / 7.0))
 
 
+@query("SELECT image_id, y, x, round((1 + v1) / 2, 6) + 0.0 AS red, round((1 + 2 * v2) / 2, 6) + 0.0 AS green, round((1 + 3 * v1) / 2, 6) + 0.0 AS blue FROM pair", "pixel", "pair")
+def image_anaglyph(spark, sf_dir):
+    """Red and blue of the right image, green of the left, each halfway to white; channel c of an image is c times its values."""
+    right, left = F.col("v1"), F.col("v2")
+    channels = {"red": right, "green": 2 * left, "blue": 3 * right}
+    return g.image_pairs(spark, sf_dir).select("image_id", "y", "x", *(g.rounded((1 + v) / 2).alias(c) for c, v in channels.items()))
+
+
 @query("SELECT image_id, y, x, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w), 6) + 0.0 AS v FROM pixel WINDOW w AS (PARTITION BY image_id)", "pixel")
 def color_norm_gray(spark, sf_dir):
     return s.min_max(g.pixels(spark, sf_dir), "image_id").select("image_id", "y", "x", g.rounded("v").alias("v"))
@@ -218,19 +225,25 @@ def median_2d(spark, sf_dir):
     return s.median_filter(g.pixels(spark, sf_dir), "image_id", YX, 3, (8, 8))
 
 
-@query(
-    "SELECT image_id, y, x, CASE WHEN y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 AND NOT (v > lo AND v < hi AND m > lo AND m < hi) THEN m ELSE v END AS v FROM ("
-    "SELECT a.image_id, a.y, a.x, any_value(a.v) AS v, min(b.v) AS lo, max(b.v) AS hi, list_sort(list(b.v))[5] AS m "
-    "FROM pixel a JOIN pixel b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.image_id, a.y, a.x)",
-    "pixel",
-)
+def adaptive_sql(key: str, source: str, axes: str, width: int, most: int) -> str:
+    """A pass for each width, as common table expressions."""
+    places, last, passes = ", ".join(f"a.{x}" for x in axes), source, []
+    for w in range(width, most + 1, 2):
+        reach, n = w // 2, w ** len(axes)
+        inside = " AND ".join(f"{x} BETWEEN {reach} AND {7 - reach}" for x in axes)
+        near = " AND ".join(f"abs(a.{x} - b.{x}) <= {reach}" for x in axes)
+        passes.append(
+            f", w{w} AS (SELECT a.{key}, {places}, any_value(a.v) AS v, min(b.v) AS lo, max(b.v) AS hi, count(*) AS n, list_sort(list(b.v))[{n // 2 + 1}] AS m FROM {last} a JOIN {last} b ON a.{key} = b.{key} AND {near} GROUP BY a.{key}, {places}), "
+            f"p{w} AS (SELECT {key}, {', '.join(axes)}, CASE WHEN {inside} AND n = {n} AND NOT (v > lo AND v < hi AND m > lo AND m < hi) THEN m ELSE v END AS v FROM w{w})"
+        )
+        last = f"p{w}"
+    return "".join(passes) + f" SELECT * FROM {last}"
+
+
+@query(adaptive_sql("image_id", "pixel", "yx", 3, 5), "pixel")
 def adaptive_median_2d(spark, sf_dir):
-    """One pass: a pixel stays if it and the median lie strictly inside its window's range."""
-    p = g.pixels(spark, sf_dir)
-    window = s.neighbourhood(p, YX, 1).where("y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6").groupBy("image_id", "y", "x")
-    stats = window.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.element_at(F.array_sort(F.collect_list("v")), 5).alias("m"))
-    keep = F.expr("m IS NULL OR (v > lo AND v < hi AND m > lo AND m < hi)")
-    return p.join(stats, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.when(keep, F.col("v")).otherwise(F.col("m")).alias("v"))
+    """Adaptive median over windows of 3 and 5 pixels a side."""
+    return s.adaptive_median(g.pixels(spark, sf_dir), "image_id", YX, 3, 5, (8, 8))
 
 
 GAUSS = "exp(-(dy * dy + dx * dx) / 2.0)"

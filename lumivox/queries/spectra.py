@@ -145,14 +145,16 @@ def filter_queries(name: str, transfer, sql: str):
         used = {"kx": "x", "ky": "y", "kz": "z"}
         radius = "sqrt(" + " + ".join(f"({used[a]} - 4) * ({used[a]} - 4)" for a in k) + ") / 8"
 
-        # A transfer function is joined to the samples of its grid: the mean of what it weighs, by key.
-        @query(f"SELECT {key}, round(sum(v * ({sql})) / sum({sql}), 6) + 0.0 AS v FROM (SELECT {key}, v, {radius} AS f FROM {source}) GROUP BY {key}", source, name=f"filter_build_{axes}d_{name}")
-        def build(spark, sf_dir, k=k, used=used, source=source, key=key, axes=axes):
+        every = "z, y, x" if axes == 3 else "y, x"
+
+        # H at each place of the grid, beside the samples and what is left of them.
+        @query(f"SELECT {key}, {every}, round({sql}, 6) + 0.0 AS h, round(v * ({sql}), 6) + 0.0 AS v FROM (SELECT *, {radius} AS f FROM {source})", source, name=f"filter_build_{axes}d_{name}")
+        def build(spark, sf_dir, k=k, used=used, source=source, key=key, every=every):
             samples = g.pixels(spark, sf_dir) if source == "pixel" else g.voxels(spark, sf_dir)
             table = g.grid(spark, **{used[a]: 8 for a in k})
             table = table.withColumn("h", transfer(s.distance([used[a] for a in k], [4] * len(k)) / 8))
             weighed = samples.join(F.broadcast(table), [used[a] for a in k])
-            return weighed.groupBy(key).agg(g.rounded(F.sum(F.col("v") * F.col("h")) / F.sum("h")).alias("v"))
+            return weighed.select(key, *every.split(", "), g.rounded("h").alias("h"), g.rounded(F.col("v") * F.col("h")).alias("v"))
 
 
 for _name, (_transfer, _sql) in TRANSFERS.items():

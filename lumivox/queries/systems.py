@@ -262,10 +262,11 @@ def image_hist(spark, sf_dir):
 
 
 @query(
-    ", r AS (SELECT lor_id, ray.vox, row_number() OVER (PARTITION BY lor_id ORDER BY vox) AS n, count(*) OVER (PARTITION BY lor_id) AS c FROM ray JOIN (SELECT CAST(i AS INTEGER) AS vox FROM range(8192) t(i)) im USING (vox) WHERE vox % 3 = 0) SELECT lor_id, min(vox) AS vox, CAST(max(c) AS BIGINT) AS n FROM r GROUP BY lor_id",
-    "lor", "ray",
-)
+    ", s AS (SELECT lor_id, n, CAST((z1 + floor(n * (z2 - z1) / len)) * 1024 + (y1 + floor(n * (y2 - y1) / len)) * 32 + x1 + floor(n * (x2 - x1) / len) AS INTEGER) AS vox FROM (SELECT *, unnest(range(0, len)) AS n FROM lor)) "
+    "SELECT lor_id, arg_min(vox, n) AS vox, CAST(min(n) AS INTEGER) AS step, count(*) AS n FROM s WHERE vox % 3 = 0 GROUP BY lor_id",
+    "lor",
+)
 def first_hit(spark, sf_dir):
-    """For every line its lowest marked voxel and the number of marked ones it meets."""
-    marked = start(spark).where("vox % 3 = 0").select("vox")
-    return sc.samples_of(g.lors(spark, sf_dir), g.NX, g.NY).join(marked, "vox").groupBy("lor_id").agg(F.min("vox").alias("vox"), F.count("*").alias("n"))
+    """For every line the first marked voxel along it, after how many steps, and the number of marked ones it meets."""
+    met = sc.samples_of(g.lors(spark, sf_dir), g.NX, g.NY, step=True).where("vox % 3 = 0")
+    return met.groupBy("lor_id").agg(F.min_by("vox", "n").alias("vox"), F.min("n").alias("step"), F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumivox import grid as g
 from lumivox.operators import samples as s
 from lumivox.queries import query
-from lumivox.queries.images import STATS, figures
+from lumivox.queries.images import STATS, adaptive_sql, figures
 
 ZYX = ("z", "y", "x")
 
@@ -113,7 +113,7 @@ masked("volume_mask_ball", "(z - 4) * (z - 4) + (y - 4) * (y - 4) + (x - 4) * (x
 
 
 @query(
-    "SELECT a.volume_id, a.z, a.y, a.x, CASE WHEN a.z BETWEEN 1 AND 6 AND a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 THEN list_sort(list(b.v))[14] ELSE 0.0 END AS v "
+    "SELECT a.volume_id, a.z, a.y, a.x, CASE WHEN a.z BETWEEN 1 AND 6 AND a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 AND count(*) = 27 THEN list_sort(list(b.v))[14] ELSE 0.0 END AS v "
     "FROM voxel a JOIN voxel b ON a.volume_id = b.volume_id AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.volume_id, a.z, a.y, a.x",
     "voxel",
 )
@@ -121,6 +121,12 @@ def median_3d(spark, sf_dir):
     return s.median_filter(g.voxels(spark, sf_dir), "volume_id", ZYX, 3, (8, 8, 8))
 
 
+@query(adaptive_sql("volume_id", "voxel", "zyx", 3, 5), "voxel")
+def adaptive_median_3d(spark, sf_dir):
+    """Adaptive median over windows of 3 and 5 voxels a side."""
+    return s.adaptive_median(g.voxels(spark, sf_dir), "volume_id", ZYX, 3, 5, (8, 8, 8))
+
+
 RESAMPLED = """
 , tap AS (SELECT CAST(t AS INTEGER) AS t, CAST(k AS INTEGER) AS k, t * 8 / 12.0 - k AS d FROM range(12) a(t), range(8) b(k) WHERE k > floor(t * (8 / 12.0)) - {a} AND k <= floor(t * (8 / 12.0)) + {a}),
 w AS (SELECT t, k, CASE WHEN abs(d) < 1e-12 THEN 1.0 ELSE sin(pi() * d) / (pi() * d) END * CASE WHEN abs(d) < 1e-12 THEN 1.0 ELSE sin(pi() * d / {a}) / (pi() * d / {a}) END AS w FROM tap)
