@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from lumivox import grid as g
 from lumivox.functions import scanner as sc
 from lumivox.jobs import reconstruction as r
+from lumivox.lineage import cut
 from lumivox.operators import samples as s
 from lumivox.queries import query, shared
 from lumivox.queries.detectors import path_lengths
-from lumivox.queries.reconstruction import MU, START, mumap, out, rays, start
+from lumivox.queries.reconstruction import HALVES, MU, NORM, START, mumap, norms, out, rays, start
 
 YX = ("y", "x")
 INCLUSIVE = "ray AS (SELECT lor_id, CAST((z1 + floor(n * (z2 - z1) / len)) * 1024 + (y1 + floor(n * (y2 - y1) / len)) * 32 + x1 + floor(n * (x2 - x1) / len) AS INTEGER) AS vox FROM (SELECT *, unnest(range(0, len + 1)) AS n FROM lor))"
@@ -93,6 +94,50 @@ def lmem_siddon(spark, sf_dir):
     return r.expectation(siddon_rays(spark, sf_dir), start(spark)).select("vox", g.rounded("f", 5).alias("v"))
 
 
+def siddon_step(n: int, image: str, scale: float | None = None, where: str = "true", norm: bool = False) -> str:
+    """CTEs of one EM step with exact path lengths from ``image`` to ``im<n>``."""
+    fade, mu = (f" * exp(-{scale} * sum(w * mu))", " JOIN mu USING (vox)") if scale else ("", "")
+    factor, nm = ("coalesce(f, 0) / norm", " JOIN nm USING (vox)") if norm else ("coalesce(f, 0)", "")
+    return (
+        f", part{n} AS (SELECT * FROM seg WHERE {where}), q{n} AS (SELECT lor_id, sum(w * v){fade} AS q FROM part{n} JOIN {image} USING (vox){mu} GROUP BY lor_id), "
+        f"f{n} AS (SELECT vox, sum(w / q) AS f FROM part{n} JOIN q{n} USING (lor_id) WHERE q <> 0 GROUP BY vox), im{n} AS (SELECT vox, v * {factor} AS v FROM {image} LEFT JOIN f{n} USING (vox){nm})"
+    )
+
+
+EXACT = f"{SIDDON}, {START}, {MU}, {NORM}"
+
+
+def exact(image):
+    return image.select("vox", g.rounded("v", 5).alias("v"))
+
+
+@query(EXACT + siddon_step(1, "im0", 0.5) + " SELECT vox, round(v, 5) + 0.0 AS v FROM im1", "lor")
+def lmem_siddon_attenuated(spark, sf_dir):
+    """One EM step with exact path lengths, attenuated by half of their sum over the map."""
+    return exact(r.update(start(spark), r.expectation(siddon_rays(spark, sf_dir), start(spark), mumap(spark), 0.5)))
+
+
+def in_halves(spark, own, **step):
+    """Two subsets of lines by their number, the image updated and normalised after each."""
+    image = r.update(start(spark), r.expectation(own.where("lor_id % 2 = 0"), start(spark), **step), norms(spark))
+    image = cut(image)
+    return r.update(image, r.expectation(own.where("lor_id % 2 = 1"), image, **step), norms(spark))
+
+
+HALVED = "{0}{1} SELECT vox, round(v, 5) + 0.0 AS v FROM im2"
+
+
+@query(EXACT + HALVED.format(siddon_step(1, "im0", None, HALVES[0], True), siddon_step(2, "im1", None, HALVES[1], True)), "lor")
+def oplem_siddon(spark, sf_dir):
+    """One pass over two subsets with exact path lengths."""
+    return exact(in_halves(spark, siddon_rays(spark, sf_dir)))
+
+
+@query(EXACT + HALVED.format(siddon_step(1, "im0", 0.3333, HALVES[0], True), siddon_step(2, "im1", 0.3333, HALVES[1], True)), "lor")
+def oplem_siddon_attenuated(spark, sf_dir):
+    return exact(in_halves(spark, siddon_rays(spark, sf_dir), mu=mumap(spark), scale=0.3333))
+
+
 @query("SELECT lor_id, c1, d1, c2, d2 FROM event WHERE d1 = 7 OR d2 = 7", "event")
 def pack_id(spark, sf_dir):
     """Events of one module."""

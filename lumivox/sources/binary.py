@@ -66,6 +66,32 @@ def read_id_records(spark: SparkSession, path: str) -> DataFrame:
     return _records(_files(spark, path), np.dtype([(c, "<i4") for c in ("c1", "d1", "c2", "d2")]), ["c1", "d1", "c2", "d2"])
 
 
+def read_lines(spark: SparkSession, base: str, dtype: str = "<u2", start: int = 0, stop: int | None = None) -> DataFrame:
+    """(n, x1, y1, z1, x2, y2, z2): lines ``start`` up to ``stop`` of list-mode data in six files base.x1 .. base.z2.
+
+    Files of 16-bit integers or of floats, one number a line; such data is written in
+    chunks of files, each of which fits a task. Lines that some file lacks are left out.
+    """
+    ends = [f"{a}{i}" for i in "12" for a in "xyz"]
+    kind = "int" if np.dtype(dtype).kind in "iu" else "double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                values = np.frombuffer(content, dtype)[start:stop].astype(np.int32 if kind == "int" else np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([path[-2:]] * len(values), pa.string()), pa.array(np.arange(start, start + len(values))), pa.array(values)], ["end", "n", "v"])
+
+    files = spark.read.format("binaryFile").load([f"{base}.{e}" for e in ends]).select("path", "content")
+    numbers = files.mapInArrow(run, f"end string, n long, v {kind}")
+    lines = numbers.groupBy("n").agg(*(F.max(F.when(F.col("end") == e, F.col("v"))).alias(e) for e in ends), F.count("*").alias("all"))
+    return lines.where(F.col("all") == len(ends)).drop("all")
+
+
+def in_order(lines: DataFrame, order: DataFrame) -> DataFrame:
+    """(place, n, ends..): the lines that ``order`` (place, n) names, to be taken in the order of ``place``; a line may be named twice."""
+    return order.join(lines, "n")
+
+
 def read_phase_space(spark: SparkSession, path: str) -> DataFrame:
     return _records(_files(spark, path), PHASE_SPACE, list(PHASE_SPACE.names[:-2]))
 

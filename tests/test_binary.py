@@ -33,3 +33,17 @@ def test_records(spark, tmp_path):
 def test_simulator_text(spark, tmp_path):
     (tmp_path / "c.txt").write_text(" ".join(map(str, range(40))) + "\nshort line\n")
     assert [tuple(r) for r in binary.read_coincidences(spark, str(tmp_path / "c.txt")).collect()] == [(15, 12, 38, 35)]
+
+
+def test_lines_in_six_files(spark, tmp_path):
+    ends = [f"{a}{i}" for i in "12" for a in "xyz"]
+    for dtype in ("<u2", "<f4"):
+        numbers = {e: (np.arange(50) * (k + 1) + k).astype(dtype) for k, e in enumerate(ends)}
+        for e, values in numbers.items():
+            (tmp_path / f"lors{dtype[1]}.{e}").write_bytes(values.tobytes())
+        for start, stop in ((0, None), (7, 20), (40, 90)):
+            found = sorted(tuple(r) for r in binary.read_lines(spark, str(tmp_path / f"lors{dtype[1]}"), dtype, start, stop).collect())
+            assert found == [(n, *(numbers[e][n].item() for e in ends)) for n in range(start, min(50, stop or 50))]
+    order = spark.createDataFrame([(0, 9), (1, 3), (2, 9)], "place long, n long")
+    taken = binary.in_order(binary.read_lines(spark, str(tmp_path / "lorsu")), order).orderBy("place").collect()
+    assert [(r.n, r.x1) for r in taken] == [(9, 9), (3, 3), (9, 9)]
