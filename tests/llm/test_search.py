@@ -156,6 +156,31 @@ def test_gradients():
             assert abs((high - low) / 2e-5 - grads[name][place]) < 2e-3, name
 
 
+def plain_score(net, text):
+    """The network read off its definition: windows of eight bytes, chunks that overlap by half, largest values and means."""
+    p = {k: v.astype(float) for k, v in net.params.items()}
+    halves = -(-(len(text) + 4) // 256)
+    padded = text.ljust(halves * 256, b"\0")
+    best = []
+    for h in range(halves):
+        most = np.zeros(quality.FILTERS)
+        for at in range(h * 256, h * 256 + 256, 4):
+            if at + 8 <= len(padded):
+                window = np.concatenate([p["embed"][b] for b in padded[at : at + 8]])
+                most = np.maximum(most, window @ p["filters"] + p["bias"])
+        best.append(most)
+    chunks = [np.maximum(a, b) for a, b in zip(best, best[1:])] + [best[-1]]
+    features = np.concatenate([np.max(chunks, axis=0), np.mean(chunks, axis=0)])
+    return 1 / (1 + np.exp(-(features @ p["out"] + p["shift"][0])))
+
+
+def test_scores_as_defined():
+    rng = np.random.default_rng(7)
+    net = quality.Network(4)
+    texts = [bytes(rng.integers(0, 256, n).tolist()) for n in (0, 1, 251, 252, 253, 256, 700, 2000)]
+    assert np.allclose(net.scores(texts), [plain_score(net, t) for t in texts], atol=1e-4)
+
+
 def test_quality_of_odd_rows(spark, odd, make_docs):
     labels = spark.createDataFrame([(i, i % 2, "x") for i in range(30)] + [(None, 1, "x"), (3, None, "x"), (4, 7, "x")], "doc_id long, quality int, text string")
     found = quality.classify(odd, labels).collect()

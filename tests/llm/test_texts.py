@@ -8,6 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -125,6 +126,29 @@ def test_jump_hash_as_defined():
     assert sharding.jump_hash(np.array(keys, np.uint64), 40).tolist() == [plain(k, 40) for k in keys]
 
 
+def mix(value, seed):
+    """XXH64 of a long of eight bytes, as Spark's xxhash64 has it."""
+    return xxhash.xxh64_intdigest(value.to_bytes(8, "little", signed=True), seed)
+
+
+def test_whole_result_of_shards(make_docs):
+    def jump(key, n):
+        b, j = -1, 0
+        while j < n:
+            b, key = j, (key * 2862933555777941757 + 1) % (1 << 64)
+            j = int((b + 1) * (float(1 << 31) / ((key >> 33) + 1)))
+        return b
+
+    rows = [(i * 7 - 50, "t" * (i % 13)) for i in range(500)]
+    found = sharding.assign_shards(make_docs(rows)).collect()
+    want = {i: (len(t) + 16, zlib.crc32(t.encode()), "key", jump(mix(i, 42), 40), jump(mix(i, 42), 41)) for i, t in rows}
+    assert {r.doc_id: (r["size"], r.text_crc32, r.law, r.shard, r.grown_shard) for r in found} == want
+    slots = {}
+    for r in found:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 @pytest.mark.parametrize("run_rows", [1, 100_000])
 def test_shards(odd, run_rows):
     found = sharding.assign_shards(odd, 3, run_rows).toPandas()
