@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from lumivox import grid as g
@@ -155,12 +157,56 @@ def flat_gaussian_z(spark, sf_dir):
     return lifted.groupBy("volume_id", "y", "x").agg(g.rounded(F.sum(F.col("v") * weight)).alias("v"))
 
 
-@query(
-    "SELECT volume_id, y, x, CAST(min(z) AS INTEGER) AS depth, round(min_by(v, z), 6) + 0.0 AS v FROM voxel WHERE v > 0.1 GROUP BY ALL", "voxel"
-)
+def surface_rays(alpha: float, beta: float, size: int = 8, scale: float = 1.0) -> list[list[str]]:
+    """Steps from (py, px) of an image to points (i, z, y, x) on its rays through a volume, as expressions of both dialects.
+
+    The volume lies in the middle of a world twice the image's width; a ray is turned by
+    two angles, cut to the volume's box, and followed in steps of its longest axis. An
+    end on the far face moves to the last voxel.
+    """
+    number = lambda x: f"CAST({x!r} AS DOUBLE)"
+    ca, sa, cb, sb = math.cos(alpha), math.sin(alpha), math.cos(beta), math.sin(beta)
+    far, mid, pad = math.sqrt(2 * size * size) + 1, float(size), size / 2
+    turned = {"x": (ca, 0.0, sa), "y": (sb * sa, cb, -sb * ca), "z": (-sa * cb, sb, cb * ca)}
+    ends = [
+        f"{number(mid)} + (px - {size // 2}) * {number(scale * u)} + (py - {size // 2}) * {number(scale * v)} + {number(sign * far * w)} AS {a}{i}"
+        for i, sign in ((1, -1), (2, 1)) for a, (u, v, w) in turned.items()
+    ]
+    gaps = [f"CASE WHEN {a}2 = {a}1 THEN {number(1e-10)} ELSE {a}2 - {a}1 END AS d{a}" for a in "xyz"]
+    sides = {a: (f"({number(pad)} - {a}1) / d{a}", f"({number(pad + size)} - {a}1) / d{a}") for a in "xyz"}
+    near = "greatest(" + ", ".join(f"least({p}, {q})" for p, q in sides.values()) + ") AS t1"
+    away = "least(" + ", ".join(f"greatest({p}, {q})" for p, q in sides.values()) + ") AS t2"
+    met = [f"round({a}1 + d{a} * t{i}, 9) - {number(pad)} AS {a}{i}" for i in (1, 2) for a in "xyz"]
+    held = [f"CASE WHEN floor({a}{i} + {number(0.5)}) = {size} THEN {number(size - 1.0)} ELSE {a}{i} END AS {a}{i}" for i in (1, 2) for a in "xyz"]
+    count = "CAST(greatest(" + ", ".join(f"floor(abs({a}2 - {a}1))" for a in "xyz") + ") AS INTEGER) AS n"
+    places = [f"CAST(floor(round({a}1 + {number(0.5)} + CASE WHEN n = 0 THEN {number(0.0)} ELSE i * ({a}2 - {a}1) / n END, 9)) AS INTEGER) AS {a}" for a in "zyx"]
+    return [["py", "px", *ends], ["*", *gaps], ["*", near, away], ["py", "px", "t1", "t2", *met], ["py", "px", "t1", "t2", *held], ["*", count], ["py", "px", "i", *places]]
+
+
+RAYS = surface_rays(0.6, 0.35)
+INSIDE = "t1 <= t2 AND " + " AND ".join(f"{a}{i} BETWEEN 0 AND 8" for a in "xyz" for i in (1, 2))
+
+
+def surface_sql() -> str:
+    names, out = "abcdef", [f", a AS (SELECT {', '.join(RAYS[0])} FROM range(8) r(py), range(8) c(px))"]
+    for last, name, columns in zip(names, names[1:], RAYS[1:]):
+        out.append(f", {name} AS (SELECT {', '.join(columns)} FROM {last}{' WHERE ' + INSIDE if name == 'e' else ''})")
+    return "".join(out) + f", g AS (SELECT {', '.join(RAYS[-1])} FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM f)) "
+
+
+@query(surface_sql() + "SELECT volume_id, CAST(py AS INTEGER) AS y, CAST(px AS INTEGER) AS x, CAST(min(i) AS INTEGER) AS step, arg_min(v, i) AS v FROM g JOIN voxel USING (z, y, x) WHERE v > 0.1 GROUP BY volume_id, py, px", "voxel")
 def volume_surf(spark, sf_dir):
-    """First voxel above a threshold along z."""
-    return g.voxels(spark, sf_dir).where("v > 0.1").groupBy("volume_id", "y", "x").agg(F.min("z").alias("depth"), g.rounded(F.min_by("v", "z")).alias("v"))
+    """First value above a threshold along the rays of an 8 x 8 image seen from two angles; rays without any are left out.
+
+    The rays' points depend on the image alone; they are few and meet the voxels by a broadcast.
+    """
+    rays = g.grid(spark, py=8, px=8)
+    for n, columns in enumerate(RAYS[:-1]):
+        rays = (rays.where(INSIDE) if n == 4 else rays).selectExpr(*columns)
+    points = rays.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n")))).selectExpr(*RAYS[-1])
+    met = g.voxels(spark, sf_dir).where("v > 0.1").join(F.broadcast(points), list(ZYX))
+    first = met.groupBy("volume_id", "py", "px").agg(F.min("i").alias("step"), F.min_by("v", "i").alias("v"))
+    return first.select("volume_id", F.col("py").alias("y"), F.col("px").alias("x"), "step", "v")
 
 
 @query(
