@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step holds at a time.
 STEP_BYTES = 1 << 21
+#: Links that one partition holds, and that are joined in memory at a time.
+LINKS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where unset (tests), a new local one."""
+    """The folder named in spark.checkpoint.dir; where unset, and Spark runs on this machine alone, a new local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark._jsc.sc().getCheckpointDir().isEmpty():
@@ -30,10 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute the rows once and keep them in the shared folder, without lineage."""
+def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """Compute the rows once and keep them in the shared folder, without lineage.
+
+    Where their number is known to be at most ``most_rows``, few rows don't stay in many partitions.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df if most_rows is None else df.coalesce(1 + most_rows // LINKS)).checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -82,23 +90,64 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES)
         yield batch.slice(start)
 
 
+def joined(pairs: np.ndarray) -> np.ndarray:
+    """The same components as stars: each node once, beside the smallest node that these links reach from it."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for u, v in pairs.tolist():
+        if (x := find(u)) != (y := find(v)):
+            root[max(x, y)] = min(x, y)
+    stars = [(x, y) for x in root if (y := find(x)) != x]
+    return np.array(stars, np.int64).reshape(-1, 2)
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(u, v) with the same components: every LINKS links of a partition have become stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stars() -> pa.RecordBatch:
+            found = joined(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1))
+            size += batch.num_rows
+            if size >= LINKS:
+                yield stars()
+                held, size = [], 0
+        if held:
+            yield stars()
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of the links; root is the smallest node reachable.
 
-    Alternating large and small stars: every round is two grouped minima and two
-    joins, so no component ever meets in one task. Rounds end when the edges stay
-    as they are. Without links the result is empty.
+    Links that lie together are joined first. Then alternating large and small stars:
+    every round is two grouped minima and two joins, so no component ever meets in
+    one task. Rounds end when the edges stay as they are. Without links the result
+    is empty.
     """
-    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
+    edges = cut(links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u != v"))
     mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))))
+    n = edges.count()
+    edges = cut(contracted(edges.coalesce(1 + n // LINKS)).distinct(), n)
     before = edges.agg(mark).first()[0]
     while before[0]:
+        few = 1 + n // LINKS
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(few)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(few).distinct(), n)
         now = edges.agg(mark).first()[0]
         if now == before:
             break
