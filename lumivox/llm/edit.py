@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+import numpy as np
 
-def edit_distance(a: str | bytes, b: str | bytes) -> int:
+#: Letters of a string that numpy takes, pairs for each block that are worth it, and pairs at a time.
+SHORT, FEW, MANY = 2048, 8, 1024
+#: Blocks of 64 letters that the shorter strings of a call may have.
+BLOCKS = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32)
+#: Buckets of trigrams, pairs whose trigrams are counted at a time, and words that a walk looks ahead.
+BUCKETS, COUNTED, AHEAD = 4096, 128, 3
+#: Columns between two looks at which pairs are beyond hope.
+COLUMNS = 32
+
+
+def trimmed(a: str | bytes, b: str | bytes) -> tuple[str | bytes, str | bytes]:
+    """Two strings without their common ends."""
+    for _ in range(2):
+        low, high = 0, min(len(a), len(b))
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+        a, b = a[low:][::-1], b[low:][::-1]
+    return a, b
+
+
+def edit_distance(a: str | bytes, b: str | bytes, most: int | None = None) -> int:
     """Levenshtein distance; one column of the table is one Python integer.
 
     Common ends are cut first. Each step adds one letter of the longer string to
-    the columns' differences, kept as bit sets of +1 and -1.
+    the columns' differences, kept as bit sets of +1 and -1. With ``most`` the result
+    is some number above it as soon as the distance must be.
     """
-    if len(a) > len(b):
-        a, b = b, a
-    start = 0
-    while start < len(a) and a[start] == b[start]:
-        start += 1
-    a, b = a[start:], b[start:]
-    end = 0
-    while end < len(a) and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[: len(a) - end], b[: len(b) - end]
+    a, b = sorted(trimmed(a, b), key=len)
     if not a:
         return len(b)
     at: dict = {}
@@ -26,7 +40,13 @@ def edit_distance(a: str | bytes, b: str | bytes) -> int:
         at[letter] = at.get(letter, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, distance = full, 0, len(a)
+    if most is None:
+        most = len(b)
+    reach = most + len(b)
     for letter in b:
+        if distance > reach:
+            break
+        reach -= 1
         same = at.get(letter, 0)
         settled = same | down
         steady = (((same & up) + up) ^ up) | settled
@@ -39,20 +59,149 @@ def edit_distance(a: str | bytes, b: str | bytes) -> int:
     return distance
 
 
+def within(pairs: list[tuple[bytes, bytes]], most: np.ndarray, blocks: int) -> np.ndarray:
+    """For pairs (shorter, longer), the shorter of at most ``blocks`` times 64 letters: is their distance at most ``most``?
+
+    All pairs advance by a letter of the longer string at a time; blocks hand their last
+    difference on to the next one. A common front fills the shorter strings up, which
+    leaves distances as they are. Only blocks are computed that an alignment of ``most``
+    edits can touch, and pairs that can't get there any more are dropped.
+    """
+    front = np.array([blocks * 64 - len(a) for a, _ in pairs])
+    n = front + np.array([len(b) for _, b in pairs])
+    letters = [np.zeros((len(pairs), x), np.uint8) for x in (blocks * 64, int(n.max()))]
+    for k, own in enumerate(letters):
+        for row, at, pair in zip(own, front.tolist(), pairs):
+            row[at : at + len(pair[k])] = np.frombuffer(pair[k], np.uint8)
+    _, letters = np.unique(np.concatenate(letters, 1), return_inverse=True)
+    short, long = np.split(letters.reshape(len(pairs), -1).astype(np.uint8), [blocks * 64], axis=1)
+    same = np.zeros((int(letters.max()) + 1, blocks, len(pairs)), np.uint64)
+    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    for letter in range(len(same)):
+        same[letter] = ((short == letter).reshape(len(pairs), blocks, 64) * bits).sum(2, dtype=np.uint64).T
+    up, down = np.full((blocks, len(pairs)), ~np.uint64(0)), np.zeros((blocks, len(pairs)), np.uint64)
+    one, top, reach = np.uint64(1), np.uint64(63), int(most.max())
+    last = min(blocks - 1, reach // 64)
+    score, out, number = np.full(len(pairs), (last + 1) * 64), np.zeros(len(pairs), bool), np.arange(len(pairs))
+    for j in range(int(n.max())):
+        if last < min(blocks - 1, (j + reach) // 64):
+            last += 1
+            score += 64  # down the new block, as in its first column
+        first = min(last, max(0, (j - reach) // 64))
+        column = same[long[:, j], first : last + 1, number]
+        rise, fall = np.full(len(number), one), np.zeros(len(number), np.uint64)
+        for k in range(first, last + 1):
+            equal, pv, mv = column[:, k - first], up[k], down[k]
+            vertical = equal | mv
+            equal = equal | fall
+            across = (((equal & pv) + pv) ^ pv) | equal
+            ph, mh = mv | ~(across | pv), pv & across
+            rise_out, fall_out = ph >> top, mh >> top
+            ph, mh = ph << one | rise, mh << one | fall
+            up[k], down[k] = mh | ~(vertical | ph), ph & vertical
+            rise, fall = rise_out, fall_out
+        score += rise.astype(np.int64) - fall.astype(np.int64)
+        done = n == j + 1
+        if j % COLUMNS == COLUMNS - 1 or done.any():
+            out[number[done]] = score[done] <= most[done]
+            stay = ~done & (score - np.abs(n - j - 1 - 64 * (blocks - 1 - last)) <= most)
+            if not stay.any():
+                break
+            if not stay.all():
+                number, n, most, score, long = (x[stay] for x in (number, n, most, score, long))
+                up, down = up[:, stay], down[:, stay]
+    return out
+
+
+def walked(x: list[bytes], y: list[bytes], most: int) -> bool:
+    """True if setting the words of two lines against each other in order needs ``most`` edits at most.
+
+    Where they differ, the next equal words within AHEAD end the difference.
+    """
+    i = j = cost = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for p, q in STEPS:
+            if i + p < len(x) and j + q < len(y) and x[i + p] == y[j + q]:
+                break
+        else:
+            p = q = 1
+        a, b = sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q
+        cost += max(a, b) - (p > 0 < q)  # one space of either stays
+        if cost > most:
+            return False
+        i, j = i + p, j + q
+    return cost + sum(map(len, x[i:])) + len(x) - i + sum(map(len, y[j:])) + len(y) - j <= most
+
+
+#: Words of either line that a difference takes, the fewest first.
+STEPS = sorted(((p, q) for p in range(AHEAD + 1) for q in range(AHEAD + 1) if p + q), key=sum)
+
+
+def alike(pairs: list[tuple[bytes, bytes]], most: np.ndarray) -> np.ndarray:
+    """Mask of the pairs that share as many trigrams as strings within ``most`` edits must.
+
+    An edit changes three trigrams at most. Trigrams are counted by buckets, so some count as shared that aren't.
+    """
+    out = np.zeros(len(pairs), bool)
+    for lo in range(0, len(pairs), COUNTED):
+        some, counts = pairs[lo : lo + COUNTED], []
+        for k in (0, 1):
+            lengths = np.array([len(p[k]) for p in some])
+            data = np.frombuffer(b"".join(p[k] for p in some) + b"  ", np.uint8).astype(np.int32)
+            bucket = (data[:-2] * 961 + data[1:-1] * 31 + data[2:]) % BUCKETS
+            owner = np.repeat(np.arange(len(some)), lengths)
+            inside = np.arange(len(owner)) + 2 < np.repeat(np.cumsum(lengths), lengths)
+            counts.append(np.bincount((owner * BUCKETS + bucket)[inside], minlength=len(some) * BUCKETS))
+        shared = np.minimum(*counts).reshape(-1, BUCKETS).sum(1)
+        out[lo : lo + COUNTED] = shared >= np.array([max(map(len, p)) for p in some]) - 2 - 3 * most[lo : lo + COUNTED]
+    return out
+
+
 def similar(a: bytes, b: bytes, least: float) -> bool:
-    """True if 1 - distance / longer length is at least ``least``.
+    """True if 1 - distance / longer length is at least ``least``."""
+    return bool(similar_pairs([a], [b], least)[0])
+
+
+def similar_pairs(xs: list[bytes], ys: list[bytes], least: float) -> np.ndarray:
+    """For each pair whether 1 - distance / longer length is at least ``least``.
 
-    Words set against each other in order bound the distance from above; often that
-    is enough.
+    Words set against each other in order bound the distance from above, and shared
+    trigrams from below; often that is enough. The rest goes through ``within`` with
+    others of about its size, or, if long or few, through ``edit_distance``.
     """
-    longer = max(len(a), len(b))
-    most = int((1 - least) * longer + 1e-9)
-    if abs(len(a) - len(b)) > most:
-        return False
-    x, y = a.split(b" "), b.split(b" ")
-    if len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y) if u != v) <= most:
-        return True
-    return edit_distance(a, b) <= most
+    out, open_, rest = np.zeros(len(xs), bool), [], {}
+    for i, (a, b) in enumerate(zip(xs, ys)):
+        most = int((1 - least) * max(len(a), len(b)) + 1e-9)
+        if abs(len(a) - len(b)) > most:
+            continue
+        if walked(a.split(b" "), b.split(b" "), most):
+            out[i] = True
+        else:
+            open_.append((i, (a, b), most))
+    likely = alike([p for _, p, _ in open_], np.array([m for _, _, m in open_], np.int64))
+    for i, (a, b), most in (x for x, ok in zip(open_, likely) if ok):
+        a, b = sorted(trimmed(a, b), key=len)
+        if len(b) <= most:
+            out[i] = True
+        elif a:
+            kind = min((x for x in BLOCKS if 64 * x >= len(a)), default=0) if len(b) <= SHORT else 0
+            rest.setdefault(kind, []).append((i, (a, b), most))
+    alone, held = rest.pop(0, []), []
+    for kind in sorted(rest):
+        held += rest[kind]
+        if len(held) < FEW * kind:
+            continue  # perhaps with those of the next kind
+        held.sort(key=lambda x: len(x[1][1]))
+        for lo in range(0, len(held), MANY):
+            some = held[lo : lo + MANY]
+            out[[i for i, _, _ in some]] = within([p for _, p, _ in some], np.array([m for _, _, m in some]), kind)
+        held = []
+    for i, (a, b), most in alone + held:
+        out[i] = edit_distance(a, b, most) <= most
+    return out
 
 
 def banded_find(pattern: bytes, text: bytes, lowest: int, highest: int, most: int) -> tuple[int, int, int] | None:

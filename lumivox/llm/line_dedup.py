@@ -2,49 +2,47 @@
 
 Lines whose normal forms are equal are one line. Of the distinct ones, those whose
 normal forms have an edit similarity of at least 0.8 are linked; of each connected
-group the first occurrence stays. ``most_bits`` says which lines are compared.
-
-None: lines meet by their words alone. Every line draws its words in BANDS orders, a
-word the sooner the longer it is, and the first words of a few orders make one key;
-lines that share a key, and whose lengths and 64-bit sketches of those first words
-allow the similarity, are compared. Two lines that share the part j of their words,
-weighed by length, have a common key with the probability 1 - (1 - j^4)^16.
-
-A number: only lines whose 64-bit SimHashes (of their words) differ in at most so
-many bits, which leaves out most pairs of ordinary lines.
-
-Three differing bits leave two of five blocks untouched, so every fingerprint enters
-one table for each pair of blocks (25 or 26 bits a key); only fingerprints that meet
-in a table are compared. Tables travel packed, by ranges of their keys.
+group the first occurrence stays.
+
+Which lines are compared is found by their words. Every line draws its words in
+BANDS * ORDERS orders, a word the sooner the longer it is; the first words of ORDERS
+orders make one key, and one bit of each first word goes into a 64-bit sketch. Lines
+that share a key, and whose lengths and sketches allow the similarity, are compared.
+Two lines that share the part j of their words, weighed by length, have a common key
+with the probability 1 - (1 - j^4)^16.
+
+The SimHash of a line's words with the pigeonhole over its blocks, which this replaces,
+meets only lines of at most three differing bits, and so leaves out most pairs of
+ordinary lines; the README has both shares.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumivox.llm.common import components, cut, id_and_text, slices, table
-from lumivox.llm.edit import similar
-from lumivox.llm.fingerprints import majorities
-from lumivox.llm.substring_dedup import mixed, run_sums, word_hashes
+from lumivox.llm.common import components, cut, id_and_text, slices, table, written
+from lumivox.llm.edit import similar_pairs
+from lumivox.llm.substring_dedup import from_planes, mixed, planes, word_hashes
 
-MOST_BITS = 3
 LEAST_SIMILARITY = 0.8
-#: First bit and width of the five blocks of a fingerprint.
-BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-TABLES = list(combinations(BLOCKS, 2))
 #: Keys of a line, and orders of its words that make one key.
 BANDS, ORDERS = 16, 4
-#: Bits of two sketches that may differ: 11 are expected at an edit similarity of 0.8, about 28 by chance.
-SKETCH_BITS = 22
+#: Bits of two sketches that may differ: 11 are expected at an edit similarity of 0.8, give or take 3, about 28 by chance.
+SKETCH_BITS = 18
 #: Lines whose texts may be fetched by a broadcast of their places (about 24 bytes each).
 BROADCAST_LINES = 300_000
+#: Lines that a bucket of one band has about, lines of one key that are set against each other in one cell, lines of cells that a task takes.
+BUCKET_LINES, CELL_LINES, TASK_LINES = 200_000, 2_000, 10_000
+#: Pairs that are verified together, and bytes of their lines: similar_pairs is the faster the more it has.
+PAIRS, PAIR_BYTES = 25_000, 48 << 20
 
 
 def _normal_bytes() -> bytes:
@@ -60,50 +58,56 @@ NORMAL = _normal_bytes()
 
 
 def normal_lines(text: str | None) -> list[bytes]:
-    """The normal form of each line; words lie between single spaces after ``words_of``."""
+    """The normal form of each line; words lie between runs of spaces."""
     return (text or "").encode().translate(NORMAL).split(b"\n")
 
 
-def line_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, hash of the word sequence, and SimHash of each normal form."""
-    words, counts = word_hashes(lines)
-    ends = np.cumsum(counts)
-    return counts, run_sums(words, ends - counts, ends), majorities(words, counts)
+def line_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """XXH3 of the hashes of each line's words."""
+    data, ends = memoryview(hashes.tobytes()), 8 * np.cumsum(counts)
+    spans = zip((ends - 8 * counts).tolist(), ends.tolist())
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in spans), np.uint64, len(counts))
 
 
-def word_bands(lines: list[bytes]) -> np.ndarray:
-    """BANDS keys of each line with words, the two halves of its sketch, and its length, as 32-bit numbers.
+def least_words(hashes: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order in turn the hash of the first word of every line.
 
     In every order a word has the place -log(u) / length with u from its hash, so that
     the first words of two lines are the same with the probability of their weighted
-    Jaccard similarity. The sketch has one bit of each first word.
+    Jaccard similarity.
     """
-    hashes, counts = word_hashes(lines)
-    out = np.zeros((len(lines), BANDS + 3), np.uint32)
-    if not len(lines):
-        return out
-    lengths = np.fromiter((len(w) for x in lines for w in x.split()), np.int64, len(hashes))
     words, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    weights, starts = lengths[first].astype(np.float64), np.cumsum(counts) - counts
-    sketch = np.zeros(len(lines), np.uint64)
-    for band in range(BANDS):
-        key = np.zeros(len(lines), np.uint64)
-        for order in range(band * ORDERS, (band + 1) * ORDERS):
-            share = ((mixed(words ^ mixed(np.full(1, order + 1, np.uint64))) >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
-            places = (-np.log(share) / weights).astype(np.float32)
-            least = mixed(np.minimum.reduceat(places[which], starts).view(np.uint32).astype(np.uint64) + np.uint64(order))
-            key = mixed(key ^ least)
-            sketch = sketch << np.uint64(1) | least >> np.uint64(63)
-        out[:, band] = key >> np.uint64(32)
+    weights = lengths[first].astype(np.float32)
+    for order in range(BANDS * ORDERS):
+        factor = mixed(np.full(1, order + 1, np.uint64)) | np.uint64(1)
+        share = ((words * factor >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+        places = -np.log(share) / weights
+        least = np.minimum.reduceat(places[which], starts)
+        yield mixed(least.view(np.uint32).astype(np.uint64) + (np.uint64(order) << np.uint64(32)))
+
+
+def word_bands(hashes: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """BANDS keys of each line, the two halves of its sketch, and its length, as 32-bit numbers; every line has words."""
+    out = np.zeros((len(counts), BANDS + 3), np.uint32)
+    if not len(counts):
+        return out
+    starts = np.cumsum(counts) - counts
+    sketch, key = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
+    for order, least in enumerate(least_words(hashes, lengths, starts)):
+        key = mixed(key ^ least)
+        sketch = sketch << np.uint64(1) | least >> np.uint64(63)
+        if order % ORDERS == ORDERS - 1:
+            out[:, order // ORDERS] = key >> np.uint64(32)
+            key = np.zeros(len(counts), np.uint64)
     out[:, BANDS], out[:, BANDS + 1] = sketch >> np.uint64(32), sketch & np.uint64(0xFFFFFFFF)
     out[:, BANDS + 2] = np.add.reduceat(lengths, starts) + counts - 1
     return out
 
 
-def lines_of(docs: DataFrame, banded: bool = False) -> DataFrame:
-    """(key, sim, doc_id, line): each batch's distinct lines with words, and where they come first.
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, line, bands): each batch's distinct lines with words, and where they come first.
 
-    With ``banded`` also ``bands``, the packed numbers of ``word_bands``.
+    ``key`` is XXH3 of the hashes of a line's words, ``bands`` the packed numbers of ``word_bands``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,165 +117,147 @@ def lines_of(docs: DataFrame, banded: bool = False) -> DataFrame:
                 order = np.argsort(ids, kind="stable")
                 texts = part.column("text").to_pylist()
                 lines = [normal_lines(texts[i]) for i in order]
-                numbers = np.array(list(map(len, lines)))
-                every = [x for own in lines for x in own]
-                counts, keys, sims = line_keys(every)
+                numbers = np.array(list(map(len, lines)), np.int64)
+                hashes, lengths, counts = word_hashes([x for own in lines for x in own])
                 doc = np.repeat(ids[order], numbers)
                 line = np.arange(len(doc)) - np.repeat(np.cumsum(numbers) - numbers, numbers)
                 full = np.flatnonzero(counts)
-                _, first = np.unique(keys[full], return_index=True)
+                ends = np.cumsum(counts)
+                keys = line_keys(hashes, counts)[full]
+                _, first = np.unique(keys, return_index=True)
                 at = full[first]
-                columns = [pa.array(keys[at].view(np.int64)), pa.array(sims[at].view(np.int64)), pa.array(doc[at]), pa.array(line[at].astype(np.int32))]
-                if banded:
-                    columns.append(pa.array([x.tobytes() for x in word_bands([every[n] for n in at])], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["key", "sim", "doc_id", "line", "bands"][: len(columns)])
+                own = counts[at]
+                words = np.repeat((ends - counts)[at] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+                bands = [x.tobytes() for x in word_bands(hashes[words], lengths[words], own)]
+                columns = [pa.array(keys[first].view(np.int64)), pa.array(doc[at]), pa.array(line[at].astype(np.int32)), pa.array(bands, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "line", "bands"])
 
-    return docs.mapInArrow(run, "key long, sim long, doc_id long, line int" + (", bands binary" if banded else ""))
+    return docs.mapInArrow(run, "key long, doc_id long, line int, bands binary")
 
 
-def block_key(sims: np.ndarray, blocks: tuple[tuple[int, int], tuple[int, int]]) -> np.ndarray:
-    key = np.zeros(len(sims), np.uint32)
-    for start, width in blocks:
-        key = key << np.uint32(width) | ((sims >> np.uint64(start)) & np.uint64((1 << width) - 1)).astype(np.uint32)
-    return key
+def dealt(lines: DataFrame, columns: list[str], parts: int) -> DataFrame:
+    """(bucket, pack): each line's band key with its length, its sketch, and ``columns``, once for every band.
 
-
-def dealt(rows: DataFrame, columns: list[str], parts: int) -> DataFrame:
-    """(bucket, pack): every row's longs in one table per pair of blocks of its ``sim``, the first column."""
+    Packs have the steps from key to key, and all numbers by bytes, so that what is small can be compressed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in columns], 1)
+            bands = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint32).reshape(-1, BANDS + 3).astype(np.uint64)
+            sketch = bands[:, BANDS] << np.uint64(32) | bands[:, BANDS + 1]
+            own = [batch.column(c).to_numpy().view(np.uint64) for c in columns]
             buckets, packs = [], []
-            for t, blocks in enumerate(TABLES):
-                part = block_key(values[:, 0], blocks) % np.uint32(parts)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                for p in np.flatnonzero(np.diff(cuts)).tolist():
+            for t in range(BANDS):
+                order = np.argsort(bands[:, t])
+                keys = bands[order, t]
+                part = keys % np.uint64(parts)
+                for p in np.unique(part).tolist():
+                    at = part == p
+                    steps = np.diff(keys[at], prepend=np.uint64(0)) << np.uint64(32) | bands[order[at], BANDS + 2]
                     buckets.append(t * parts + p)
-                    packs.append(values[order[cuts[p] : cuts[p + 1]]].tobytes())
+                    packs.append(b"".join(planes(x) for x in (steps, sketch[order[at]], *(x[order[at]] for x in own))))
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(packs, pa.binary())], ["bucket", "pack"])
 
-    return rows.select(*columns).mapInArrow(run, "bucket int, pack binary")
+    return lines.select("bands", *columns).mapInArrow(run, "bucket int, pack binary")
 
 
-def met(rows: pa.Table, width: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """A bucket's rows in the order of their table's keys, and the keys."""
-    blocks = TABLES[rows.column("bucket")[0].as_py() // parts]
-    values = np.frombuffer(b"".join(x.as_py() for x in rows.column("pack")), np.uint64).reshape(-1, width)
-    keys = block_key(values[:, 0], blocks)
-    order = np.argsort(keys, kind="stable")
-    return values[order], keys[order]
+def met(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket's rows of ``width`` numbers by band key and length, and where keys begin; lines that are alone in their key are left out."""
+    packs = []
+    for pack in rows.column("pack").to_pylist():
+        own = np.stack([from_planes(x, np.uint64) for x in np.split(np.frombuffer(pack, np.uint8), width)], 1)
+        own[:, 0] = np.cumsum(own[:, 0] >> np.uint64(32), dtype=np.uint64) << np.uint64(32) | own[:, 0] & np.uint64(0xFFFFFFFF)
+        packs.append(own)
+    values = np.concatenate(packs)
+    values = values[np.argsort(values[:, 0], kind="stable")]
+    keys = values[:, 0] >> np.uint64(32)
+    new = np.append(True, keys[1:] != keys[:-1])
+    alone = new & np.append(new[1:], True)
+    values, new = values[~alone], new[~alone]
+    return values, np.append(np.flatnonzero(new), len(values))
 
 
-def neighbours(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of places with equal keys in sorted order, at growing distance."""
-    left, step = np.arange(len(keys)), 0
-    while len(left):
-        step += 1
-        left = left[left + step < len(keys)]
-        left = left[keys[left] == keys[left + step]]
-        yield left, left + step
+def close(values: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Mask of the pairs whose lengths and sketches allow the similarity."""
+    a, b = (values[x, 0] & np.uint64(0xFFFFFFFF) for x in (left, right))
+    apart = np.maximum(a, b) - np.minimum(a, b)
+    return (apart <= ((1 - least) * np.maximum(a, b) + 1e-9).astype(np.uint64)) & (np.bitwise_count(values[left, 1] ^ values[right, 1]) <= SKETCH_BITS)
 
 
-def some_neighbours(sims: DataFrame, parts: int, most_bits: int) -> DataFrame:
-    """(a, b): for every distinct fingerprint and table the first close one on either side, if any.
+def nearest(lines: DataFrame, parts: int, least: float) -> DataFrame:
+    """(a, b, owner): for every line and band the first close line before and after it, if any.
 
-    At most two pairs a fingerprint and table, however large a group; whoever has a
-    close one at all appears.
+    ``owner`` is the line of a pair that asked for it; a line owns at most two pairs for each band.
     """
 
     def run(rows: pa.Table) -> pa.Table:
-        values, keys = met(rows, 1, parts)
-        values = values[:, 0]
-        later, earlier = np.zeros(len(values), bool), np.zeros(len(values), bool)
-        low, high = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-        for left, right in neighbours(keys):
-            near = np.bitwise_count(values[left] ^ values[right]) <= most_bits
-            left, right = left[near], right[near]
-            new = ~later[left] | ~earlier[right]
-            later[left] = earlier[right] = True
-            low.append(values[left[new]])
-            high.append(values[right[new]])
-        return pa.table([pa.array(np.concatenate(x).view(np.int64)) for x in (low, high)], ["a", "b"])
-
-    found = dealt(sims, ["sim"], parts).groupBy("bucket").applyInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def pairs_across(lines: DataFrame, parts: int, most_bits: int) -> DataFrame:
-    """(a, b): keys of all lines (sim, key, root) with close fingerprints and different roots."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        values, keys = met(rows, 3, parts)
-        low, high = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-        for left, right in neighbours(keys):
-            near = (values[left, 2] != values[right, 2]) & (np.bitwise_count(values[left, 0] ^ values[right, 0]) <= most_bits)
-            low.append(values[left[near], 1])
-            high.append(values[right[near], 1])
-        return pa.table([pa.array(np.concatenate(x).view(np.int64)) for x in (low, high)], ["a", "b"])
-
-    found = dealt(lines, ["sim", "key", "root"], parts).groupBy("bucket").applyInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def dealt_by_words(rows: DataFrame, columns: list[str], parts: int) -> DataFrame:
-    """(bucket, pack): each row's key with its length, its sketch, and ``columns``, once for every band of its ``bands``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bands = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint32).reshape(-1, BANDS + 3).astype(np.uint64)
-            sketch = bands[:, BANDS] << np.uint64(32) | bands[:, BANDS + 1]
-            own = [batch.column(c).to_numpy().view(np.uint64) for c in columns]
-            buckets, packs = [], []
-            for t in range(BANDS):
-                values = np.stack([bands[:, t] << np.uint64(32) | bands[:, BANDS + 2], sketch, *own], 1)
-                part = bands[:, t] % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-                for p in np.flatnonzero(np.diff(cuts)).tolist():
-                    buckets.append(t * parts + p)
-                    packs.append(values[order[cuts[p] : cuts[p + 1]]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(packs, pa.binary())], ["bucket", "pack"])
-
-    return rows.select("bands", *columns).mapInArrow(run, "bucket int, pack binary")
-
-
-def word_pairs(lines: DataFrame, parts: int, least: float, rooted: bool) -> DataFrame:
-    """(a, b): keys of lines that share a band, of lengths and sketches that allow ``least``.
-
-    Without ``rooted`` for every line and band the first such line on either side, if
-    any; with it all pairs of lines (bands, key, root) with different roots.
+        values, cuts = met(rows, 3)
+        first, last = (np.repeat(x, np.diff(cuts)) for x in (cuts[:-1], cuts[1:] - 1))
+        lengths, found = (values[:, 0] & np.uint64(0xFFFFFFFF)).astype(np.int64), [np.empty((2, 0), np.int64)]
+        for way in (1, -1):
+            asking, step = np.arange(len(values)), 0
+            while len(asking):
+                step += way
+                asking = asking[asking + step <= last[asking] if way > 0 else asking + step >= first[asking]]
+                longer = lengths[np.maximum(asking, asking + step)]
+                # lines lie by length: once a line is too long or short for a partner, so are all beyond it
+                asking = asking[np.abs(lengths[asking + step] - lengths[asking]) <= ((1 - least) * longer + 1e-9).astype(np.int64)]
+                ok = close(values, asking, asking + step, least)
+                found.append(np.stack([asking[ok], asking[ok] + step]))
+                asking = asking[~ok]
+        owner, partner = values[np.concatenate(found, 1), 2].view(np.int64)
+        return pa.table([pa.array(np.minimum(owner, partner)), pa.array(np.maximum(owner, partner)), pa.array(owner)], ["a", "b", "owner"])
+
+    found = dealt(lines, ["key"], parts).groupBy("bucket").applyInArrow(run, "a long, b long, owner long")
+    return found.groupBy("a", "b").agg(F.min("owner").alias("owner"))
+
+
+def crossing(lines: DataFrame, parts: int, least: float) -> DataFrame:
+    """(cell, band, side, key): lines that meet a close line of another root, once for every band and cell.
+
+    The lines of one key make one cell. More than CELL_LINES are dealt into blocks, and
+    each two blocks make a cell, with sides 1 and 2; side 0 is set against itself.
     """
 
     def run(rows: pa.Table) -> pa.Table:
-        values = np.frombuffer(b"".join(x.as_py() for x in rows.column("pack")), np.uint64).reshape(-1, 3 + rooted)
-        values = values[np.argsort(values[:, 0], kind="stable")]
-        lengths = (values[:, 0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        most = ((1 - least) * lengths + 1e-9).astype(np.int64)
-        later, earlier = np.zeros(len(values), bool), np.zeros(len(values), bool)
-        low, high = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-        for left, right in neighbours(values[:, 0] >> np.uint64(32)):
-            near = (lengths[right] - lengths[left] <= most[right]) & (np.bitwise_count(values[left, 1] ^ values[right, 1]) <= SKETCH_BITS)
-            if rooted:
-                near &= values[left, 3] != values[right, 3]
-            left, right = left[near], right[near]
-            if not rooted:
-                new = ~later[left] | ~earlier[right]
-                later[left] = earlier[right] = True
-                left, right = left[new], right[new]
-            low.append(values[left, 2])
-            high.append(values[right, 2])
-        return pa.table([pa.array(np.concatenate(x).view(np.int64)) for x in (low, high)], ["a", "b"])
-
-    found = dealt_by_words(lines, ["key", "root"] if rooted else ["key"], parts).groupBy("bucket").applyInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        band = rows.column("bucket")[0].as_py() // parts
+        values, cuts = met(rows, 4)
+        found = [np.empty((0, 3), np.uint64)]
+        starts = cuts[:-1]
+        mixed_roots = np.minimum.reduceat(values[:, 3], starts) != np.maximum.reduceat(values[:, 3], starts) if len(values) else np.zeros(0, bool)
+        for lo, hi in zip(starts[mixed_roots].tolist(), cuts[1:][mixed_roots].tolist()):
+            roots = values[lo:hi, 3]
+            marks = np.zeros(hi - lo, bool)
+            kinds, number = np.unique(roots, return_counts=True)
+            most = kinds[number.argmax()]
+            for i in np.flatnonzero(roots != most).tolist():  # the largest root's lines need not ask
+                others = np.flatnonzero(roots != roots[i])
+                near = others[close(values[lo:hi], np.full(len(others), i), others, least)]
+                marks[near] = True
+                marks[i] |= len(near) > 0
+            own = values[lo:hi][marks]
+            if not len(own):
+                continue
+            own = own[np.argsort(own[:, 2])]
+            blocks = -(-len(own) // CELL_LINES)
+            block = np.arange(len(own)) * blocks // len(own)
+            for i in range(blocks):
+                for j in range(i, blocks):
+                    cell = mixed(np.array([band << 32 | int(own[0, 0] >> np.uint64(32))], np.uint64) ^ mixed(np.array([i * blocks + j + 1], np.uint64)))[0]
+                    for side, pick in ((0, block == i),) if i == j else ((1, block == i), (2, block == j)):
+                        found.append(np.stack([np.full(pick.sum(), cell), np.full(pick.sum(), side, np.uint64), own[pick, 2]], 1))
+        every = np.concatenate(found)
+        columns = [pa.array(every[:, 0].view(np.int64)), pa.array(np.full(len(every), band, np.int32)), pa.array(every[:, 1].astype(np.int32)), pa.array(every[:, 2].view(np.int64))]
+        return pa.table(columns, ["cell", "band", "side", "key"])
+
+    return dealt(lines, ["key", "root"], parts).groupBy("bucket").applyInArrow(run, "cell long, band int, side int, key long")
 
 
 def normal_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(key, form) of the lines at ``places`` (key, doc_id, line): their words joined by single spaces.
 
     A document meets all its wanted lines at once, so its text is sent and split once.
+    Where rows repeat a doc_id with other texts, only the line that has the key counts.
     """
     small = places.count() <= BROADCAST_LINES
     wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "line")).alias("wanted"))
@@ -283,85 +269,135 @@ def normal_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
                 keys, forms = [], []
                 for text, places in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist()):
                     lines = normal_lines(text)
-                    keys += [x["key"] for x in places]
-                    forms += [b" ".join(lines[x["line"]].split()) for x in places]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(forms, pa.binary())], ["key", "form"])
+                    here = [x for x in places if x["line"] < len(lines)]
+                    keys += [x["key"] for x in here]
+                    forms += [b" ".join(lines[x["line"]].split()) for x in here]
+                hashes, _, counts = word_hashes(forms)
+                right = line_keys(hashes, counts).view(np.int64) == np.array(keys, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(forms, pa.binary())], ["key", "form"]).filter(pa.array(right))
 
-    return found.mapInArrow(run, "key long, form binary").dropDuplicates(["key"])
+    return found.mapInArrow(run, "key long, form binary").groupBy("key").agg(F.min("form").alias("form"))
 
 
 def verified(pairs: DataFrame, forms: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of keys whose normal forms are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [similar(x, y, least) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        def kept() -> pa.RecordBatch:
+            xs, ys = ([v for batch in held for v in batch.column(c).to_pylist()] for c in ("x", "y"))
+            pairs = pa.Table.from_batches([batch.select(["a", "b"]) for batch in held]).combine_chunks().to_batches()
+            return pairs[0].filter(pa.array(similar_pairs(xs, ys, least)))
+
+        held, rows, size = [], 0, 0
+        for batch in (x for x in batches if x.num_rows):
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= PAIRS or size >= PAIR_BYTES:
+                yield kept()
+                held, rows, size = [], 0, 0
+        if held:
+            yield kept()
 
     both = pairs.join(forms.select(F.col("key").alias("a"), F.col("form").alias("x")), "a").join(forms.select(F.col("key").alias("b"), F.col("form").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").coalesce(1 + pairs.count() // PAIRS).mapInArrow(run, "a long, b long")
 
 
-def linked(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs of keys that are similar enough, by the texts of their first occurrences."""
-    pairs = cut(pairs)
-    if pairs.isEmpty():
-        return pairs
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    places = cut(distinct.join(nodes, "key").select("key", "at.doc_id", "at.line"))
-    return cut(verified(pairs, normal_texts(docs, places), least))
+def places_of(keys: DataFrame, distinct: DataFrame) -> DataFrame:
+    return cut(distinct.join(keys.select("key").distinct(), "key").select("key", "doc_id", "line"))
 
 
-def groups_of(distinct: DataFrame, docs: DataFrame, most_bits: int, least: float) -> DataFrame:
+def joining(cells: DataFrame, lines: DataFrame, forms: DataFrame, tried: DataFrame, least: float) -> DataFrame:
+    """(a, b): roots that lines in cells link.
+
+    A pair is looked at in the first band whose key it shares, unless it was ``tried``
+    (a, b, owner) before, and only while nothing in its task has joined its roots yet;
+    so a task gives less links than it has roots.
+    """
+
+    def cell_pairs(rows: pa.Table) -> Iterator[tuple[int, int]]:
+        """Places of the pairs of one cell that are looked at in this band."""
+        bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.uint32).reshape(-1, BANDS + 3).astype(np.uint64)
+        values = np.stack([bands[:, BANDS + 2], bands[:, BANDS] << np.uint64(32) | bands[:, BANDS + 1]], 1)
+        band, side, roots, keys = (rows.column(c).to_numpy() for c in ("band", "side", "root", "key"))
+        lists = rows.column("partners").combine_chunks()
+        own = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
+        partners = lists.flatten().to_numpy()
+        few = max(1, 100_000 // len(rows))
+        for lo in range(0, len(rows), few):
+            i, j = (x.ravel() for x in np.mgrid[lo : min(lo + few, len(rows)), 0 : len(rows)])
+            ok = (i < j) & (band[i] == band[j]) & ((side[i] + side[j] == 3) | (side[i] + side[j] == 0)) & (roots[i] != roots[j])
+            i, j = i[ok], j[ok]
+            ok = close(values, i, j, least)
+            i, j = i[ok], j[ok]
+            same = bands[i, :BANDS] == bands[j, :BANDS]
+            ok = same[np.arange(len(i)), band[i]] & (same.argmax(1) == band[i])
+            i, j = i[ok], j[ok]
+            if len(partners) and len(i):
+                asked = mixed((keys[own].view(np.uint64) << np.uint64(1)) ^ mixed(partners.view(np.uint64)))
+                ok = ~np.isin(mixed((keys[i].view(np.uint64) << np.uint64(1)) ^ mixed(keys[j].view(np.uint64))), asked)
+                ok &= ~np.isin(mixed((keys[j].view(np.uint64) << np.uint64(1)) ^ mixed(keys[i].view(np.uint64))), asked)
+                i, j = i[ok], j[ok]
+            yield from zip(i.tolist(), j.tolist())
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("cell", "ascending"), ("key", "ascending")])
+        cells, forms, roots = rows.column("cell").to_numpy(), rows.column("form").to_pylist(), rows.column("root").to_pylist()
+        cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(rows)]
+        pairs = ((lo + i, lo + j) for lo, hi in zip(cuts, cuts[1:]) for i, j in cell_pairs(rows.slice(lo, hi - lo).combine_chunks()))
+        up = {x: x for x in roots}
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        links = []
+        while some := list(islice(pairs, PAIRS)):
+            some = [(i, j) for i, j in some if top(roots[i]) != top(roots[j])]
+            ok = similar_pairs([forms[i] for i, _ in some], [forms[j] for _, j in some], least)
+            for i, j in (some[n] for n in np.flatnonzero(ok)):
+                if (a := top(roots[i])) != (b := top(roots[j])):
+                    up[max(a, b)] = min(a, b)
+                    links.append((roots[i], roots[j]))
+        return pa.table([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+
+    parts = 1 + cells.count() // TASK_LINES
+    partners = tried.groupBy(F.col("owner").alias("key")).agg(F.collect_list(F.when(F.col("owner") == F.col("a"), F.col("b")).otherwise(F.col("a"))).alias("partners"))
+    every = lines.join(forms, "key").join(partners, "key", "left").withColumn("partners", F.coalesce("partners", F.array().cast("array<long>")))
+    rows = cells.join(every, "key").select(F.pmod(F.xxhash64("cell"), F.lit(parts)).cast("int").alias("bucket"), "cell", "band", "side", "key", "bands", "root", "form", "partners")
+    return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
+
+
+def groups_of(distinct: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """(key, root) of the lines that are linked with any other.
 
     A large group has far more links than its connection needs, so links are sought
-    twice. First every fingerprint meets the nearest in its tables only, and lines of
-    equal fingerprints one of them; that joins most groups. Then all pairs are looked
-    at, but only lines of different groups are sent to be verified: no link is lost,
-    and no group sends all its pairs.
+    twice. First every line is verified against the nearest under each of its keys
+    only; that joins most groups. Then lines of different groups that still meet are
+    brought together with their texts, and only links that join two groups come out:
+    no link is lost, and no group sends its pairs.
     """
-    if most_bits > len(BLOCKS) - 2:
-        raise ValueError("pairs of blocks find all pairs only up to 3 bits")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heads = distinct.groupBy("sim").agg(F.min("key").alias("head"), F.count("*").alias("n"))
-    near = cut(some_neighbours(heads.select("sim"), parts, most_bits))
-    head = lambda x: heads.select(F.col("sim").alias(x), F.col("head").alias(f"key_{x}"))
-    apart = near.join(head("a"), "a").join(head("b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    crowd = distinct.join(heads.where("n > 1"), "sim").where("key != head")
-    first = linked(apart.unionByName(crowd.select(F.col("head").alias("a"), F.col("key").alias("b"))), distinct, docs, least)
-    roots = components(first, "a", "b").withColumnRenamed("node", "key")
-    sims = near.select(F.explode(F.array("a", "b")).alias("sim")).unionByName(heads.where("n > 1").select("sim")).distinct()
-    lines = distinct.join(sims, "sim").join(roots, "key", "left").select("sim", "key", F.coalesce("root", "key").alias("root"))
-    lines = cut(lines)
-    same = lines.select("sim", F.col("key").alias("a"), F.col("root").alias("ra")).join(lines.select("sim", F.col("key").alias("b"), F.col("root").alias("rb")), "sim").where("a < b AND ra != rb")
-    rest = linked(pairs_across(lines, parts, most_bits).unionByName(same.select("a", "b")).distinct(), distinct, docs, least)
-    return components(first.unionByName(rest), "a", "b").withColumnRenamed("node", "key")
-
-
-def groups_by_words(distinct: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """(key, root) of the lines that are linked with any other, met by their words; in two rounds like ``groups_of``."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = cut(word_pairs(distinct, parts, least, rooted=False))
-    first = linked(near, distinct, docs, least)
+    near = cut(nearest(distinct, 1 + distinct.count() // BUCKET_LINES, least))
+    places = places_of(near.select(F.explode(F.array("a", "b")).alias("key")), distinct)
+    forms = written(normal_texts(docs, places))
+    first = cut(verified(near, forms, least))
     roots = components(first, "a", "b").withColumnRenamed("node", "key")
-    met_any = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    lines = cut(distinct.join(met_any, "key").join(roots, "key", "left").select("bands", "key", F.coalesce("root", "key").alias("root")))
-    rest = linked(word_pairs(lines, parts, least, rooted=True).join(near, ["a", "b"], "left_anti"), distinct, docs, least)
-    return components(first.unionByName(rest), "a", "b").withColumnRenamed("node", "key")
+    lines = cut(distinct.join(places.select("key"), "key").join(roots, "key", "left").select("bands", "key", F.coalesce("root", "key").alias("root")))
+    cells = cut(crossing(lines, 1 + lines.count() // BUCKET_LINES, least))
+    if cells.isEmpty():
+        return roots
+    across = components(joining(cells, lines, forms, near, least), "a", "b").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return lines.select("key", "root").join(across, "root", "left").select("key", F.coalesce("top", "root").alias("root"))
 
 
-def kept_lines(docs: DataFrame, most_bits: int | None, least: float) -> DataFrame:
+def kept_lines(docs: DataFrame, least: float) -> DataFrame:
     """(doc_id, lines): the numbers of the lines with words that stay in each document."""
-    first = F.min(F.struct("doc_id", "line"))
-    banded = most_bits is None
-    marks = "bands" if banded else "sim"
-    distinct = cut(lines_of(docs, banded).groupBy("key").agg(F.first(marks).alias(marks), first.alias("at")))
-    groups = groups_by_words(distinct, docs, least) if banded else groups_of(distinct, docs, most_bits, least)
-    members = distinct.join(groups, "key").select("key", "root", "at")
+    first = F.min(F.struct("doc_id", "line", "bands"))
+    distinct = cut(lines_of(docs).groupBy("key").agg(first.alias("at")).select("key", "at.doc_id", "at.line", "at.bands"))
+    members = distinct.join(groups_of(distinct, docs, least), "key").select("key", "root", F.struct("doc_id", "line").alias("at"))
     later = members.join(members.groupBy("root").agg(F.min("at").alias("best")), "root").where("at != best").select("key")
-    stay = distinct.join(later, "key", "left_anti")
-    return stay.groupBy("at.doc_id").agg(F.collect_list("at.line").alias("lines"))
+    stay = distinct.select("key", "doc_id", "line").join(later, "key", "left_anti")
+    return stay.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
 
 
 def kept_of(doc_id: int | None, text: str | None, lines: list[int] | None) -> list[str]:
@@ -388,13 +424,13 @@ def digested(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
-def judged(docs: DataFrame, most_bits: int | None, least: float, lines: str) -> DataFrame:
+def judged(docs: DataFrame, least: float, lines: str) -> DataFrame:
     """The documents with one more column, named ``lines``: numbers of the lines that stay."""
-    kept = kept_lines(id_and_text(docs).where("doc_id IS NOT NULL"), most_bits, least).select(F.col("doc_id").alias(f"{lines} id"), F.col("lines").alias(lines))
+    kept = kept_lines(id_and_text(docs).where("doc_id IS NOT NULL"), least).select(F.col("doc_id").alias(f"{lines} id"), F.col("lines").alias(lines))
     return docs.join(kept, docs["doc_id"] == kept[f"{lines} id"], "left").drop(f"{lines} id")
 
 
-def dedup_lines(docs: DataFrame, most_bits: int | None = MOST_BITS, least: float = LEAST_SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """How every text looks without all lines but the first of each group of nearly equal lines.
 
     First is: in the document of the smallest doc_id, there the smallest line. Lines
@@ -402,12 +438,14 @@ def dedup_lines(docs: DataFrame, most_bits: int | None = MOST_BITS, least: float
     single spaces for other ASCII; lines without words always stay. Returns doc_id,
     n_lines, n_removed, kept_sha256 (of the kept lines joined by line feeds). Null and
     empty texts have no lines; rows that repeat a doc_id with its text count as one
-    document and each return it; documents without an id are returned whole.
+    document and each return it; of rows that repeat a doc_id with other texts each
+    keeps the line numbers that any of them keeps; documents without an id are returned
+    whole. No rows give no rows.
     """
-    return digested(judged(id_and_text(docs), most_bits, least, "lines"))
+    return digested(judged(id_and_text(docs), least, "lines"))
 
 
-def without_repeated_lines(docs: DataFrame, most_bits: int | None = MOST_BITS, least: float = LEAST_SIMILARITY) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """The documents with all their columns, their texts without those lines; null texts stay null."""
     lines = "lines that stay"
 
@@ -419,8 +457,8 @@ def without_repeated_lines(docs: DataFrame, most_bits: int | None = MOST_BITS, l
                 at, rest = part.schema.get_field_index("text"), part.drop_columns([lines])
                 yield rest.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
-    return judged(docs, most_bits, least, lines).mapInArrow(run, docs.schema)
+    return judged(docs, least, lines).mapInArrow(run, docs.schema)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"), most_bits=None)
+    return dedup_lines(table(spark, sf_dir, "documents"))

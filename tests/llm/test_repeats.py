@@ -100,6 +100,22 @@ def test_edit_distance(a, b):
     assert edit.similar(a, b, 0.8) == (levenshtein(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
 
 
+def test_many_pairs_at_once(monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    xs, ys = [], []
+    for n in range(240):
+        line = [rng.choice(words) for _ in range(rng.choice([0, 1, 12, 40, 90]))]
+        other = [w for w in line if rng.random() > 0.1] + [rng.choice(words) for _ in range(n % 5)]
+        xs.append(" ".join(line).encode())
+        ys.append(" ".join(other).encode())
+    want = [levenshtein(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in zip(xs, ys)]
+    for few in (0, 1000):
+        monkeypatch.setattr(edit, "FEW", few)
+        assert edit.similar_pairs(xs, ys, 0.8).tolist() == want
+    assert 40 < sum(want) < 200
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("abc ", max_size=12), min_size=2, max_size=2))
 def test_similar_words(pair):
@@ -116,15 +132,28 @@ def test_banded_find(pattern, text):
     assert cost == best == levenshtein(p, t[start:end])
 
 
-def brute_lines(rows, most_bits, least):
+def bands_of(forms):
+    hashes, lengths, counts = line_dedup.word_hashes(forms)
+    return line_dedup.word_bands(hashes, lengths, counts).astype(np.uint64)
+
+
+def compared(bands, n, least=0.8):
+    """Earlier lines that share a key with line n, of lengths and sketches that allow the similarity."""
+    rows = np.arange(n)
+    sketch, lengths = bands[:, 16] << np.uint64(32) | bands[:, 17], bands[:, 18].astype(int)
+    apart = np.abs(lengths[rows] - lengths[n]) <= ((1 - least) * np.maximum(lengths[rows], lengths[n]) + 1e-9).astype(int)
+    return rows[(bands[rows, :16] == bands[n, :16]).any(1) & apart & (np.bitwise_count(sketch[rows] ^ sketch[n]) <= line_dedup.SKETCH_BITS)].tolist()
+
+
+def brute_lines(rows, least):
     first = {}
     for i, text in sorted(r for r in rows if r[0] is not None):
         for n, form in enumerate(line_dedup.normal_lines(text)):
             if form.strip():
                 first.setdefault(b" ".join(form.split()), (i, n))
     forms = list(first)
-    sims = line_dedup.line_keys(forms)[2] if forms else np.empty(0, np.uint64)
-    links = [(a, b) for a in range(len(forms)) for b in np.flatnonzero(np.bitwise_count(sims[a] ^ sims[:a]) <= most_bits).tolist() if edit.similar(forms[a], forms[b], least)]
+    bands = bands_of(forms)
+    links = [(a, b) for b in range(len(forms)) for a in compared(bands, b) if edit.edit_distance(forms[a], forms[b]) <= int((1 - least) * max(len(forms[a]), len(forms[b])) + 1e-9)]
     group = roots(len(forms), links)
     best = {}
     for n, f in enumerate(forms):
@@ -156,7 +185,7 @@ def varied_lines():
 
 def test_line_dedup(make_docs):
     rows = varied_lines()
-    want, links = brute_lines(rows, 3, 0.8)
+    want, links = brute_lines(rows, 0.8)
     assert len(links) > 50
     found = {r.doc_id: tuple(r)[1:] for r in line_dedup.dedup_lines(make_docs(rows)).collect()}
     assert found == want
@@ -166,7 +195,7 @@ def test_line_dedup(make_docs):
 
 
 def test_line_dedup_of_odd_rows(odd, make_docs):
-    want = brute_lines(rows_of(odd), 3, 0.8)[0]
+    want = brute_lines(rows_of(odd), 0.8)[0]
     found = line_dedup.dedup_lines(odd).collect()
     assert len(found) == len(rows_of(odd))
     assert all(tuple(r)[1:] == want[r.doc_id] for r in found)
@@ -189,16 +218,72 @@ def test_line_dedup_by_edit_similarity_alone(make_docs):
             forms.append(" ".join(line).encode())
             rows.append((2 * i + copy, forms[-1].decode()))
     links = [(a, b) for b in range(len(forms)) for a in range(b) if edit.similar(forms[a], forms[b], 0.8)]
-    sims = line_dedup.line_keys(forms)[2]
-    assert len(links) >= 90 and sum(int(np.bitwise_count(sims[a] ^ sims[b])) <= 3 for a, b in links) < 0.4 * len(links)
-    gone = {r.doc_id for r in line_dedup.dedup_lines(make_docs(rows), None).collect() if r.n_removed}
+    assert len(links) >= 90
+    gone = {r.doc_id for r in line_dedup.dedup_lines(make_docs(rows)).collect() if r.n_removed}
     assert gone <= {b for _, b in links} and len(gone) >= 0.95 * len(links)
 
 
-def test_line_dedup_by_words_of_odd_rows(odd, make_docs):
-    found = line_dedup.dedup_lines(odd, None).collect()
-    assert len(found) == len(rows_of(odd)) and all(r.n_removed == 0 for r in found if r.doc_id is None)
-    assert line_dedup.dedup_lines(make_docs([]), None).count() == 0
+def crowd(kind, n):
+    """Distinct lines that are alike in their words only: one order of twelve words each, or a table's rows."""
+    rng = random.Random(n)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)]
+    if kind == "orders":
+        lines = {" ".join(rng.sample(words, 12)) for _ in range(n)}
+    else:
+        lines = {f"0 0 0 {''.join(rng.choice('abcdefghijklmnop') for _ in range(9))}" for _ in range(n)}
+    return list(enumerate(sorted(lines)))
+
+
+@pytest.mark.parametrize(("kind", "cell"), [("orders", 2000), ("orders", 50), ("table", 2000)])
+def test_line_dedup_of_crowds(make_docs, monkeypatch, kind, cell):
+    monkeypatch.setattr(line_dedup, "CELL_LINES", cell)
+    rows = crowd(kind, 300)
+    found = {r.doc_id: tuple(r)[1:] for r in line_dedup.dedup_lines(make_docs(rows)).collect()}
+    assert found == brute_lines(rows, 0.8)[0]
+
+
+@pytest.mark.parametrize("kind", ["orders", "table"])
+def test_what_crowds_of_lines_send_grows_with_their_number(make_docs, kind):
+    for n in (250, 1000):
+        lines = line_dedup.lines_of(make_docs(crowd(kind, n)).select("doc_id", "text"))
+        assert line_dedup.nearest(lines, 4, 0.8).count() <= 32 * n
+        assert line_dedup.crossing(lines.selectExpr("bands", "key", "key AS root"), 4, 0.8).count() <= 16 * n
+
+
+def thue_morse(letters):
+    order = [0]
+    for _ in range(10):
+        order += [1 - x for x in order]
+    return "".join(letters[x] for x in order)
+
+
+def test_words_of_special_orders_of_letters_differ(make_docs):
+    middle = [thue_morse("ab"), thue_morse("ba")]
+    rows = [(i, " ".join([f"w{n}" for n in range(15)] + [w] + [f"v{n}" for n in range(15)])) for i, w in enumerate(middle)]
+    assert [r.n_removed for r in substring_dedup.remove_repeats(make_docs(rows)).collect()] == [0, 0]
+    assert [r.n_removed for r in line_dedup.dedup_lines(make_docs(list(enumerate(middle)))).collect()] == [0, 0]
+
+
+def test_word_hashes_of_long_texts_and_words(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abc") for _ in range(rng.choice([1, 2, 5, 70]))).encode() for _ in range(3000)] + [b"z" * 5000, b"z" * 5001, b"y" * 9000]
+    rng.shuffle(words)
+    alone = [int(substring_dedup.hashed(w)[0][0]) for w in words]
+    assert len(set(alone)) == len(set(words))
+    for size in (64, 1000, 1 << 20):
+        monkeypatch.setattr(substring_dedup, "HASH_BYTES", size)
+        hashes, lengths, counts = substring_dedup.word_hashes([b"\t".join(words), b"", b" x  y ", b" ".join(words[:9])])
+        assert hashes[: len(words)].tolist() == alone and lengths[: len(words)].tolist() == list(map(len, words))
+        assert counts.tolist() == [len(words), 0, 2, 9]
+
+
+def test_repeated_ids_with_other_texts(make_docs):
+    line = [" ".join(f"{c}{n}" for n in range(25)) for c in "abc"]
+    docs = make_docs([(1, line[0]), (2, f"{line[1]}\n{line[0]}"), (2, f"{line[0]}\n{line[2]}"), (3, line[2])])
+    found = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect())
+    assert found == [(1, 25, 0), (2, 50, 50), (2, 50, 50), (3, 25, 25)]
+    found = sorted((r.doc_id, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs).collect())
+    assert found == [(1, 1, 0), (2, 2, 0), (2, 2, 0), (3, 1, 1)]
 
 
 def test_normal_texts_split_each_document_once(spark, make_docs, monkeypatch, tmp_path):
