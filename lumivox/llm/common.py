@@ -23,16 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where unset, and Spark runs on this machine alone, a new local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark._jsc.sc().getCheckpointDir().isEmpty():
+    """The folder named in spark.checkpoint.dir, or else the one that was given to the context.
+
+    Where there is neither, and Spark runs on this machine alone, a new local one.
+    """
+    path, given = spark.conf.get("spark.checkpoint.dir", None), spark._jsc.sc().getCheckpointDir()
+    if given.isEmpty():
+        if not path:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(path)
-    return path
+    return path or given.get() if given.isDefined() else path
 
 
 def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
