@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumivox.llm import decontaminate, line_dedup, near_dedup, neighbours, pieces, quality, sharding, substring_dedup, token_files
+from lumivox.llm import conversations, decontaminate, line_dedup, manifest, near_dedup, neighbours, ngram_join, pieces, quality, sharding, substring_dedup, token_files
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         decontaminate.op8_decontamination,
         pieces.op9_sentencepiece,
         near_dedup.op10_simhash_near_dedup,
+        conversations.op11_conversation_repair,
+        manifest.op12_merkle_manifest,
+        ngram_join.op13_ngram_join,
     )
 }
 #: Where SQL can't express a query, tests/llm hold it against brute force, its library or held-out labels.
