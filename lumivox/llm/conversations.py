@@ -304,3 +304,59 @@ def repair(conversations: DataFrame, most: int = CHUNK) -> DataFrame:
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "conversations"))
+
+
+def sql_with(prefix: str, cost: str, edit: str, line: str) -> str:
+    """A prefix (cost in eight digits, edits, a mark, text) and one edit more; prefixes compare by cost, then by edits."""
+    return f"lpad(CAST(CAST(left({prefix}, 8) AS BIGINT) + {cost} AS VARCHAR), 8, '0') || substr(split_part({prefix}, chr(1), 1), 9) || '{edit}' || chr(1) || substr({prefix}, instr({prefix}, chr(1)) + 1) || {line}"
+
+
+def sql_inserted(s: str, u: str, a: str, n: str) -> str:
+    """The states' prefixes once insertions are offered: users after each other state, assistants after users."""
+    line = {r: f"chr(10) || '{NAMES[r]}:'" for r in NAMES}
+    user = f"least({u}, {', '.join(sql_with(x, str(INSERT), 'I', line[USER]) for x in (n, s, a))})"
+    return f"SELECT conv, nth, none, s, u1 AS u, least(a, {sql_with('u1', str(INSERT), 'I', line[ASSISTANT])}) AS a FROM (SELECT *, {user} AS u1 FROM"
+
+
+def sql_step() -> str:
+    """One row more: from each state's best prefix to the best of each state after it."""
+    stay = f"CASE WHEN fault = 't' THEN {CUT_OFF} ELSE 0 END"
+    free = "fault NOT IN ('b', 'd')"
+    kept = lambda x, i: f"CASE WHEN {free} AND initial = '{i}' THEN {sql_with(x, stay, 'K', sql_line)} END"
+    sql_line = "chr(10) || role || ':' || text"
+    changed = lambda x, r: f"CASE WHEN {free} THEN {sql_with(x, f'{REROLE} + {stay}', 'R', f'chr(10) || {chr(39)}{NAMES[r]}:{chr(39)} || text')} END"
+    gone = lambda x: sql_with(x, str(DELETE), "D", "''")
+    users = ", ".join(f for x in ("none", "s", "a") for f in (kept(x, "u"), changed(x, USER)))
+    return f"""SELECT b.conv, b.nth + 1 AS nth, {gone("none")} AS none, least({gone("s")}, {kept("none", "s")}) AS s,
+        least({gone("u")}, {users}) AS u, least({gone("a")}, {kept("u", "a")}, {changed("u", ASSISTANT)}) AS a
+        FROM best b JOIN coded c ON c.conv = b.conv AND c.nth = b.nth"""
+
+
+#: Bytes mixed in one by one, then eight steps of the reflected polynomial.
+SQL_KIND = f"""xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+    lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % {KINDS}"""
+ORACLE_SQL = f"""
+WITH RECURSIVE marked AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {SQL_KIND} AS kind FROM conversations),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM marked WHERE kind <> 0),
+ordered AS (
+    SELECT coalesce(CAST(conv_id AS VARCHAR), '') AS conv, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS nth,
+        rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core FROM damaged),
+coded AS (
+    SELECT conv, turn, role, text, nth, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '-' END AS initial,
+        CASE WHEN core = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY nth) > 1 THEN 'd' WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault
+    FROM ordered),
+best AS (
+    {sql_inserted("s", "u", "a", "none")} (SELECT DISTINCT conv, CAST(0 AS BIGINT) AS nth, '00000000' || chr(1) AS none, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a FROM coded))
+    UNION ALL {sql_inserted("s", "u", "a", "none")} ({sql_step()}))),
+sizes AS (
+    SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+        count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM (SELECT *, lag(initial) OVER (PARTITION BY conv ORDER BY nth) AS before FROM coded) GROUP BY conv),
+ended AS (SELECT sizes.*, least(none, a) AS x FROM sizes JOIN best ON best.conv = sizes.conv AND best.nth = sizes.n)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    coalesce(CAST(left(x, 8) AS BIGINT), 0) AS cost, coalesce(substr(split_part(x, chr(1), 1), 9), '') AS audit, sha256(coalesce(substr(x, instr(x, chr(1)) + 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN ended ON ended.conv = coalesce(CAST(ids.conv_id AS VARCHAR), '')
+"""

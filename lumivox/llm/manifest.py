@@ -201,3 +201,45 @@ def manifest(docs: DataFrame, levels: int = BLOCK_LEVELS) -> DataFrame:
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
+
+
+def sql_field(name: str) -> str:
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR) END"
+
+
+def sql_leaf(text: str) -> str:
+    return "sha256(" + " || ".join([*(sql_field(c) for c in FIELDS[:-1]), sql_field(text)]) + ")"
+
+
+#: Bits of the checksum follow one by one: a byte is mixed in, then eight steps of the reflected polynomial.
+SQL_CRC32 = """xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+
+
+def sql_way(nodes: str, tree: str, nth: str) -> str:
+    """Per level what comes before and after a node's ancestor in its run."""
+    return f"""SELECT o.r, n.level, coalesce(string_agg(n.node, '' ORDER BY n.nth) FILTER (n.nth < o.{nth} // pow8), '') AS before, coalesce(string_agg(n.node, '' ORDER BY n.nth) FILTER (n.nth > o.{nth} // pow8), '') AS after
+    FROM o JOIN (SELECT *, CAST(pow(8, level) AS BIGINT) AS pow8 FROM {nodes} WHERE n > 1) n ON {tree} AND n.nth // 8 = o.{nth} // (8 * pow8) GROUP BY o.r, n.level"""
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE l AS (
+    SELECT doc_id, coalesce('+' || lang, '!') AS tree, {sql_leaf("text")} AS leaf,
+        CASE WHEN {SQL_CRC32} % 3 = 0 THEN {sql_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+    FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nth, count(*) OVER (PARTITION BY tree) AS n, row_number() OVER () AS r FROM l),
+nodes AS (
+    SELECT 0 AS level, tree, nth, n, leaf AS node FROM ranked
+    UNION ALL SELECT level + 1, tree, nth // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY nth)) FROM nodes WHERE n > 1 GROUP BY level, tree, nth // 8, n),
+subs AS (SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+    SELECT 0 AS level, place AS nth, n, subroot AS node FROM subs
+    UNION ALL SELECT level + 1, nth // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY nth)) FROM tops WHERE n > 1 GROUP BY level, nth // 8, n),
+o AS (SELECT r, doc_id, ranked.tree AS tree, leaf, changed, nth, subroot, place FROM ranked JOIN subs ON ranked.tree = subs.tree),
+steps AS (SELECT 0 AS half, * FROM ({sql_way("nodes", "n.tree = o.tree", "nth")}) UNION ALL SELECT 1, * FROM ({sql_way("tops", "true", "place")})),
+ways AS (SELECT r, list(before || '|' || after ORDER BY half, level) AS way, string_agg(before || after, '' ORDER BY half, level) AS siblings FROM steps GROUP BY r),
+folded AS (
+    SELECT o.*, sha256(coalesce(siblings, '')) AS proof_sha256, list_reduce([coalesce(changed, leaf)] || coalesce(way, []), lambda a, e: sha256(split_part(e, '|', 1) || a || split_part(e, '|', 2))) AS folded_root
+    FROM o LEFT JOIN ways ON o.r = ways.r)
+SELECT doc_id, leaf, subroot, node AS root, proof_sha256, folded_root, folded_root = node AS verified FROM folded, (SELECT node FROM tops WHERE n = 1)
+"""

@@ -365,3 +365,20 @@ def ngram_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+    SELECT DISTINCT r, CASE WHEN len(words) < 4 THEN array_to_string(words, ' ') ELSE words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3] END AS shingle
+    FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+pairs AS (SELECT x.r AS a, y.r AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.r < y.r GROUP BY x.r, y.r),
+links AS (SELECT a, b FROM pairs JOIN sizes n ON n.r = a JOIN sizes m ON m.r = b WHERE 100 * common >= 85 * (n.n + m.n - common)),
+reach AS (
+    SELECT r, r AS other FROM w
+    UNION SELECT reach.r, e.b FROM reach JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON reach.other = e.a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least AS component_id
+FROM w LEFT JOIN sizes ON w.r = sizes.r JOIN (SELECT reach.r, min(o.doc_id) AS least FROM reach JOIN w o ON o.r = reach.other GROUP BY reach.r) c ON c.r = w.r
+"""

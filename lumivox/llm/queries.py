@@ -23,4 +23,9 @@ QUERIES = {
     )
 }
 #: Where SQL can't express a query, tests/llm hold it against brute force, its library or held-out labels.
-ORACLE_SQL = {"op1_substring_dedup": substring_dedup.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_conversation_repair": conversations.ORACLE_SQL,
+    "op12_merkle_manifest": manifest.ORACLE_SQL,
+    "op13_ngram_join": ngram_join.ORACLE_SQL,
+}
