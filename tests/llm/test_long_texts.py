@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from lumivox.llm import decontaminate, fingerprints, line_dedup, near_dedup, pieces, quality, sharding, substring_dedup, token_files
+from lumivox.llm import decontaminate, fingerprints, line_dedup, manifest, near_dedup, ngram_join, pieces, quality, sharding, substring_dedup, token_files
 
 PASSAGE = "a passage of a benchmark that nobody should learn from, whatever it says"
 
@@ -66,6 +66,18 @@ def test_shards_and_fingerprints(long_docs, texts):
     assert {r.doc_id: r.fingerprint for r in near_dedup.near_duplicates(long_docs).collect()} == {i: f"{fingerprints.fingerprint(t, 3):016x}" for i, t in texts.items()}
 
 
+def test_manifest_and_ngrams(long_docs, texts):
+    def field(x):
+        return "-" if x is None else f"{len(str(x).encode())}:{x}"
+
+    leaves = {i: hashlib.sha256("".join(field(x) for x in (i, "s", "en", len(t), t)).encode()).hexdigest() for i, t in texts.items()}
+    assert {r.doc_id: r.leaf for r in manifest.manifest(long_docs).collect()} == leaves
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_groups(long_docs.union(long_docs.selectExpr("doc_id + 100", *(f"`{c}`" for c in long_docs.columns[1:])))).collect()}
+    for i, t in texts.items():
+        words = t.split()
+        assert found[i] == found[i + 100] == (len({tuple(words[k : k + 4]) for k in range(max(1, len(words) - 3))}), i)
+
+
 def test_leaks(spark, long_docs):
     benchmark = spark.createDataFrame([(1, PASSAGE), (2, "-" * 200)], "item_id long, text string")
     found = decontaminate.leaks(long_docs, benchmark)

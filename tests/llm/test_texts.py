@@ -51,6 +51,14 @@ def test_agenda_differs_from_a_wrong_order():
     assert pieces.vocabulary(MODEL).merge("ationthe") == LIBRARY.encode("ationthe")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aeinorst日本ü🙂\x00"), st.characters(exclude_categories=["Cs", "Z"])), min_size=1, max_size=90), min_size=1, max_size=6))
+def test_units_side_by_side_and_alone(texts):
+    vocabulary = pieces.vocabulary(MODEL)
+    units = [x.replace(pieces.MARK, "") for x in texts]
+    assert [vocabulary.alone(x) for x in units] == vocabulary.merge_all(units)
+
+
 def test_token_counts(odd):
     found = sorted(tuple(r) for r in pieces.count_tokens(odd, MODEL, limit=50).collect() if r.doc_id is not None)
     want = sorted((i, len(t.encode()), len(LIBRARY.encode(t)), len(LIBRARY.encode(t)) > 50) for i, t in rows_of(odd) if i is not None)
