@@ -1,90 +1,43 @@
-"""Binary formats: images, volumes, raw volumes, id records and phase space.
+"""Binary formats: images, volumes, raw volumes, id records, lines of list mode, phase space, simulator text.
 
-Files are read with Spark's ``binaryFile`` source, one row per file, and decoded in
-Arrow batches by numpy; writers go through Spark, too, one file per image or volume.
+Images and volumes are read by slabs (``grids``), records by ranges of rows
+(``records``), so a file may be of any size; both have writers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumivox.sources.grids import read_grids
+from lumivox.sources.records import fields_of, read_lines, read_records
+
+__all__ = ["read_lines"]
 #: Fixed value: the packed record of phase space files; the last two numbers are unused.
 PHASE_SPACE = np.dtype([("type", "<i1"), *((c, "<f4") for c in ("E", "px", "py", "pz", "dx", "dy", "dz", "u1", "u2"))])
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
-
-
-def _grid(files: DataFrame, axes: tuple[str, ...], decode) -> DataFrame:
-    """(path, axes.., v) of files; ``decode`` gives an array of each file's bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                cube = decode(content)
-                places = [p.ravel().astype(np.int32) for p in np.indices(cube.shape)]
-                columns = [pa.array([path] * cube.size, pa.string()), *map(pa.array, places), pa.array(cube.ravel().astype(np.float64))]
-                yield pa.RecordBatch.from_arrays(columns, ["path", *axes, "v"])
-
-    return files.mapInArrow(run, "path string, " + ", ".join(f"{a} int" for a in axes) + ", v double")
-
-
-def _with_header(n: int):
-    def decode(content: bytes) -> np.ndarray:
-        values = np.frombuffer(content, "<f4")
-        shape = tuple(values[:n].astype(int))
-        if values.size != n + int(np.prod(shape)):
-            raise ValueError(f"{values.size - n} samples where the header says {shape}")
-        return values[n:].reshape(shape)
-
-    return decode
-
-
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Float images: height and width in front."""
-    return _grid(_files(spark, path), ("y", "x"), _with_header(2))
+    return read_grids(spark, path, ("y", "x"))
 
 
 def read_volumes(spark: SparkSession, path: str) -> DataFrame:
     """Float volumes: depth, height and width in front."""
-    return _grid(_files(spark, path), ("z", "y", "x"), _with_header(3))
+    return read_grids(spark, path, ("z", "y", "x"))
 
 
 def read_raw_volumes(spark: SparkSession, path: str, shape: tuple[int, int, int], dtype: str = "<f4") -> DataFrame:
     """Volumes without a header; shape and type are the caller's."""
-    return _grid(_files(spark, path), ("z", "y", "x"), lambda content: np.frombuffer(content, dtype).reshape(shape))
+    return read_grids(spark, path, ("z", "y", "x"), shape, dtype)
 
 
-def read_id_records(spark: SparkSession, path: str) -> DataFrame:
+def read_id_records(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
     """(path, n, c1, d1, c2, d2) of files of four 32-bit integers a record."""
-    return _records(_files(spark, path), np.dtype([(c, "<i4") for c in ("c1", "d1", "c2", "d2")]), ["c1", "d1", "c2", "d2"])
-
-
-def read_lines(spark: SparkSession, base: str, dtype: str = "<u2", start: int = 0, stop: int | None = None) -> DataFrame:
-    """(n, x1, y1, z1, x2, y2, z2): lines ``start`` up to ``stop`` of list-mode data in six files base.x1 .. base.z2.
-
-    Files of 16-bit integers or of floats, one number a line; such data is written in
-    chunks of files, each of which fits a task. Lines that some file lacks are left out.
-    """
-    ends = [f"{a}{i}" for i in "12" for a in "xyz"]
-    kind = "int" if np.dtype(dtype).kind in "iu" else "double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                values = np.frombuffer(content, dtype)[start:stop].astype(np.int32 if kind == "int" else np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([path[-2:]] * len(values), pa.string()), pa.array(np.arange(start, start + len(values))), pa.array(values)], ["end", "n", "v"])
-
-    files = spark.read.format("binaryFile").load([f"{base}.{e}" for e in ends]).select("path", "content")
-    numbers = files.mapInArrow(run, f"end string, n long, v {kind}")
-    lines = numbers.groupBy("n").agg(*(F.max(F.when(F.col("end") == e, F.col("v"))).alias(e) for e in ends), F.count("*").alias("all"))
-    return lines.where(F.col("all") == len(ends)).drop("all")
+    names = ["c1", "d1", "c2", "d2"]
+    return read_records(spark, path, fields_of(dict.fromkeys(names, "<i4")), named=True, start=start, stop=stop).select("path", "n", *names)
 
 
 def in_order(lines: DataFrame, order: DataFrame) -> DataFrame:
@@ -93,20 +46,10 @@ def in_order(lines: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def read_phase_space(spark: SparkSession, path: str) -> DataFrame:
-    return _records(_files(spark, path), PHASE_SPACE, list(PHASE_SPACE.names[:-2]))
-
-
-def _records(files: DataFrame, dtype: np.dtype, names: list[str]) -> DataFrame:
-    kinds = {c: "int" if dtype[c].kind == "i" else "double" for c in names}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                rows = np.frombuffer(content, dtype)
-                columns = [pa.array(np.ascontiguousarray(rows[c]).astype(np.int32 if kinds[c] == "int" else np.float64)) for c in names]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(np.arange(len(rows))), *columns], ["path", "n", *names])
-
-    return files.mapInArrow(run, "path string, n long, " + ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    """(path, n, type, E, px, py, pz, dx, dy, dz) of packed records of 37 bytes."""
+    names = PHASE_SPACE.names[:-2]
+    fields = ",".join(f"{'' if c in names else '_'}{c}:{PHASE_SPACE[c].str}" for c in PHASE_SPACE.names)
+    return read_records(spark, path, fields, named=True).select("path", "n", *names)
 
 
 def encoded(samples: DataFrame, key: str, axes: tuple[str, ...], shape: tuple[int, ...], header: bool = True) -> DataFrame:
