@@ -134,7 +134,8 @@ def faulty(rows: DataFrame) -> DataFrame:
 
 def chunk_answers(rows: DataFrame, most: int) -> DataFrame:
     """(key, chunk, last, size, answers) of every chunk of every conversation; rows come in order, so a task holds one chunk at a time."""
-    ordered = rows.select("key", "chunk", "at", "n", "letters").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "at")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few bytes a row are much work, so Spark must not put them together
+    ordered = rows.select("key", "chunk", "at", "n", "letters").repartition(parts, "key", "chunk").sortWithinPartitions("key", "chunk", "at")
     schema = "key string, chunk long, last boolean, size int, answers array<struct<entry int, exit int, cost long, edits string>>"
 
     def solved(key: str, chunk: int, n: int, letters: list[str]) -> tuple:
