@@ -23,11 +23,6 @@ def start(spark):
     return spark.range(CELLS).select(F.col("id").cast("int").alias("vox"), F.lit(1.0).alias("v"))
 
 
-def values(spark, of=None):
-    """The starting image, or another one on its grid, for every task."""
-    return r.gathered(of(spark), CELLS, "mu") if of else r.gathered(start(spark), CELLS)
-
-
 def mumap(spark):
     return start(spark).select("vox", ((F.col("vox") % 7) * F.lit(0.001)).alias("mu"))
 
@@ -59,12 +54,12 @@ def out(image):
 @query(sql(step(1, "ray", "im0"), last="im1"))
 def lmem_iteration(spark, sf_dir):
     """One list-mode EM iteration over all lines."""
-    return out(r.update(start(spark), r.back_by_lines(g.lors(spark, sf_dir), g.NX, g.NY, CELLS, values(spark))))
+    return out(r.em_step(g.lors(spark, sf_dir), start(spark), GRID))
 
 
 @query(sql(MU, step(1, "ray", "im0", 0.5), last="im1"))
 def lmem_attenuated(spark, sf_dir):
-    return out(r.update(start(spark), r.back_by_lines(g.lors(spark, sf_dir), g.NX, g.NY, CELLS, values(spark), values(spark, mumap), 0.5)))
+    return out(r.em_step(g.lors(spark, sf_dir), start(spark), GRID, mumap(spark), 0.5))
 
 
 HALVES = ("lor_id % 2 = 0", "lor_id % 2 = 1")
@@ -82,7 +77,7 @@ def oplem_2subsets(spark, sf_dir):
 
 @query(sql(NORM, MU, step(1, "ray", "im0", 0.3333, HALVES[0], True), step(2, "ray", "im1", 0.3333, HALVES[1], True), last="im2"))
 def oplem_att(spark, sf_dir):
-    return out(r.ordered_subsets(g.lors(spark, sf_dir), start(spark), F.col("lor_id") % 2, 2, GRID, norm=norms(spark), mu=values(spark, mumap), scale=0.3333))
+    return out(r.ordered_subsets(g.lors(spark, sf_dir), start(spark), F.col("lor_id") % 2, 2, GRID, norm=norms(spark), mu=mumap(spark), scale=0.3333))
 
 
 @query(
@@ -96,8 +91,8 @@ def oplem_att(spark, sf_dir):
 def mlem_binned(spark, sf_dir):
     """Binned EM: lines carry counts, and voxels their sensitivity."""
     lines = g.lors(spark, sf_dir).withColumn("n", 1 + F.col("lor_id") % 3)
-    sensitivity = r.back_by_lines(lines, g.NX, g.NY, CELLS).withColumnRenamed("f", "norm")
-    return out(r.update(start(spark), r.back_by_lines(lines, g.NX, g.NY, CELLS, values(spark), count="n"), sensitivity))
+    sensitivity = r.back_by_lines(lines, GRID).withColumnRenamed("f", "norm")
+    return out(r.update(start(spark), r.back_by_lines(lines, GRID, r.gathered(start(spark), CELLS), count="n"), sensitivity))
 
 
 @query(shared("lor", "ray") + "SELECT vox, round(sum(1.0 / len), 6) + 0.0 AS v FROM ray JOIN lor USING (lor_id) GROUP BY vox")

@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from lumivox import grid as g
 from lumivox.functions import scanner as sc
 from lumivox.jobs import reconstruction as r
-from lumivox.lineage import cut
 from lumivox.operators import samples as s
 from lumivox.queries import query, shared
-from lumivox.queries.detectors import path_lengths
-from lumivox.queries.reconstruction import HALVES, MU, NORM, START, mumap, norms, out, rays, start
+from lumivox.queries.reconstruction import GRID, HALVES, MU, NORM, START, mumap, norms, out, rays, start
 
 YX = ("y", "x")
 INCLUSIVE = "ray AS (SELECT lor_id, CAST((z1 + floor(n * (z2 - z1) / len)) * 1024 + (y1 + floor(n * (y2 - y1) / len)) * 32 + x1 + floor(n * (x2 - x1) / len) AS INTEGER) AS vox FROM (SELECT *, unnest(range(0, len + 1)) AS n FROM lor))"
@@ -75,23 +73,16 @@ SIDDON = (
 )
 
 
-def siddon_rays(spark, sf_dir):
-    """(lor_id, vox, w): exact path lengths, each in the voxel of its middle."""
-    lors = g.lors(spark, sf_dir)
-    segments = path_lengths(lors).join(lors, "lor_id")
-    place = lambda a: F.floor(F.col(f"{a}1") + F.col("mid") * (F.col(f"{a}2") - F.col(f"{a}1")) + 0.5)
-    return segments.select("lor_id", (place("z") * 1024 + place("y") * 32 + place("x")).cast("int").alias("vox"), "w")
-
-
 @query(SIDDON + "SELECT vox, round(sum(w), 5) + 0.0 AS v FROM seg GROUP BY vox", "lor")
 def siddon_backprojection(spark, sf_dir):
-    return siddon_rays(spark, sf_dir).groupBy("vox").agg(g.rounded(F.sum("w"), 5).alias("v"))
+    return r.back_by_lines(g.lors(spark, sf_dir), GRID, weights="lengths").select("vox", g.rounded("f", 5).alias("v"))
 
 
 @query(SIDDON + ", q AS (SELECT lor_id, sum(w) AS q FROM seg GROUP BY lor_id) SELECT vox, round(sum(w / q), 5) + 0.0 AS v FROM seg JOIN q USING (lor_id) GROUP BY vox", "lor")
 def lmem_siddon(spark, sf_dir):
     """One EM step with exact path lengths as weights."""
-    return r.expectation(siddon_rays(spark, sf_dir), start(spark)).select("vox", g.rounded("f", 5).alias("v"))
+    image = r.gathered(start(spark), g.NX * g.NY * g.NZ)
+    return r.back_by_lines(g.lors(spark, sf_dir), GRID, image, weights="lengths").select("vox", g.rounded("f", 5).alias("v"))
 
 
 def siddon_step(n: int, image: str, scale: float | None = None, where: str = "true", norm: bool = False) -> str:
@@ -114,14 +105,12 @@ def exact(image):
 @query(EXACT + siddon_step(1, "im0", 0.5) + " SELECT vox, round(v, 5) + 0.0 AS v FROM im1", "lor")
 def lmem_siddon_attenuated(spark, sf_dir):
     """One EM step with exact path lengths, attenuated by half of their sum over the map."""
-    return exact(r.update(start(spark), r.expectation(siddon_rays(spark, sf_dir), start(spark), mumap(spark), 0.5)))
+    return exact(r.em_step(g.lors(spark, sf_dir), start(spark), GRID, mumap(spark), 0.5, weights="lengths"))
 
 
-def in_halves(spark, own, **step):
+def in_halves(spark, sf_dir, **step):
     """Two subsets of lines by their number, the image updated and normalised after each."""
-    image = r.update(start(spark), r.expectation(own.where("lor_id % 2 = 0"), start(spark), **step), norms(spark))
-    image = cut(image)
-    return r.update(image, r.expectation(own.where("lor_id % 2 = 1"), image, **step), norms(spark))
+    return r.ordered_subsets(g.lors(spark, sf_dir), start(spark), F.col("lor_id") % 2, 2, GRID, weights="lengths", norm=norms(spark), **step)
 
 
 HALVED = "{0}{1} SELECT vox, round(v, 5) + 0.0 AS v FROM im2"
@@ -130,12 +119,12 @@ HALVED = "{0}{1} SELECT vox, round(v, 5) + 0.0 AS v FROM im2"
 @query(EXACT + HALVED.format(siddon_step(1, "im0", None, HALVES[0], True), siddon_step(2, "im1", None, HALVES[1], True)), "lor")
 def oplem_siddon(spark, sf_dir):
     """One pass over two subsets with exact path lengths."""
-    return exact(in_halves(spark, siddon_rays(spark, sf_dir)))
+    return exact(in_halves(spark, sf_dir))
 
 
 @query(EXACT + HALVED.format(siddon_step(1, "im0", 0.3333, HALVES[0], True), siddon_step(2, "im1", 0.3333, HALVES[1], True)), "lor")
 def oplem_siddon_attenuated(spark, sf_dir):
-    return exact(in_halves(spark, siddon_rays(spark, sf_dir), mu=mumap(spark), scale=0.3333))
+    return exact(in_halves(spark, sf_dir, mu=mumap(spark), scale=0.3333))
 
 
 @query("SELECT lor_id, c1, d1, c2, d2 FROM event WHERE d1 = 7 OR d2 = 7", "event")
