@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumivox import grid as g
+from lumivox.lineage import cut
+from lumivox.operators import pyramid
 from lumivox.queries import query
 
 DAYS = "WITH days AS (SELECT strftime(ts, '%Y-%m-%d') AS day, avg(value) AS v, count(*) AS n FROM events GROUP BY ALL) "
@@ -125,6 +127,51 @@ def cdf_sample(spark, sf_dir):
     return u.join(cells, "bucket").where("u >= before AND u < upto").select("event_id", "idx")
 
 
+def sums(spark, sf_dir):
+    """(j, v, idx): the same running sums, numbered from 0."""
+    cdf = cumulative(spark, sf_dir)
+    counts = cdf.groupBy(F.floor(F.col("idx") / 1000).alias("block")).agg(F.count("*").alias("n"))
+    counts = counts.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("offset"))
+    own = cdf.withColumn("block", F.floor(F.col("idx") / 1000)).withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy("idx")) - 1)
+    return own.join(counts, "block").select((F.col("offset") + F.col("nth")).alias("j"), F.col("upto").alias("v"), "idx", "total")
+
+
+def sql_levels(n: int) -> str:
+    """CTEs l0 .. l<n-1> of a pyramid over running sums."""
+    return ", l0 AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS j, CAST(upto AS DOUBLE) AS v FROM cdf)" + "".join(
+        f", l{k} AS (SELECT j // 3 AS j, sum(v) / 3 AS v FROM l{k - 1} GROUP BY j // 3 HAVING count(*) = 3 UNION ALL SELECT count(*) // 3, max(v) FROM l{k - 1})" for k in range(1, n)
+    )
+
+
+@query(CDF + sql_levels(pyramid.LEVELS) + " SELECT level, j, round(v / (SELECT any_value(total) FROM cdf), 9) + 0.0 AS v FROM (" + " UNION ALL ".join(f"SELECT {k} AS level, j, v FROM l{k}" for k in range(pyramid.LEVELS)) + ")")
+def msps_build(spark, sf_dir):
+    """The pyramid of running sums, each level the three-way means of the one below."""
+    levels = pyramid.build(sums(spark, sf_dir), pyramid.LEVELS)
+    total = levels[-1].rows.agg(F.max("v").alias("total"))  # one row
+    return pyramid.stored(levels).join(F.broadcast(total)).select("level", "j", g.rounded(F.col("v") / F.col("total"), 9).alias("v"))
+
+
+def jitter(k: int, cast: str) -> str:
+    return f"(((event_id * 3 + {k}) * 1103515245{cast} + 12345) % 2147483648{cast}) / 2147483648.0{'D' if cast else '::DOUBLE'}"
+
+
+@query(
+    CDF + ", u AS (SELECT event_id, CAST(floor(((event_id * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE * (SELECT any_value(total) FROM cdf)) AS BIGINT) AS u FROM events) "
+    f"SELECT event_id, idx, round(idx % 32 + {jitter(0, '')}, 6) + 0.0 AS x, round(idx // 32 % 32 + {jitter(1, '')}, 6) + 0.0 AS y, round(idx // 1024 + {jitter(2, '')}, 6) + 0.0 AS z "
+    "FROM u ASOF JOIN (SELECT idx, upto - CAST(round(p_retailprice * 100) AS BIGINT) AS before FROM cdf JOIN part ON p_partkey = idx) c ON u.u >= c.before"
+)
+def msps_gen(spark, sf_dir):
+    """Points drawn from the weights as an activity on a grid: down the pyramid to a voxel, then somewhere in it."""
+    cells = cut(sums(spark, sf_dir))
+    levels = pyramid.build(cells)
+    total = cells.agg(F.max("total").alias("all"))  # one row
+    u = g.table(spark, sf_dir, "events").select("event_id", F.expr("((event_id * 1103515245L + 12345L) % 2147483648L) / 2147483648.0D").alias("share"))
+    u = u.join(F.broadcast(total)).select("event_id", (F.floor(F.col("share") * F.col("all")) + 1).alias("u"))
+    found = pyramid.descend(u, levels).join(cells.select("j", "idx"), "j")
+    place = {"x": "idx % 32", "y": "idx DIV 32 % 32", "z": "idx DIV 1024"}
+    return found.select("event_id", "idx", *(g.rounded(F.expr(f"{p} + {jitter(k, 'L')}")).alias(a) for k, (a, p) in enumerate(place.items())))
+
+
 @query(
     "SELECT c_custkey, CASE WHEN abs(v) < 1 THEN printf('%.2f', v) ELSE printf('%.2f ', v / pow(1000, e)) || ['', 'k', 'M', 'G'][e + 1] END AS si FROM "
     "(SELECT c_custkey, round(abs(c_acctbal), 2) AS v, CASE WHEN abs(round(c_acctbal, 2)) >= 1000 THEN 1 ELSE 0 END AS e FROM customer)"
