@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -92,6 +92,33 @@ def pair_id(i: Column, j: Column) -> Column:
     return F.least(i, j).cast("long") + F.floor(high * (high - 1) / 2)
 
 
+def pair_of(n: Column) -> tuple[Column, Column]:
+    """The two members, lower first, of the unordered pair with a number; the inverse of ``pair_id`` for n from 0."""
+    guess = F.floor((1 + F.sqrt(8.0 * n + 1)) / 2).cast("long")
+    below = lambda k: F.shiftright(k * (k - 1), 1)  # noqa: E731  pairs whose higher member is less
+    high = F.when(below(guess) > n, guess - 1).when(below(guess + 1) <= n, guess + 1).otherwise(guess)  # the root may be off by one
+    return n - below(high), high
+
+
+def all_pairs(spark: SparkSession, members: int) -> DataFrame:
+    """(n, i1, i2): all pairs i1 < i2 of 0 .. members - 1, ordered by i1, then by i2.
+
+    Numbers are dealt over tasks and each is turned into its pair in closed form:
+    counted from the end, pairs are those of ``pair_of``. Nothing is held anywhere.
+    """
+    total = members * (members - 1) // 2
+    low, high = pair_of(F.lit(total - 1) - F.col("id"))
+    return spark.range(total).select(F.col("id").alias("n"), (members - 1 - high).alias("i1"), (members - 1 - low).alias("i2"))
+
+
+def crystal_pairs(spark: SparkSession, s: Scanner, members: int | None = None) -> DataFrame:
+    """(n, c1, d1, c2, d2): every line between two of a scanner's crystals, or of its first ``members``."""
+    own = s.columns * s.rows
+    pairs = all_pairs(spark, own * s.modules if members is None else members)
+    ends = [(F.expr(f"i{k} {op} {own}").cast("int")).alias(f"{name}{k}") for k in "12" for name, op in (("c", "%"), ("d", "DIV"))]
+    return pairs.select("n", *ends)
+
+
 def attenuation(hu: Column) -> Column:
     """Linear attenuation at 511 keV from a CT number: water below zero, bone above."""
     return F.when(hu <= 0, 0.096 * (hu + 1000) / 1000).otherwise(0.096 + hu * (0.184 * (0.172 - 0.096)) / (1000 * (0.428 - 0.184)))
