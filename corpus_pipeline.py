@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumivox.llm import decontaminate, line_dedup, near_dedup, pieces, quality
+from lumivox.llm import decontaminate, line_dedup, pieces, quality, similar
 from lumivox.llm.common import table, written
 
 
@@ -33,10 +33,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that of the smallest doc_id.
 
+    Groups take five-word shingles and a similarity of 0.8; several SimHashes of each text,
+    looked up segment by segment, find whom to compare.
     Null and empty texts are one group; rows that repeat a doc_id stay or go together,
     those without an id stay; no rows give no rows.
     """
-    return near_dedup.one_of_each(docs)
+    return similar.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
