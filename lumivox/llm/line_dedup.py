@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumivox.llm.common import components, cut, id_and_text, slices, table, written
+from lumivox.llm.ordered import text_mark, told_apart
 from lumivox.llm.edit import similar_pairs
 from lumivox.llm.substring_dedup import from_planes, mixed, planes, word_hashes
 
@@ -426,8 +427,14 @@ def digested(docs: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, least: float, lines: str) -> DataFrame:
     """The documents with one more column, named ``lines``: numbers of the lines that stay."""
-    kept = kept_lines(id_and_text(docs).where("doc_id IS NOT NULL"), least).select(F.col("doc_id").alias(f"{lines} id"), F.col("lines").alias(lines))
-    return docs.join(kept, docs["doc_id"] == kept[f"{lines} id"], "left").drop(f"{lines} id")
+    own, mark = f"{lines} id", f"{lines} mark"
+    known, names = told_apart(id_and_text(docs).where("doc_id IS NOT NULL"))
+    kept = kept_lines(known, least)
+    if names is None:
+        kept = kept.select(F.col("doc_id").alias(own), F.col("lines").alias(lines))
+        return docs.join(kept, docs["doc_id"] == kept[own], "left").drop(own)
+    kept = kept.withColumnRenamed("doc_id", "number").join(names, "number").select(F.col("doc_id").alias(own), F.col("mark").alias(mark), F.col("lines").alias(lines))
+    return docs.join(kept, (docs["doc_id"] == kept[own]) & (text_mark(docs["text"].cast("string")) == kept[mark]), "left").drop(own, mark)
 
 
 def dedup_lines(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
@@ -438,15 +445,15 @@ def dedup_lines(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     single spaces for other ASCII; lines without words always stay. Returns doc_id,
     n_lines, n_removed, kept_sha256 (of the kept lines joined by line feeds). Null and
     empty texts have no lines; rows that repeat a doc_id with its text count as one
-    document and each return it; of rows that repeat a doc_id with other texts each
-    keeps the line numbers that any of them keeps; documents without an id are returned
-    whole. No rows give no rows.
+    document and each return it; of rows that repeat a doc_id with other texts each is a
+    document of its own, the one of the smaller hash being first; documents without an
+    id are returned whole. No rows give no rows.
     """
     return digested(judged(id_and_text(docs), least, "lines"))
 
 
 def without_repeated_lines(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """The documents with all their columns, their texts without those lines; null texts stay null."""
+    """The documents with all their columns, their texts without those lines; null texts stay null, and all else is as in ``dedup_lines``."""
     lines = "lines that stay"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumivox.llm.common import id_and_text, slices, table
+from lumivox.llm.ordered import told_apart
 
 WINDOW = 20
 #: Text bytes whose repeats are settled together before anything is sent.
@@ -382,8 +383,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = Fals
     kept_sha256 (of the kept words joined by one space), and with ``keep_text``
     kept_text. Null and empty texts have no words; documents of less than a window
     lose none; rows that repeat a doc_id with its text count as one document and
-    each return it; of rows that repeat a doc_id with other texts each loses the
-    places that any of them loses; documents without an id are returned whole.
+    each return it; of rows that repeat a doc_id with other texts each is a document
+    of its own, the one of the smaller hash being earlier; documents without an id are
+    returned whole.
 
     Windows are the same if 96 bits of their words' hashes agree. Buckets grow in
     number with the text, so each has about the same size however much there is.
@@ -393,12 +395,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = Fals
     spark = docs.sparkSession
     base = id_and_text(docs)
     known = base.where("doc_id IS NOT NULL")
+    known, names = told_apart(known)
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     gathered = lambda found: found.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges"))
     around = gathered(hits(probes(known, window, buckets), window))
     later = gathered(later_windows(candidate_windows(known.join(around, "doc_id"), window, buckets)))
     judged = known.join(later, "doc_id", "left")
+    if names is not None:
+        judged = judged.withColumnRenamed("doc_id", "number").join(names, "number").select("doc_id", "text", "ranges")
     rest = base.where("doc_id IS NULL").withColumn("ranges", F.lit(None).cast("array<binary>"))
     return kept_words(judged.unionByName(rest), window, keep_text)
 

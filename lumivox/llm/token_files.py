@@ -39,6 +39,8 @@ CALL_LETTERS = 1 << 18
 APART = re.compile("(?<=[!-~])(?= [!-~])|(?<=[A-Za-z])(?=[0-9])")
 #: Text bytes whose units are numbered together.
 SLICE_BYTES = 8 << 20
+#: Text bytes whose ids one file holds, about.
+FILE_BYTES = 64 << 20
 #: Unknown units that are encoded in one call of the library.
 CALL = 1000
 ORC_OPTIONS = {
@@ -166,36 +168,42 @@ def encoder(model: str) -> Encoder:
 
 
 def encode(docs: DataFrame, model: str, end: int = END) -> DataFrame:
-    """(doc_id, ids array<int>) of every document, the end id appended; a null text is empty."""
+    """(place, doc_id, ids array<int>) of every document, the end id appended; a null text is empty. ``place`` numbers a partition's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
         for batch in batches:
             for part in slices(batch, most=SLICE_BYTES):
                 texts = part.column("text").fill_null("")
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), encoder(model).encode(texts, end)], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + part.num_rows)), part.column("doc_id"), encoder(model).encode(texts, end)], ["place", "doc_id", "ids"])
+                at += part.num_rows
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_and_text(docs).mapInArrow(run, "place long, doc_id long, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, model: str, end: int = END) -> None:
     """Write the ids as ORC files in ascending doc_id order, nulls first.
 
     Texts are ranged by doc_id before they are encoded, as they are smaller than
-    their ids. Each file holds one range; ``part`` is its number, so that readers
-    know the order of files without their names. Rows are sorted in each file, so
+    their ids. Each file holds one range of about FILE_BYTES of text, so files don't grow with
+    the input; ``part`` is its number and ``place`` a row's place in it, so that readers
+    know the order of files and rows without their names. Rows are sorted in each file, so
     stripe and row-group statistics prune by doc_id, and Bloom filters help further.
     """
-    ranged = id_and_text(docs).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows = encode(ranged, model, end).select(F.spark_partition_id().alias("part"), "doc_id", "ids")
+    base = id_and_text(docs)
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    ranged = base.repartitionByRange(ranges, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = encode(ranged, model, end).select(F.spark_partition_id().alias("part"), "place", "doc_id", "ids")
     rows.write.format("orc").options(**ORC_OPTIONS).save(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("part int, doc_id long, ids array<int>").orc(path)
+    return spark.read.schema("part int, place long, doc_id long, ids array<int>").orc(path)
 
 
 def digest(ids: DataFrame) -> DataFrame:
-    """(part, doc_id, n_tokens, ids_crc32) of rows of token files."""
+    """(part, place, doc_id, n_tokens, ids_crc32) of rows of token files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,11 +211,11 @@ def digest(ids: DataFrame) -> DataFrame:
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4", copy=False).tobytes()
             crcs = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("part"), batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())],
-                ["part", "doc_id", "n_tokens", "ids_crc32"],
+                [batch.column("part"), batch.column("place"), batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())],
+                ["part", "place", "doc_id", "n_tokens", "ids_crc32"],
             )
 
-    return ids.mapInArrow(run, "part int, doc_id long, n_tokens long, ids_crc32 long")
+    return ids.mapInArrow(run, "part int, place long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def with_starts(rows: DataFrame) -> DataFrame:
@@ -219,7 +227,7 @@ def with_starts(rows: DataFrame) -> DataFrame:
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(offsets, "part").withColumn("start", F.col("offset") + F.col("inside"))
 
 
@@ -228,8 +236,8 @@ def tokens_through_orc(docs: DataFrame, model: str, path: str | None = None) ->
 
     doc_id, start, n_tokens (with the end id), ids_crc32 (unsigned, of the ids as
     little-endian unsigned 32-bit integers). Null and empty texts have the end id
-    alone; null ids come first; rows that repeat a doc_id are neighbours, and are
-    numbered in their files' order. Without rows the result is empty.
+    alone; null ids come first; rows that repeat a doc_id are neighbours, in the
+    order of their texts' hashes, and ``start`` is where each lies in its file. Without rows the result is empty.
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"

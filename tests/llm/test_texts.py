@@ -166,3 +166,24 @@ def test_shards(odd, run_rows):
         assert sorted(slots) == list(range(len(slots)))
     assert ((found.grown_shard == found.shard) | (found.grown_shard == 3)).all()
     assert set(found.law) == {"key"} and found.groupby("doc_id").shard.nunique().max() == 1
+
+
+def test_starts_are_the_places_in_the_files(spark, make_docs, tmp_path):
+    """Rows of one doc_id with other texts: start counts the ids that lie before each in the files."""
+    texts = ["a b c d e f", "x", "many more words are here than there", "some"]
+    docs = make_docs([(i % 20, f"{texts[i // 20]} {i}") for i in range(80)] + [(None, "no id"), (None, "")]).repartition(4)
+    path = str(tmp_path / "ids")
+    found = token_files.tokens_through_orc(docs, token_files.model_text(), path).collect()
+    flat = [i for r in token_files.read_tokens(spark, path).orderBy("part", "place").collect() for i in r.ids]
+    assert len(found) == 82 and sum(r.n_tokens for r in found) == len(flat)
+    for r in found:
+        assert zlib.crc32(np.array(flat[r.start : r.start + r.n_tokens], "<u4").tobytes()) == r.ids_crc32
+    assert len({r.start for r in found}) == 82
+
+
+def test_files_do_not_grow_with_the_input(spark, make_docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 2000)
+    docs = make_docs([(i, f"words of number {i} " * 10) for i in range(200)])
+    path = tmp_path / "ids"
+    token_files.write_tokens(docs, str(path), token_files.model_text())
+    assert len(list(path.glob("*.orc"))) >= 15
