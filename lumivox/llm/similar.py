@@ -35,6 +35,8 @@ SEGMENTS, SEGMENT_BITS = 8, 24
 MOST_BITS = 36
 #: Rounds in which nodes are held against one leader each.
 ROUNDS = 2
+#: Lookups of one value from which it is left out if all are of one group: no pair is lost by it.
+CROWD = 64
 #: Ids that are sent to every task (8 bytes each) to fetch texts; more are joined by a shuffle.
 SENT_IDS = 500_000
 PRINTS = [f"f{i}" for i in range(len(SALTS))]
@@ -95,10 +97,10 @@ def one_each(nodes: DataFrame, turn: int) -> DataFrame:
 
 
 def across(nodes: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different groups that meet in a segment and differ in few bits."""
+    """(a, b): all pairs of different groups that meet in a segment and differ in few bits; crowds of one group are left out of the tables."""
     entries, probes = looked_up(nodes)
-    several = probes.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    met = probes.join(several, "key").alias("e").join(entries.alias("f"), (F.col("e.key") == F.col("f.key")) & (F.col("e.root") != F.col("f.root")) & (apart("e", "f") <= MOST_BITS))
+    settled = probes.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where((F.col("n") > CROWD) & (F.col("lo") == F.col("hi"))).select("key")
+    met = probes.join(settled, "key", "left_anti").alias("e").join(entries.alias("f"), (F.col("e.key") == F.col("f.key")) & (F.col("e.root") != F.col("f.root")) & (apart("e", "f") <= MOST_BITS))
     return met.select(F.least("e.sig", "f.sig").alias("a"), F.greatest("e.sig", "f.sig").alias("b")).distinct()
 
 
