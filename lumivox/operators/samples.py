@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumivox.grid import dense
+
 
 def project(samples: DataFrame, key: str, keep: Sequence[str], how=F.sum) -> DataFrame:
     """Reduce all axes that are not kept: sums, or maximum and minimum intensity."""
@@ -123,6 +125,22 @@ def convolve(samples: DataFrame, key: str, axes: Sequence[str], weight: Column,
     return neighbourhood(samples, axes, reach).where(inside).groupBy(key, *axes).agg(F.sum(F.col("v") * weight).alias("v"))
 
 
+def convolve_inside(samples: DataFrame, key: str, axes: Sequence[str], weight: Column, reach: int, sizes: Sequence[int]) -> DataFrame:
+    """Weighted sum over the window where it lies in the grid as a whole; 0 at the other samples."""
+    inside = F.lit(True)
+    for a, n in zip(axes, sizes):
+        inside = inside & F.col(a).between(reach, n - 1 - reach)
+    sums = neighbourhood(samples, axes, reach).where(inside).groupBy(key, *axes).agg(F.sum(F.col("v") * weight).alias("sum"))
+    return samples.join(sums, [key, *axes], "left").select(key, *axes, F.coalesce("sum", F.lit(0.0)).alias("v"))
+
+
+def packed_cube(samples: DataFrame, spark: SparkSession, key: str, sizes: tuple[int, int, int]) -> DataFrame:
+    """Each volume of the sizes nz, ny, nx in the middle of a cube of zeros with its longest edge."""
+    edge = max(sizes)
+    shifts = {a: f"{a} + {(edge - n) // 2}" for a, n in zip("zyx", sizes)}
+    return dense(moved(samples, **shifts), spark, key, z=edge, y=edge, x=edge)
+
+
 def sinc(x: Column) -> Column:
     return F.when(F.abs(x) < 1e-12, 1.0).otherwise(F.sin(F.lit(3.141592653589793) * x) / (F.lit(3.141592653589793) * x))
 

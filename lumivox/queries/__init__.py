@@ -49,5 +49,5 @@ def query(sql: str | None = None, *ctes: str, name: str | None = None) -> Callab
     return register
 
 
-for _module in ("images", "volumes", "spectra", "detectors", "reconstruction", "matrices", "curves", "systems", "files", "traversal", "registration"):
+for _module in ("images", "volumes", "spectra", "detectors", "reconstruction", "matrices", "curves", "systems", "files", "traversal", "registration", "features"):
     import_module(f"{__name__}.{_module}")

@@ -250,13 +250,13 @@ GAUSS = "exp(-(dy * dy + dx * dx) / 2.0)"
 
 
 @query(
-    "SELECT a.image_id, a.y, a.x, round(sum(b.v * exp(-((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) / 2.0)), 6) + 0.0 AS v "
+    "SELECT a.image_id, a.y, a.x, CASE WHEN a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 THEN round(sum(b.v * exp(-((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) / 2.0)), 6) + 0.0 ELSE 0.0 END AS v "
     "FROM pixel a JOIN pixel b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.image_id, a.y, a.x",
     "pixel",
 )
 def space_conv(spark, sf_dir):
-    """Convolution with a 3 x 3 Gaussian kernel."""
-    return s.convolve(g.pixels(spark, sf_dir), "image_id", YX, F.expr(GAUSS), 1, (8, 8)).withColumn("v", g.rounded("v"))
+    """Convolution with a 3 x 3 Gaussian kernel; the border, where no whole window lies, is 0."""
+    return s.convolve_inside(g.pixels(spark, sf_dir), "image_id", YX, F.expr(GAUSS), 1, (8, 8)).withColumn("v", g.rounded("v"))
 
 
 @query(
