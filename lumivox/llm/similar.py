@@ -13,11 +13,12 @@ segments it falls into, and only pairs across the groups so found are looked for
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumivox.llm.common import components, cut, id_and_text, slices
@@ -39,6 +40,8 @@ ROUNDS = 2
 CROWD = 64
 #: Ids that are sent to every task (8 bytes each) to fetch texts; more are joined by a shuffle.
 SENT_IDS = 500_000
+#: Rows that a Python worker gets at a time; sets of shingles are wide.
+BATCH_ROWS = 1000
 PRINTS = [f"f{i}" for i in range(len(SALTS))]
 
 
@@ -134,6 +137,32 @@ def alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, perce
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Profiles of all rows, and the nodes with the roots of their groups, both computed."""
+    rows = cut(profiles(docs))
+    nodes = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("first"), F.min(F.struct(*PRINTS, "keys")).alias("p")).select("sig", "first", "p.*")).withColumn("root", F.col("sig"))
+    links = None
+    for turn in range(ROUNDS + 1):
+        pairs = cut(one_each(nodes, turn) if turn < ROUNDS else across(nodes))
+        found = cut(alike(pairs, docs, nodes, width, percent))
+        links = found if links is None else links.unionByName(found)
+        roots = components(links, "a", "b").select(F.col("node").alias("sig"), F.col("root").alias("found"))
+        nodes = cut(nodes.drop("root").join(roots, "sig", "left").withColumn("root", F.coalesce("found", "sig")).drop("found"))
+    return rows, nodes
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS for what is computed meanwhile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, component_id) of every document with an id: the smallest doc_id that links reach.
 
@@ -146,15 +175,8 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     for one with a chance of 3 %.
     """
     docs = id_and_text(docs).where("doc_id IS NOT NULL")
-    rows = cut(profiles(docs))
-    nodes = cut(rows.groupBy("sig").agg(F.min("doc_id").alias("first"), F.min(F.struct(*PRINTS, "keys")).alias("p")).select("sig", "first", "p.*")).withColumn("root", F.col("sig"))
-    links = None
-    for turn in range(ROUNDS + 1):
-        pairs = cut(one_each(nodes, turn) if turn < ROUNDS else across(nodes))
-        found = cut(alike(pairs, docs, nodes, width, percent))
-        links = found if links is None else links.unionByName(found)
-        roots = components(links, "a", "b").select(F.col("node").alias("sig"), F.col("root").alias("found"))
-        nodes = cut(nodes.drop("root").join(roots, "sig", "left").withColumn("root", F.coalesce("found", "sig")).drop("found"))
+    with small_batches(docs.sparkSession):
+        rows, nodes = grouped(docs, width, percent)
     ids = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     by_sig = nodes.select("sig", "root").join(ids, "root").select("sig", "component_id")
     return rows.select("doc_id", "sig").join(by_sig, "sig").select("doc_id", "component_id")
