@@ -173,15 +173,16 @@ def msps_gen(spark, sf_dir):
 
 
 @query(
-    "SELECT c_custkey, CASE WHEN abs(v) < 1 THEN printf('%.2f', v) ELSE printf('%.2f ', v / pow(1000, e)) || ['', 'k', 'M', 'G'][e + 1] END AS si FROM "
-    "(SELECT c_custkey, round(abs(c_acctbal), 2) AS v, CASE WHEN abs(round(c_acctbal, 2)) >= 1000 THEN 1 ELSE 0 END AS e FROM customer)"
+    "SELECT c_custkey, CASE WHEN negative THEN '-' ELSE '' END || CASE WHEN abs(v) < 1 THEN printf('%.2f', v) ELSE printf('%.2f ', v / pow(1000, e)) || ['', 'k', 'M', 'G'][e + 1] END AS si FROM "
+    "(SELECT c_custkey, round(c_acctbal, 2) < 0 AS negative, round(abs(c_acctbal), 2) AS v, CASE WHEN abs(round(c_acctbal, 2)) >= 1000 THEN 1 ELSE 0 END AS e FROM customer)"
 )
 def prefix_si(spark, sf_dir):
-    """Amounts with the prefixes of thousands."""
-    v = g.table(spark, sf_dir, "customer").select("c_custkey", F.round(F.abs("c_acctbal"), 2).alias("v"))
+    """Amounts with the prefixes of thousands; the sign goes first."""
+    v = g.table(spark, sf_dir, "customer").select("c_custkey", (F.round("c_acctbal", 2) < 0).alias("negative"), F.round(F.abs("c_acctbal"), 2).alias("v"))
     e = F.when(F.col("v") >= 1000, 1).otherwise(0)
     scaled = F.format_string("%.2f ", F.col("v") / F.pow(F.lit(1000.0), e))
-    return v.select("c_custkey", F.when(F.col("v") < 1, F.format_string("%.2f", "v")).otherwise(F.concat(scaled, F.element_at(F.array(F.lit(""), F.lit("k"), F.lit("M"), F.lit("G")), e + 1))).alias("si"))
+    amount = F.when(F.col("v") < 1, F.format_string("%.2f", "v")).otherwise(F.concat(scaled, F.element_at(F.array(F.lit(""), F.lit("k"), F.lit("M"), F.lit("G")), e + 1)))
+    return v.select("c_custkey", F.concat(F.when(F.col("negative"), "-").otherwise(""), amount).alias("si"))
 
 
 @query(
