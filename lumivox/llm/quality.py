@@ -19,8 +19,8 @@ from lumivox.llm.common import filtered, id_and_text, slices, table
 
 THRESHOLD = 0.3
 FOLDS = 5
-#: Labelled rows of each class that the driver learns from, at most, and bytes of the text of each.
-SAMPLE, SAMPLE_BYTES = 1500, 1 << 16
+#: Labelled rows of each class that the driver learns from, at most; letters of each, and stretches of a longer text that have as many.
+SAMPLE, SAMPLE_LETTERS, PIECES = 1500, 1 << 16, 8
 EPOCHS = 8
 CHUNK, STEP, DEPTH, FILTERS = 512, 4, 8, 32
 HALF = CHUNK // 2
@@ -175,19 +175,29 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 0) -> Network:
+def excerpt(text: Column, letters: int) -> Column:
+    """The text, or of one with more letters than that, PIECES stretches of it, evenly apart, that have as many together."""
+    size, piece = F.length(text), letters // PIECES
+    starts = F.sequence(F.lit(0), F.lit(PIECES - 1))
+    parts = F.transform(starts, lambda i: F.substring(text, (1 + F.floor(i * (size - piece) / (PIECES - 1))).cast("int"), F.lit(piece)))
+    return F.when(size <= letters, text).otherwise(F.array_join(parts, " "))
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 0, letters: int = SAMPLE_LETTERS) -> Network:
     """Fit on at most ``sample`` labelled documents of each class, none of fold 0.
 
     The sample is the documents that come first by a hash of their ids, so it is the
     same at every run. Only ids and labels are ordered; the chosen ids (at most
-    twice ``sample``) are broadcast to fetch their texts, of which labels of texts of
-    more than SAMPLE_BYTES are left out. An id with several labels counts with the
+    twice ``sample``) are broadcast to fetch their texts. Of a text of more than ``letters``
+    as many are learnt from, in stretches from all over it, so what reaches the driver
+    is bounded in bytes as well. An id with several labels counts with the
     least; null labels don't count.
     """
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality"))
     marks = marks.where(marks["quality"].isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = lambda q: marks.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = id_and_text(docs).join(F.broadcast(some(0).unionByName(some(1))), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
+    chosen = id_and_text(docs).join(F.broadcast(some(0).unionByName(some(1))), "doc_id")
+    rows = chosen.withColumn("text", excerpt(F.col("text"), letters)).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     return fit([(x or "").encode() for x in rows.text], rows.quality.to_numpy(np.float32), seed=seed)
 
 

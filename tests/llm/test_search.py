@@ -6,6 +6,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lumivox.llm import decontaminate, edit, neighbours, quality
 from lumivox.llm.common import table
 
@@ -181,6 +183,19 @@ def test_scores_as_defined():
     assert np.allclose(net.scores(texts), [plain_score(net, t) for t in texts], atol=1e-4)
 
 
+def test_long_texts_teach(spark, make_docs):
+    """All labelled texts are longer than what is learnt from each; what differs lies anywhere in them."""
+    rng = np.random.default_rng(5)
+    kinds = [["plain words that make a sentence."], ["@@##", "0x00", "%%%%", "!!"]]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2], 9000 if i % 2 == 0 else 20000))) for i in range(40)]
+    assert all(len(t) > quality.SAMPLE_LETTERS for _, t in rows)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    found = {r.doc_id: r.score for r in quality.score(make_docs([(i, t[:900]) for i, t in rows]), quality.learn(make_docs(rows), labels)).collect()}
+    assert min(v for i, v in found.items() if i % 2 == 0) > max(v for i, v in found.items() if i % 2)
+    parts = make_docs([(1, "abcdefghij" * 10)]).select(quality.excerpt(F.col("text"), 16).alias("t")).first().t.split(" ")
+    assert len(parts) == quality.PIECES and parts[0] == "ab" and parts[-1] == "ij"
+
+
 def test_quality_of_odd_rows(spark, odd, make_docs):
     labels = spark.createDataFrame([(i, i % 2, "x") for i in range(30)] + [(None, 1, "x"), (3, None, "x"), (4, 7, "x")], "doc_id long, quality int, text string")
     found = quality.classify(odd, labels).collect()
