@@ -232,6 +232,10 @@ class Remembered:
         for x in units:
             del self.known[x]
 
+    def forget_all(self) -> None:
+        """At a task's end: a worker lives on through stages that need its memory."""
+        self.known.clear()
+
 
 @lru_cache(maxsize=2)
 def remembered_ids(model: bytes) -> Remembered:
@@ -307,6 +311,7 @@ def encode_and_decode(docs: DataFrame, model: bytes, keep: bool = False) -> Data
                     columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        known.forget_all()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
     return id_and_text(docs).mapInArrow(run, schema)
