@@ -86,8 +86,9 @@ def apart(e: str, f: str) -> Column:
 
 
 def looked_up(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of each segment's table, and what is looked up there."""
-    entries = nodes.select("sig", *PRINTS, "root", F.explode("keys").alias("key"))
+    """Entries of each segment's table, and what is looked up there; nodes are few bytes that become many rows, so Spark must not put them together."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = nodes.repartition(parts, "sig").select("sig", *PRINTS, "root", F.explode("keys").alias("key"))
     return entries, entries.select("sig", *PRINTS, "root", F.explode(ball(F.col("key"))).alias("key"))
 
 
