@@ -53,7 +53,8 @@ def close_pairs(values: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     kept = values.select(fp, F.explode(F.array(*(F.struct(F.lit(k).alias("seg"), segment(fp, k).alias("key")) for k in range(SEGMENTS)))).alias("e"))
     entries = kept.select(F.col("e.seg").alias("seg"), F.col("e.key").alias("key"), fp.alias("a"))
     probes = kept.select(F.col("e.seg").alias("seg"), F.explode(ball(F.col("e.key"))).alias("key"), fp.alias("b"))
-    met = entries.join(probes, ["seg", "key"]).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits))
+    # merged, as Spark takes exploded rows for as small as what they come from and would send them all through the driver
+    met = entries.join(probes.hint("merge"), ["seg", "key"]).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
