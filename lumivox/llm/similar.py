@@ -1,8 +1,9 @@
 """Near-duplicates at a similarity: several SimHashes, multi-index hashing, shingles decide.
 
 A document has three 64-bit SimHashes of its word pairs, cut into eight segments of 24
-bits. Each segment is looked up with all values that differ from it in one bit; what
-meets and differs in few bits of all is compared by the sets of five-word shingles.
+bits. Each segment is looked up with all values that differ from it in one bit, among those
+that have half of its bits in common, which lie together; what meets and differs in few bits
+of all is compared by the sets of five-word shingles.
 Pairs of words change half as much as shingles where a word is replaced, so texts
 of a similarity of 0.8 differ in about a tenth of the bits and most meet in some segment.
 
@@ -18,7 +19,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumivox.llm.common import components, cut, id_and_text, slices
@@ -36,8 +37,10 @@ SEGMENTS, SEGMENT_BITS = 8, 24
 MOST_BITS = 36
 #: Rounds in which nodes are held against one leader each.
 ROUNDS = 2
-#: Lookups of one value from which it is left out if all are of one group: no pair is lost by it.
-CROWD = 64
+#: Bits of a segment's halves: if two segments differ in one bit, a half of them is the same.
+HALF_BITS = SEGMENT_BITS // 2
+#: Rows that a bucket of such halves has about, and pairs that are compared at a time.
+BUCKET_ROWS, PAIRS = 50_000, 1 << 19
 #: Ids that are sent to every task (8 bytes each) to fetch texts; more are joined by a shuffle.
 SENT_IDS = 500_000
 #: Rows that a Python worker gets at a time; sets of shingles are wide.
@@ -74,38 +77,107 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, sig long, " + ", ".join(f"{f} long" for f in PRINTS) + ", keys array<long>")
 
 
-def ball(key: Column) -> Column:
-    """The key and those with one more bit set in the segment: each pair one bit apart is met from its lower key."""
-    higher = F.array(*(key.bitwiseOR(F.lit(1 << i).cast("long")) for i in range(SEGMENT_BITS)))
-    return F.concat(F.array(key), F.array_remove(higher, key))
-
-
-def apart(e: str, f: str) -> Column:
-    """Bits in which all fingerprints differ."""
-    return sum((F.bit_count(F.col(f"{e}.{p}").bitwiseXOR(F.col(f"{f}.{p}"))) for p in PRINTS[1:]), F.bit_count(F.col(f"{e}.{PRINTS[0]}").bitwiseXOR(F.col(f"{f}.{PRINTS[0]}"))))
-
-
-def looked_up(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of each segment's table, and what is looked up there; nodes are few bytes that become many rows, so Spark must not put them together."""
+def dealt(nodes: DataFrame) -> DataFrame:
+    """(bucket, half, key, sig, f0 .. f2, root): each node's segments, once for either half of their bits that others must have in common."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = nodes.repartition(parts, "sig").select("sig", *PRINTS, "root", F.explode("keys").alias("key"))
-    return entries, entries.select("sig", *PRINTS, "root", F.explode(ball(F.col("key"))).alias("key"))
+    buckets = 1 + 2 * SEGMENTS * nodes.count() // BUCKET_ROWS
+    # nodes are few bytes that become many rows, so Spark must not put them together
+    rows = nodes.repartition(parts, "sig").select("sig", *PRINTS, "root", F.explode("keys").alias("key")).withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+    low, high = (1 << HALF_BITS) - 1, (1 << SEGMENT_BITS) - (1 << HALF_BITS)
+    common = F.col("key") - F.col("key").bitwiseAND(F.when(F.col("half") == 0, F.lit(high).cast("long")).otherwise(F.lit(low).cast("long")))
+    return rows.select(F.pmod(F.xxhash64("half", common), F.lit(buckets)).cast("int").alias("bucket"), "half", "key", "sig", *PRINTS, "root")
+
+
+class Bucket:
+    """Rows of a bucket by half, segment and root; a segment one bit apart from another one lies in the same bucket."""
+
+    def __init__(self, rows: pa.Table):
+        codes = rows.column("half").to_numpy().astype(np.int64) << 32 | rows.column("key").to_numpy()
+        roots = rows.column("root").to_numpy()
+        order = np.lexsort((roots, codes))
+        self.sigs, self.roots = rows.column("sig").to_numpy()[order], roots[order]
+        self.prints = np.stack([rows.column(p).to_numpy()[order] for p in PRINTS]).view(np.uint64)
+        self.codes, self.starts, self.which = np.unique(codes[order], return_index=True, return_inverse=True)
+        self.ends = np.append(self.starts[1:], len(order))
+
+    def lookups(self) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Places in ``codes`` and of what is looked up there: each code itself, then all with one more bit set in the half that may differ.
+
+        Each pair one bit apart is met from its lower key; equal keys lie in both halves and are looked up in the first.
+        """
+        own = np.flatnonzero(self.codes >> 32 == 0)
+        yield own, own, True
+        for bit in range(HALF_BITS):
+            wanted = self.codes | np.where(self.codes >> 32 == 0, 1 << (HALF_BITS + bit), 1 << bit)
+            at = np.minimum(np.searchsorted(self.codes, wanted), len(self.codes) - 1)
+            hit = np.flatnonzero((self.codes[at] == wanted) & (wanted != self.codes))
+            yield hit, at[hit], False
+
+    def rows_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All rows of some codes, and the place among these that each is of."""
+        sizes = self.ends[codes] - self.starts[codes]
+        own = np.repeat(np.arange(len(codes)), sizes)
+        return spread(self.starts[codes], sizes), own
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which all fingerprints differ."""
+        return sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int64) for p in self.prints)
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of ranges, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 def one_each(nodes: DataFrame, turn: int) -> DataFrame:
     """(a, b): for every node the nearest leader of another group that leads a segment looked up; leaders change from turn to turn."""
-    entries, probes = looked_up(nodes)
-    lead = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "sig").alias("rank"), "sig", *PRINTS, "root")).alias("h")).select("key", "h.*")
-    met = probes.alias("e").join(lead.alias("f"), (F.col("e.key") == F.col("f.key")) & (F.col("e.root") != F.col("f.root")) & (apart("e", "f") <= MOST_BITS))
-    return met.groupBy(F.col("e.sig").alias("a")).agg(F.min(F.struct(apart("e", "f").alias("bits"), F.col("f.sig").alias("b"))).alias("x")).select("a", "x.b")
+    salt = np.uint64(SALTS[turn % len(SALTS)])
+
+    def run(rows: pa.Table) -> pa.Table:
+        own = Bucket(rows)
+        ranks = mixed(own.sigs.view(np.uint64) ^ salt)
+        order = np.lexsort((ranks, own.which))
+        leaders = order[own.starts]
+        bits, found = np.full(len(order), MOST_BITS + 1), np.zeros(len(order), np.int64)
+        for asking, there, _ in own.lookups():
+            i, at = own.rows_of(asking)
+            j = leaders[there[at]]
+            away = own.apart(i, j)
+            near = (own.roots[i] != own.roots[j]) & ((away < bits[i]) | (away == bits[i]) & (away <= MOST_BITS) & (own.sigs[j] < found[i]))
+            bits[i[near]], found[i[near]] = away[near], own.sigs[j[near]]
+        met = np.flatnonzero(bits <= MOST_BITS)
+        met = met[np.lexsort((found[met], bits[met], own.sigs[met]))]
+        met = met[np.append(True, own.sigs[met][1:] != own.sigs[met][:-1])[: len(met)]]
+        return pa.table([pa.array(own.sigs[met]), pa.array(bits[met].astype(np.int32)), pa.array(found[met])], ["a", "bits", "b"])
+
+    met = dealt(nodes).groupBy("bucket").applyInArrow(run, "a long, bits int, b long")
+    return met.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("x")).select("a", "x.b")
 
 
 def across(nodes: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different groups that meet in a segment and differ in few bits; crowds of one group are left out of the tables."""
-    entries, probes = looked_up(nodes)
-    settled = probes.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where((F.col("n") > CROWD) & (F.col("lo") == F.col("hi"))).select("key")
-    met = probes.join(settled, "key", "left_anti").alias("e").join(entries.alias("f"), (F.col("e.key") == F.col("f.key")) & (F.col("e.root") != F.col("f.root")) & (apart("e", "f") <= MOST_BITS))
-    return met.select(F.least("e.sig", "f.sig").alias("a"), F.greatest("e.sig", "f.sig").alias("b")).distinct()
+    """(a, b): all pairs of different groups that meet in a segment and differ in few bits; pairs of one group are not looked at."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        own = Bucket(rows)
+        kinds, number = np.unique(own.roots, return_inverse=True)
+        places, found = own.which * len(kinds) + number, [np.empty((2, 0), np.int64)]
+        for asking, there, same in own.lookups():
+            i, at = own.rows_of(asking)
+            there = there[at]
+            # rows of a code lie by root: those of the asking row's root are one stretch, the others lie before and after
+            low, high = (np.searchsorted(places, there * len(kinds) + number[i], side) for side in ("left", "right"))
+            for starts, ends in ([] if same else [(own.starts[there], low)]) + [(high, own.ends[there])]:
+                sizes = ends - starts
+                part = (np.cumsum(sizes) - sizes) // PAIRS
+                for cuts in np.split(np.arange(len(i)), np.flatnonzero(np.diff(part)) + 1):
+                    x, y = np.repeat(i[cuts], sizes[cuts]), spread(starts[cuts], sizes[cuts])
+                    near = own.apart(x, y) <= MOST_BITS
+                    x, y = own.sigs[x[near]], own.sigs[y[near]]
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+        pairs = np.unique(np.concatenate(found, 1), axis=1)
+        return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return dealt(nodes).groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
