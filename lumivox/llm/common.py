@@ -133,15 +133,15 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of the links; root is the smallest node reachable.
 
     Links that lie together are joined first. Then alternating large and small stars:
-    every round is two grouped minima and two joins, so no component ever meets in
-    one task. Rounds end when the edges stay as they are. Without links the result
-    is empty.
+    every round is two grouped minima and two joins, so no component of more than
+    LINKS links ever meets in one task. Rounds end when the edges stay as they are;
+    fewer than LINKS links need none. Without links the result is empty.
     """
     edges = cut(links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u != v"))
     mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))))
     n = edges.count()
     edges = cut(contracted(edges.coalesce(1 + n // LINKS)).distinct(), n)
-    before = edges.agg(mark).first()[0]
+    before = edges.agg(mark).first()[0] if n >= LINKS else [0]  # fewer have all been joined in one task
     while before[0]:
         few = 1 + n // LINKS
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -1,17 +1,19 @@
-"""Edit distances: bit-parallel for whole strings, banded for a pattern inside a text."""
+"""Edit distances: by antidiagonals of many pairs or bit-parallel for whole strings, banded for a pattern inside a text."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-#: Letters of a string that numpy takes, pairs for each block that are worth it, and pairs at a time.
-SHORT, FEW, MANY = 2048, 8, 1024
-#: Blocks of 64 letters that the shorter strings of a call may have.
-BLOCKS = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32)
-#: Buckets of trigrams, pairs whose trigrams are counted at a time, and words that a walk looks ahead.
-BUCKETS, COUNTED, AHEAD = 4096, 128, 3
-#: Columns between two looks at which pairs are beyond hope.
-COLUMNS = 32
+#: Pairs that numpy is worth it for, pairs that need none of the next length, and cells of an antidiagonal of all pairs that are taken together.
+FEW, ENOUGH, CELLS = 8, 64, 32768
+#: Letters of a string that numpy takes, and more than any distance of such strings; 16 bits hold it and as many again.
+LETTERS, FAR = 8192, 10_000
+#: Words that a walk looks ahead, and antidiagonals between two looks at which pairs are beyond hope.
+AHEAD, STEPS_BETWEEN = 3, 64
+#: Letters of the longer string between two moves of the band of integers.
+WINDOW = 512
 
 
 def trimmed(a: str | bytes, b: str | bytes) -> tuple[str | bytes, str | bytes]:
@@ -29,87 +31,92 @@ def edit_distance(a: str | bytes, b: str | bytes, most: int | None = None) -> in
     """Levenshtein distance; one column of the table is one Python integer.
 
     Common ends are cut first. Each step adds one letter of the longer string to
-    the columns' differences, kept as bit sets of +1 and -1. With ``most`` the result
-    is some number above it as soon as the distance must be.
+    the columns' differences, kept as bit sets of +1 and -1, of the letters of the
+    shorter one that an alignment of ``most`` edits can touch there. With ``most`` the
+    result is some number above it as soon as the distance must be.
     """
     a, b = sorted(trimmed(a, b), key=len)
     if not a:
         return len(b)
+    if most is None:
+        most = len(b)
+    more = len(b) - len(a)
+    if more > most:
+        return more
+    spare = (most - more) // 2
     at: dict = {}
     for i, letter in enumerate(a):
         at[letter] = at.get(letter, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, distance = full, 0, len(a)
-    if most is None:
-        most = len(b)
-    reach = most + len(b)
-    for letter in b:
-        if distance > reach:
-            break
-        reach -= 1
-        same = at.get(letter, 0)
-        settled = same | down
-        steady = (((same & up) + up) ^ up) | settled
-        rise = down | (full & ~(steady | up))
-        fall = up & steady
-        distance += bool(rise & top) - bool(fall & top)
-        rise = rise << 1 | 1
-        up = full & (fall << 1 | ~(settled | rise))
-        down = full & rise & settled
+    up = down = distance = first = last = 0
+    for start in range(0, len(b), WINDOW):
+        gone, new = max(first, start - more - spare) - first, min(len(a), start + WINDOW + spare) - last
+        first, last, distance = first + gone, last + new, distance + new
+        up, down = up >> gone | (1 << new) - 1 << last - new - first, down >> gone
+        full, top = (1 << last - first) - 1, 1 << last - first - 1
+        here = {letter: places >> first & full for letter, places in at.items()}
+        reach = most + more + last - start
+        for letter in b[start : start + WINDOW]:
+            if distance > reach:
+                return distance
+            reach -= 1
+            same = here.get(letter, 0)
+            settled = same | down
+            steady = (((same & up) + up) ^ up) | settled
+            rise = down | (full & ~(steady | up))
+            fall = up & steady
+            distance += bool(rise & top) - bool(fall & top)
+            rise = rise << 1 | 1
+            up = full & (fall << 1 | ~(settled | rise))
+            down = full & rise & settled
     return distance
 
 
-def within(pairs: list[tuple[bytes, bytes]], most: np.ndarray, blocks: int) -> np.ndarray:
-    """For pairs (shorter, longer), the shorter of at most ``blocks`` times 64 letters: is their distance at most ``most``?
+def within(pairs: list[tuple[bytes, bytes]], most: np.ndarray) -> np.ndarray:
+    """For pairs (shorter, longer), none over LETTERS: is their distance at most ``most``?
 
-    All pairs advance by a letter of the longer string at a time; blocks hand their last
-    difference on to the next one. A common front fills the shorter strings up, which
-    leaves distances as they are. Only blocks are computed that an alignment of ``most``
-    edits can touch, and pairs that can't get there any more are dropped.
+    All pairs advance by an antidiagonal of their tables at a time. The arrays have a
+    row for each even and each odd diagonal (place in the longer string minus place in
+    the shorter) that an alignment of ``most`` edits can touch, and a column for each
+    pair. A common front fills all longer strings up to one length, which leaves
+    distances as they are. Pairs that can't get there any more are dropped.
     """
-    front = np.array([blocks * 64 - len(a) for a, _ in pairs])
-    n = front + np.array([len(b) for _, b in pairs])
-    letters = [np.zeros((len(pairs), x), np.uint8) for x in (blocks * 64, int(n.max()))]
-    for k, own in enumerate(letters):
-        for row, at, pair in zip(own, front.tolist(), pairs):
-            row[at : at + len(pair[k])] = np.frombuffer(pair[k], np.uint8)
-    _, letters = np.unique(np.concatenate(letters, 1), return_inverse=True)
-    short, long = np.split(letters.reshape(len(pairs), -1).astype(np.uint8), [blocks * 64], axis=1)
-    same = np.zeros((int(letters.max()) + 1, blocks, len(pairs)), np.uint64)
-    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for letter in range(len(same)):
-        same[letter] = ((short == letter).reshape(len(pairs), blocks, 64) * bits).sum(2, dtype=np.uint64).T
-    up, down = np.full((blocks, len(pairs)), ~np.uint64(0)), np.zeros((blocks, len(pairs)), np.uint64)
-    one, top, reach = np.uint64(1), np.uint64(63), int(most.max())
-    last = min(blocks - 1, reach // 64)
-    score, out, number = np.full(len(pairs), (last + 1) * 64), np.zeros(len(pairs), bool), np.arange(len(pairs))
-    for j in range(int(n.max())):
-        if last < min(blocks - 1, (j + reach) // 64):
-            last += 1
-            score += 64  # down the new block, as in its first column
-        first = min(last, max(0, (j - reach) // 64))
-        column = same[long[:, j], first : last + 1, number]
-        rise, fall = np.full(len(number), one), np.zeros(len(number), np.uint64)
-        for k in range(first, last + 1):
-            equal, pv, mv = column[:, k - first], up[k], down[k]
-            vertical = equal | mv
-            equal = equal | fall
-            across = (((equal & pv) + pv) ^ pv) | equal
-            ph, mh = mv | ~(across | pv), pv & across
-            rise_out, fall_out = ph >> top, mh >> top
-            ph, mh = ph << one | rise, mh << one | fall
-            up[k], down[k] = mh | ~(vertical | ph), ph & vertical
-            rise, fall = rise_out, fall_out
-        score += rise.astype(np.int64) - fall.astype(np.int64)
-        done = n == j + 1
-        if j % COLUMNS == COLUMNS - 1 or done.any():
-            out[number[done]] = score[done] <= most[done]
-            stay = ~done & (score - np.abs(n - j - 1 - 64 * (blocks - 1 - last)) <= most)
+    sizes = np.array([(len(a), len(b)) for a, b in pairs])
+    n, more = int(sizes[:, 1].max()), sizes[:, 1] - sizes[:, 0]
+    spare = (most - more) // 2
+    low = (min(int(spare.max()), n) + 1) // 2 * 2
+    rows = (low + min(int((more + spare).max()), n)) // 2 + 1  # diagonals from -low on
+    short, long = (np.zeros((len(pairs), n + 2 * rows + 2), np.uint8) for _ in range(2))
+    for row, other, (a, b), d in zip(short, long, pairs, more.tolist()):
+        row[rows + 1 + d : rows + 1 + d + len(a)] = np.frombuffer(a, np.uint8)[::-1]
+        other[rows + 1 + n - len(b) : rows + 1 + n] = np.frombuffer(b, np.uint8)
+    short, long = (np.ascontiguousarray(x.T).astype(np.int16) for x in (short, long))
+    most, more, number, out = most.astype(np.int16), more.astype(np.int16), np.arange(len(pairs)), np.zeros(len(pairs), bool)
+    even, odd = (np.full((rows + 1, len(pairs)), FAR, np.int16) for _ in range(2))
+    even[low // 2] = 0  # the last row of even and the first of odd stay beyond all diagonals
+    differ, least, one = np.empty((rows, len(pairs)), np.int16), np.empty((rows, len(pairs)), np.int16), np.int16(1)
+    diagonals = np.arange(-low, 2 * rows - low, dtype=np.int16)[:, None]
+    ends = 2 * n - int(more.max())
+    for s in range(1, 2 * n + 1):
+        own, other = (odd[1:], even) if s % 2 else (even[:-1], odd)
+        i, j = (s + low - s % 2) // 2, (s - low + s % 2) // 2  # places of the first diagonal
+        np.bitwise_xor(short[n - i + rows + 1 : n - i + 2 * rows + 1], long[j + rows : j + 2 * rows], out=differ)
+        np.minimum(differ, one, out=differ)
+        np.add(differ, own, out=differ)
+        np.minimum(other[1:], other[:-1], out=least)
+        np.add(least, one, out=least)
+        np.minimum(least, differ, out=own)
+        if s >= ends:
+            done = np.flatnonzero(more == 2 * n - s)
+            out[number[done]] = own[(more[done] + low - s % 2) // 2, done] <= most[done]
+        if s % STEPS_BETWEEN == 0:
+            hope = np.minimum((even[:-1] + np.abs(more - diagonals[::2])).min(0), (odd[1:] + np.abs(more - diagonals[1::2])).min(0))
+            stay = (hope <= most) & (more < 2 * n - s)
             if not stay.any():
                 break
-            if not stay.all():
-                number, n, most, score, long = (x[stay] for x in (number, n, most, score, long))
-                up, down = up[:, stay], down[:, stay]
+            if stay.sum() <= 0.8 * len(stay):
+                number, most, more = number[stay], most[stay], more[stay]
+                short, long, even, odd = (np.compress(stay, x, 1) for x in (short, long, even, odd))  # rows stay contiguous
+                differ, least = (np.empty((rows, len(number)), np.int16) for _ in range(2))
     return out
 
 
@@ -122,6 +129,8 @@ def walked(x: list[bytes], y: list[bytes], most: int) -> bool:
     while i < len(x) and j < len(y):
         if x[i] == y[j]:
             i, j = i + 1, j + 1
+            while (run := x[i : i + 8]) and run == y[j : j + 8]:
+                i, j = i + len(run), j + len(run)
             continue
         for p, q in STEPS:
             if i + p < len(x) and j + q < len(y) and x[i + p] == y[j + q]:
@@ -140,24 +149,20 @@ def walked(x: list[bytes], y: list[bytes], most: int) -> bool:
 STEPS = sorted(((p, q) for p in range(AHEAD + 1) for q in range(AHEAD + 1) if p + q), key=sum)
 
 
-def alike(pairs: list[tuple[bytes, bytes]], most: np.ndarray) -> np.ndarray:
-    """Mask of the pairs that share as many trigrams as strings within ``most`` edits must.
+def batched(rest: list[tuple[int, tuple[bytes, bytes], int]]) -> Iterator[list[tuple[int, tuple[bytes, bytes], int]]]:
+    """(number, pair, most) by about the same length and most, as many as CELLS allows."""
 
-    An edit changes three trigrams at most. Trigrams are counted by buckets, so some count as shared that aren't.
-    """
-    out = np.zeros(len(pairs), bool)
-    for lo in range(0, len(pairs), COUNTED):
-        some, counts = pairs[lo : lo + COUNTED], []
-        for k in (0, 1):
-            lengths = np.array([len(p[k]) for p in some])
-            data = np.frombuffer(b"".join(p[k] for p in some) + b"  ", np.uint8).astype(np.int32)
-            bucket = (data[:-2] * 961 + data[1:-1] * 31 + data[2:]) % BUCKETS
-            owner = np.repeat(np.arange(len(some)), lengths)
-            inside = np.arange(len(owner)) + 2 < np.repeat(np.cumsum(lengths), lengths)
-            counts.append(np.bincount((owner * BUCKETS + bucket)[inside], minlength=len(some) * BUCKETS))
-        shared = np.minimum(*counts).reshape(-1, BUCKETS).sum(1)
-        out[lo : lo + COUNTED] = shared >= np.array([max(map(len, p)) for p in some]) - 2 - 3 * most[lo : lo + COUNTED]
-    return out
+    def size(x: tuple) -> tuple[int, int]:
+        """Steps of a quarter to a half of the length, and half the diagonals."""
+        bits = (n := len(x[1][1])).bit_length()
+        return bits * 4 + (n << 2 >> bits), 1 + min(x[2], n) // 2
+
+    rest.sort(key=size)
+    sizes, start = list(map(size, rest)), 0
+    for at in range(1, len(rest) + 1):
+        if at == len(rest) or at - start >= FEW and ((at - start) * sizes[at][1] > CELLS or sizes[at][0] > sizes[start][0] + (at - start < ENOUGH)):
+            yield rest[start:at]
+            start = at
 
 
 def similar(a: bytes, b: bytes, least: float) -> bool:
@@ -165,41 +170,32 @@ def similar(a: bytes, b: bytes, least: float) -> bool:
     return bool(similar_pairs([a], [b], least)[0])
 
 
-def similar_pairs(xs: list[bytes], ys: list[bytes], least: float) -> np.ndarray:
+def similar_pairs(xs: list[bytes], ys: list[bytes], least: float, walk: bool = True) -> np.ndarray:
     """For each pair whether 1 - distance / longer length is at least ``least``.
 
-    Words set against each other in order bound the distance from above, and shared
-    trigrams from below; often that is enough. The rest goes through ``within`` with
-    others of about its size, or, if long or few, through ``edit_distance``.
+    Words set against each other in order bound the distance from above, which is often
+    enough where most pairs are similar; ``walk`` says whether to try. The rest goes through ``within`` with others of about its size, or, if long
+    or few, through ``edit_distance``.
     """
-    out, open_, rest = np.zeros(len(xs), bool), [], {}
+    out, rest, alone = np.zeros(len(xs), bool), [], []
     for i, (a, b) in enumerate(zip(xs, ys)):
         most = int((1 - least) * max(len(a), len(b)) + 1e-9)
         if abs(len(a) - len(b)) > most:
             continue
-        if walked(a.split(b" "), b.split(b" "), most):
+        if walk and walked(a.split(b" "), b.split(b" "), most):
             out[i] = True
-        else:
-            open_.append((i, (a, b), most))
-    likely = alike([p for _, p, _ in open_], np.array([m for _, _, m in open_], np.int64))
-    for i, (a, b), most in (x for x, ok in zip(open_, likely) if ok):
+            continue
         a, b = sorted(trimmed(a, b), key=len)
         if len(b) <= most:
             out[i] = True
         elif a:
-            kind = min((x for x in BLOCKS if 64 * x >= len(a)), default=0) if len(b) <= SHORT else 0
-            rest.setdefault(kind, []).append((i, (a, b), most))
-    alone, held = rest.pop(0, []), []
-    for kind in sorted(rest):
-        held += rest[kind]
-        if len(held) < FEW * kind:
-            continue  # perhaps with those of the next kind
-        held.sort(key=lambda x: len(x[1][1]))
-        for lo in range(0, len(held), MANY):
-            some = held[lo : lo + MANY]
-            out[[i for i, _, _ in some]] = within([p for _, p, _ in some], np.array([m for _, _, m in some]), kind)
-        held = []
-    for i, (a, b), most in alone + held:
+            (rest if len(b) <= LETTERS else alone).append((i, (a, b), most))
+    for some in batched(rest):
+        if len(some) < FEW:
+            alone += some
+        else:
+            out[[i for i, _, _ in some]] = within([p for _, p, _ in some], np.array([m for _, _, m in some]))
+    for i, (a, b), most in alone:
         out[i] = edit_distance(a, b, most) <= most
     return out
 

@@ -38,10 +38,14 @@ LEAST_SIMILARITY = 0.8
 BANDS, ORDERS = 16, 4
 #: Bits of two sketches that may differ: 11 are expected at an edit similarity of 0.8, give or take 3, about 28 by chance.
 SKETCH_BITS = 18
+#: Orders and parts of lines that are looked at together, and words of a part.
+TOGETHER, PARTS, PART_WORDS = 64, 1024, 128
 #: Lines whose texts may be fetched by a broadcast of their places (about 24 bytes each).
 BROADCAST_LINES = 300_000
 #: Lines that a bucket of one band has about, lines of one key that are set against each other in one cell, lines of cells that a task takes.
 BUCKET_LINES, CELL_LINES, TASK_LINES = 200_000, 2_000, 10_000
+#: Pairs of lines of cells whose keys are compared at a time.
+CELL_PAIRS = 100_000
 #: Pairs that are verified together, and bytes of their lines: similar_pairs is the faster the more it has.
 PAIRS, PAIR_BYTES = 25_000, 48 << 20
 
@@ -77,14 +81,40 @@ def least_words(hashes: np.ndarray, lengths: np.ndarray, starts: np.ndarray) ->
     the first words of two lines are the same with the probability of their weighted
     Jaccard similarity.
     """
-    words, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    weights = lengths[first].astype(np.float32)
-    for order in range(BANDS * ORDERS):
-        factor = mixed(np.full(1, order + 1, np.uint64)) | np.uint64(1)
-        share = ((words * factor >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
-        places = -np.log(share) / weights
-        least = np.minimum.reduceat(places[which], starts)
-        yield mixed(least.view(np.uint32).astype(np.uint64) + (np.uint64(order) << np.uint64(32)))
+    found = pa.array(hashes).dictionary_encode()
+    words, which = found.dictionary.to_numpy(), found.indices.to_numpy()
+    weights = np.empty(len(words), np.float32)
+    weights[which] = lengths
+    parts = -(-np.diff(starts, append=len(hashes)) // PART_WORDS)  # of each line
+    part = np.cumsum(parts) - parts
+    begins = np.repeat(starts, parts) + (np.arange(parts.sum()) - np.repeat(part, parts)) * PART_WORDS
+    sizes = np.diff(begins, append=len(hashes))
+    order = np.argsort(-sizes, kind="stable")
+    begins, sizes = begins[order], sizes[order]
+    places, firsts = np.empty((len(words), TOGETHER), np.float32), np.empty((len(begins), TOGETHER), np.float32)
+    mine, other = (np.empty((PARTS, TOGETHER), np.float32) for _ in range(2))
+    factors = mixed(np.arange(1, BANDS * ORDERS + 1, dtype=np.uint64)) | np.uint64(1)
+    for lo in range(0, BANDS * ORDERS, TOGETHER):
+        for at in range(0, len(words), 4096):
+            own = words[at : at + 4096, None] * factors[lo : lo + TOGETHER]
+            own >>= np.uint64(40)
+            share = own.astype(np.float32)
+            share += np.float32(0.5)
+            share *= np.float32(2.0**-24)
+            np.negative(np.log(share, out=share), out=share)
+            np.divide(share, weights[at : at + 4096, None], out=places[at : at + 4096])
+        # parts of about one length lie together: the n-th words of all of them that have one
+        for at in range(0, len(begins), PARTS):
+            own = sizes[at : at + PARTS]
+            longer = len(own) - np.searchsorted(own[::-1], np.arange(own[0]), "right")
+            for n, some in enumerate(longer.tolist()):
+                np.take(places, which[begins[at : at + some] + n], 0, other[:some] if n else mine[:some], "clip")
+                if n:
+                    np.minimum(mine[:some], other[:some], out=mine[:some])
+            firsts[order[at : at + PARTS]] = mine[: len(own)]
+        least = firsts if len(firsts) == len(starts) else np.minimum.reduceat(firsts, part)
+        for n, column in enumerate(np.ascontiguousarray(least.T), lo):
+            yield mixed(column.view(np.uint32).astype(np.uint64) + (np.uint64(n) << np.uint64(32)))
 
 
 def word_bands(hashes: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -315,36 +345,39 @@ def joining(cells: DataFrame, lines: DataFrame, forms: DataFrame, tried: DataFra
     so a task gives less links than it has roots.
     """
 
-    def cell_pairs(rows: pa.Table) -> Iterator[tuple[int, int]]:
-        """Places of the pairs of one cell that are looked at in this band."""
+    def looked_at(rows: pa.Table, cuts: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Places of the pairs that are looked at in the cells between ``cuts``, many cells at a time."""
         bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.uint32).reshape(-1, BANDS + 3).astype(np.uint64)
         values = np.stack([bands[:, BANDS + 2], bands[:, BANDS] << np.uint64(32) | bands[:, BANDS + 1]], 1)
         band, side, roots, keys = (rows.column(c).to_numpy() for c in ("band", "side", "root", "key"))
         lists = rows.column("partners").combine_chunks()
         own = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
-        partners = lists.flatten().to_numpy()
-        few = max(1, 100_000 // len(rows))
-        for lo in range(0, len(rows), few):
-            i, j = (x.ravel() for x in np.mgrid[lo : min(lo + few, len(rows)), 0 : len(rows)])
-            ok = (i < j) & (band[i] == band[j]) & ((side[i] + side[j] == 3) | (side[i] + side[j] == 0)) & (roots[i] != roots[j])
+        keys = keys.view(np.uint64)
+        marks = lambda x, y: mixed((x << np.uint64(1)) ^ mixed(y))
+        asked = np.append(np.unique(marks(keys[own], lists.flatten().to_numpy().view(np.uint64))), ~np.uint64(0))
+        known = lambda x: asked[np.searchsorted(asked[:-1], x)] == x
+        later = np.repeat(cuts[1:], np.diff(cuts)) - 1 - np.arange(len(rows))  # rows after each in its cell
+        ends, lo = np.cumsum(later), 0
+        while lo < len(rows):
+            before = ends[lo] - later[lo]
+            hi = max(lo + 1, int(np.searchsorted(ends, before + CELL_PAIRS, "right")))
+            i = np.repeat(np.arange(lo, hi), later[lo:hi])
+            j = i + 1 + np.arange(len(i)) - np.repeat(ends[lo:hi] - later[lo:hi] - before, later[lo:hi])
+            ok = (band[i] == band[j]) & ((side[i] + side[j] == 3) | (side[i] + side[j] == 0)) & (roots[i] != roots[j])
             i, j = i[ok], j[ok]
             ok = close(values, i, j, least)
             i, j = i[ok], j[ok]
             same = bands[i, :BANDS] == bands[j, :BANDS]
             ok = same[np.arange(len(i)), band[i]] & (same.argmax(1) == band[i])
             i, j = i[ok], j[ok]
-            if len(partners) and len(i):
-                asked = mixed((keys[own].view(np.uint64) << np.uint64(1)) ^ mixed(partners.view(np.uint64)))
-                ok = ~np.isin(mixed((keys[i].view(np.uint64) << np.uint64(1)) ^ mixed(keys[j].view(np.uint64))), asked)
-                ok &= ~np.isin(mixed((keys[j].view(np.uint64) << np.uint64(1)) ^ mixed(keys[i].view(np.uint64))), asked)
-                i, j = i[ok], j[ok]
-            yield from zip(i.tolist(), j.tolist())
+            ok = ~known(marks(keys[i], keys[j])) & ~known(marks(keys[j], keys[i]))
+            yield from zip(i[ok].tolist(), j[ok].tolist())
+            lo = hi
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("cell", "ascending"), ("key", "ascending")])
         cells, forms, roots = rows.column("cell").to_numpy(), rows.column("form").to_pylist(), rows.column("root").to_pylist()
-        cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(rows)]
-        pairs = ((lo + i, lo + j) for lo, hi in zip(cuts, cuts[1:]) for i, j in cell_pairs(rows.slice(lo, hi - lo).combine_chunks()))
+        pairs = looked_at(rows, np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1, [len(rows)]]))
         up = {x: x for x in roots}
 
         def top(x: int) -> int:
@@ -355,7 +388,7 @@ def joining(cells: DataFrame, lines: DataFrame, forms: DataFrame, tried: DataFra
         links = []
         while some := list(islice(pairs, PAIRS)):
             some = [(i, j) for i, j in some if top(roots[i]) != top(roots[j])]
-            ok = similar_pairs([forms[i] for i, _ in some], [forms[j] for _, j in some], least)
+            ok = similar_pairs([forms[i] for i, _ in some], [forms[j] for _, j in some], least, walk=False)
             for i, j in (some[n] for n in np.flatnonzero(ok)):
                 if (a := top(roots[i])) != (b := top(roots[j])):
                     up[max(a, b)] = min(a, b)
@@ -404,7 +437,9 @@ def kept_lines(docs: DataFrame, least: float) -> DataFrame:
 def kept_of(doc_id: int | None, text: str | None, lines: list[int] | None) -> list[str]:
     """The lines of a text that stay: those without words, and those in ``lines``."""
     own, stay = (text or "").split("\n"), set(lines or ())
-    return own if doc_id is None else [x for n, (x, form) in enumerate(zip(own, normal_lines(text))) if n in stay or not form.strip()]
+    if doc_id is None or len(stay) == len(own):
+        return own
+    return [x for n, x in enumerate(own) if n in stay or not x.encode().translate(NORMAL).strip()]
 
 
 def digested(docs: DataFrame) -> DataFrame:

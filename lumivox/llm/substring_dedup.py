@@ -33,7 +33,7 @@ BATCH_BYTES = 5 << 20
 #: Buckets of hashes, at least; text bytes of all documents for each bucket, at most.
 BUCKETS, BUCKET_BYTES = 64, 64 << 20
 #: Text bytes that are hashed at a time.
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 17
 #: Bytes of a word that numpy hashes; longer words go through XXH3.
 LONG_WORD = 4096
 #: The bytes that part words.

@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumivox.llm import edit, fingerprints, line_dedup, near_dedup, substring_dedup
+from lumivox.llm import common, edit, fingerprints, line_dedup, near_dedup, substring_dedup
 from lumivox.llm.common import components, table
 
 
@@ -116,6 +116,55 @@ def test_many_pairs_at_once(monkeypatch):
     assert 40 < sum(want) < 200
 
 
+def test_few_long_pairs_at_once(monkeypatch):
+    """A dozen pairs of 3,000 letters are compared together, and not pair by pair."""
+    rng = random.Random(12)
+    xs, ys = [], []
+    for n in range(12):
+        line = bytearray(rng.choice(b"abcdefgh") for _ in range(3000 + n))
+        xs.append(bytes(line))
+        for at in rng.sample(range(1, 2900), 250 + 40 * n):
+            line[at : at + 1] = rng.choice([b"", b"x", b"yz"])
+        ys.append(b"x" + bytes(line) + b"x")
+    want = [edit.edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in zip(xs, ys)]
+    assert 3 < sum(want) < 10
+
+    def alone(*_):
+        raise AssertionError("a pair by itself")
+
+    monkeypatch.setattr(edit, "edit_distance", alone)
+    assert edit.similar_pairs(xs, ys, 0.8).tolist() == edit.similar_pairs(xs, ys, 0.8, walk=False).tolist() == want
+
+
+@pytest.mark.parametrize("window", [1, 7, 512])
+def test_edit_distance_in_a_band(monkeypatch, window):
+    monkeypatch.setattr(edit, "WINDOW", window)
+    rng = random.Random(window)
+    for _ in range(60):
+        a = [rng.choice("abc") for _ in range(rng.randrange(1, 60))]
+        b = list(a)
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(3)] = rng.choice(["", "a", "xy"])
+        a, b = "".join(a), "".join(b)
+        want = levenshtein(a, b)
+        assert edit.edit_distance(a, b) == want
+        for most in range(want + 3):
+            found = edit.edit_distance(a, b, most)
+            assert found == want if most >= want else found > most
+
+
+@pytest.mark.parametrize("links", [10, 200_000])
+def test_components_by_rounds_and_at_once(spark, monkeypatch, links):
+    monkeypatch.setattr(common, "LINKS", links)
+    rng = random.Random(3)
+    pairs = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(n, n + 1) for n in range(200, 240)]
+    group = roots(241, pairs)
+    want = [min(m for m in range(241) if group[m] == group[n]) for n in range(241)]
+    found = {r.node: r.root for r in common.components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
+    assert found == {n: want[n] for a, b in pairs if a != b for n in (a, b)}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("abc ", max_size=12), min_size=2, max_size=2))
 def test_similar_words(pair):
