@@ -177,11 +177,17 @@ def msps_gen(spark, sf_dir):
     "(SELECT c_custkey, round(c_acctbal, 2) < 0 AS negative, round(abs(c_acctbal), 2) AS v, CASE WHEN abs(round(c_acctbal, 2)) >= 1000 THEN 1 ELSE 0 END AS e FROM customer)"
 )
 def prefix_si(spark, sf_dir):
-    """Amounts with the prefixes of thousands; the sign goes first."""
-    v = g.table(spark, sf_dir, "customer").select("c_custkey", (F.round("c_acctbal", 2) < 0).alias("negative"), F.round(F.abs("c_acctbal"), 2).alias("v"))
+    """Amounts with the prefixes of thousands; the sign goes first.
+
+    Both roundings take the double for what it is, as printf does: format_string would
+    round its shortest decimals up, 8.495 to 8.50 where the number lies below the half.
+    """
+    cents = F.round(F.col("c_acctbal") * 100) / 100
+    v = g.table(spark, sf_dir, "customer").select("c_custkey", (cents < 0).alias("negative"), F.abs(cents).alias("v"))
     e = F.when(F.col("v") >= 1000, 1).otherwise(0)
-    scaled = F.format_string("%.2f ", F.col("v") / F.pow(F.lit(1000.0), e))
-    amount = F.when(F.col("v") < 1, F.format_string("%.2f", "v")).otherwise(F.concat(scaled, F.element_at(F.array(F.lit(""), F.lit("k"), F.lit("M"), F.lit("G")), e + 1)))
+    fixed = lambda c: F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").otherwise(F.call_function("format_number", c, F.lit("0.00")))
+    scaled = F.concat(fixed(F.col("v") / F.pow(F.lit(1000.0), e)), F.lit(" "))
+    amount = F.when(F.col("v") < 1, fixed(F.col("v"))).otherwise(F.concat(scaled, F.element_at(F.array(F.lit(""), F.lit("k"), F.lit("M"), F.lit("G")), e + 1)))
     return v.select("c_custkey", F.concat(F.when(F.col("negative"), "-").otherwise(""), amount).alias("si"))
 
 
