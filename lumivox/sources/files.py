@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass, field
 from fnmatch import fnmatchcase
@@ -12,6 +13,9 @@ from fnmatch import fnmatchcase
 import pyarrow.fs as fs
 from pyspark.sql.datasource import WriterCommitMessage
 
+#: Tasks of which files are moved to their names at a time.
+MOVERS = 16
+
 
 def place(path: str) -> tuple[fs.FileSystem, str]:
     """The store and the path within it; paths without a scheme are local."""
@@ -22,7 +26,7 @@ def place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def listed(path: str, suffix: str = "") -> list[str]:
+def found(path: str, suffix: str = "") -> list[fs.FileInfo]:
     """Files of a folder, of a pattern in the last part of the path, or the file itself, by name; hidden ones and those of ``_`` are left out."""
     store, where = place(path)
     info = store.get_file_info(where)
@@ -30,10 +34,15 @@ def listed(path: str, suffix: str = "") -> list[str]:
     if info.type == fs.FileType.Directory:
         folder, last = where, "*"
     elif info.type == fs.FileType.File:
-        return [where]
-    found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-    names = [x.path for x in found if x.type == fs.FileType.File and x.base_name[0] not in "._" and fnmatchcase(x.base_name, last) and x.base_name.endswith(suffix)]
-    return sorted(names)
+        return [info]
+    inside = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    files = [x for x in inside if x.type == fs.FileType.File and x.base_name[0] not in "._" and fnmatchcase(x.base_name, last) and x.base_name.endswith(suffix)]
+    return sorted(files, key=lambda x: x.path)
+
+
+def listed(path: str, suffix: str = "") -> list[str]:
+    """The same files' names."""
+    return [x.path for x in found(path, suffix)]
 
 
 @dataclass
@@ -84,12 +93,17 @@ class Folder:
             for suffix in suffixes:
                 for name in listed(where, suffix):
                     store.delete_file(name)
-        for message in messages:
-            for name in message.names if message else []:
-                store, waiting = self._inside(message.waiting, name)
-                store.move(waiting, self._inside(name)[1])
+        with ThreadPoolExecutor(MOVERS) as pool:
+            for _ in pool.map(self._move, filter(None, messages)):
+                pass
         self.discard()
 
+    def _move(self, message: Written) -> None:
+        store, waiting = self._inside(message.waiting)
+        _, own = self._inside()
+        for name in message.names:
+            store.move(f"{waiting}/{name}", f"{own}/{name}")
+
     def discard(self) -> None:
         store, own = self._inside(self.job)
         if store.get_file_info(own).type == fs.FileType.Directory:

@@ -1,8 +1,8 @@
 """Data source of dense images and volumes: files are read by slabs, and written one per key.
 
 A file holds its sizes as numbers of its own type in front (``header``) and then its
-samples, the last axis fastest. Tasks get slabs along the first axis; planning reads
-headers only. To write, rows of a key must follow each other: one grid at a time is
+samples, the last axis fastest. Tasks get slabs along the first axis of a large file, or
+many small files; planning reads the headers of large files only. To write, rows of a key must follow each other: one grid at a time is
 in memory, absent samples are 0, and files appear when all tasks are done.
 """
 
@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from lumivox.sources.files import Folder, Written, listed, place
+from lumivox.sources.files import Folder, Written, found, place
 
-#: Bytes of a slab, about.
-SLAB_BYTES = 8 << 20
+#: Bytes of a slab, about; what opening a file counts for where small files share a task; samples of an Arrow batch, about.
+SLAB_BYTES, OPEN_BYTES, SAMPLES = 8 << 20, 16 << 10, 1 << 16
 
 
 @dataclass
@@ -33,6 +33,40 @@ class Slab(InputPartition):
     stop: int
 
 
+@dataclass
+class Files(InputPartition):
+    """Files of a folder that are read as a whole, one after the other."""
+
+    folder: str
+    names: list[str]
+
+
+def batches_of(planes: Iterator[tuple[str, int, tuple[int, ...], np.ndarray]], axes: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """(path, axes.., v) of (file, first plane, sizes, values): parts follow each other until they make a batch."""
+    names, counts, columns, rows, known = [], [], [], 0, {}
+
+    def batch() -> pa.RecordBatch:
+        path = pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(names)), counts)))
+        arrays = [pa.array(np.concatenate(c)) for c in zip(*columns)]
+        return pa.RecordBatch.from_arrays([path, *arrays], ["path", *axes, "v"])
+
+    for name, first, shape, values in planes:
+        if not len(values):
+            continue
+        if shape not in known:
+            known = {shape: [p.ravel().astype(np.int32) for p in np.indices(shape)]}
+        z, *others = known[shape]
+        names.append(name)
+        counts.append(len(values))
+        columns.append((z + np.int32(first), *others, values.astype(np.float64)))
+        rows += len(values)
+        if rows >= SAMPLES:
+            yield batch()
+            names, counts, columns, rows = [], [], [], 0
+    if rows:
+        yield batch()
+
+
 class GridReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.axes = options["path"], options["axes"].split(",")
@@ -42,37 +76,61 @@ class GridReader(DataSourceReader):
         if not self.header and self.shape is None:
             raise ValueError("files without a header need a shape")
 
-    def _shape(self, store, info) -> tuple[int, ...]:
-        shape, front = self.shape, 0
+    def _shape(self, front: bytes, size: int, name: str) -> tuple[int, ...]:
+        """Sizes of a file of ``size`` bytes that begins with ``front``."""
+        shape, head = self.shape, len(self.axes) if self.header else 0
         if self.header:
-            front = len(self.axes)
-            with store.open_input_file(info.path) as f:
-                shape = tuple(int(x) for x in np.frombuffer(f.read_at(front * self.dtype.itemsize, 0), self.dtype))
-        if len(shape) != len(self.axes) or min(shape) < 0 or info.size != (front + int(np.prod(shape))) * self.dtype.itemsize:
-            raise ValueError(f"{info.path} has {info.size // self.dtype.itemsize - front} samples where its sizes are {shape}")
+            known = min(len(front) // self.dtype.itemsize, head)
+            shape = tuple(int(x) for x in np.frombuffer(front, self.dtype, known))
+        if len(shape) != len(self.axes) or min(shape) < 0 or size != (head + int(np.prod(shape))) * self.dtype.itemsize:
+            raise ValueError(f"{name} has {size // self.dtype.itemsize - head} samples where its sizes are {shape}")
         return shape
 
     def partitions(self) -> Sequence[InputPartition]:
+        """Large files by slabs; smaller ones share a task, which finds their sizes as it reads them."""
         store, _ = place(self.path)
         out: list[InputPartition] = []
-        for name in listed(self.path):
-            shape = self._shape(store, store.get_file_info(name))
+        names, held = [], 0
+        for info in found(self.path):
+            folder, _, base = info.path.rpartition("/")
+            if info.size <= self.slab:
+                if names and held + info.size + OPEN_BYTES > self.slab:
+                    out.append(Files(folder, names))
+                    names, held = [], 0
+                names.append(base)
+                held += info.size + OPEN_BYTES
+                continue
+            with store.open_input_file(info.path) as f:
+                shape = self._shape(f.read_at(len(self.axes) * self.dtype.itemsize, 0) if self.header else b"", info.size, info.path)
             planes = max(1, self.slab // max(1, int(np.prod(shape[1:])) * self.dtype.itemsize))
-            out += [Slab(name, shape, at, min(at + planes, shape[0])) for at in range(0, shape[0], planes)]
-        return out or [Slab("", (), 0, 0)]
+            out += [Slab(info.path, shape, at, min(at + planes, shape[0])) for at in range(0, shape[0], planes)]
+        if names:
+            out.append(Files(folder, names))
+        return out or [Files("", [])]
 
-    def read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
-        if partition.start >= partition.stop:
-            return
+    def read(self, partition: Slab | Files) -> Iterator[pa.RecordBatch]:
         store, _ = place(self.path)
-        plane = int(np.prod(partition.shape[1:]))
+        yield from batches_of(self._whole(store, partition) if isinstance(partition, Files) else self._slab(store, partition), self.axes)
+
+    def _whole(self, store, files: Files) -> Iterator[tuple[str, int, tuple[int, ...], np.ndarray]]:
+        for base in files.names:
+            name = f"{files.folder}/{base}"
+            with store.open_input_file(name) as f:
+                data = f.read()
+            shape = self._shape(data, len(data), name)
+            values, plane = np.frombuffer(data, self.dtype, offset=len(self.axes) * self.dtype.itemsize if self.header else 0), int(np.prod(shape[1:]))
+            step = max(1, SAMPLES // max(1, plane))
+            for z in range(0, shape[0], step):
+                part = values[z * plane : (z + step) * plane]
+                yield name, z, (min(step, shape[0] - z), *shape[1:]), part
+
+    def _slab(self, store, slab: Slab) -> Iterator[tuple[str, int, tuple[int, ...], np.ndarray]]:
+        plane = int(np.prod(slab.shape[1:]))
         front = len(self.axes) if self.header else 0
-        with store.open_input_file(partition.name) as f:
-            for z in range(partition.start, partition.stop):
+        with store.open_input_file(slab.name) as f:
+            for z in range(slab.start, slab.stop):
                 data = f.read_at(plane * self.dtype.itemsize, (front + z * plane) * self.dtype.itemsize)
-                values = np.frombuffer(data, self.dtype).astype(np.float64)
-                places = [np.full(plane, z, np.int32), *(p.ravel().astype(np.int32) for p in np.indices(partition.shape[1:]))]
-                yield pa.RecordBatch.from_arrays([pa.array([partition.name] * plane, pa.string()), *map(pa.array, places), pa.array(values)], ["path", *self.axes, "v"])
+                yield slab.name, z, (1, *slab.shape[1:]), np.frombuffer(data, self.dtype)
 
 
 class GridWriter(DataSourceArrowWriter):

@@ -147,3 +147,31 @@ def test_a_wrong_header_is_an_error(spark, tmp_path):
     (tmp_path / "a.im").write_bytes(np.array([2, 3, 1, 1], "<f4").tobytes())
     with pytest.raises(Exception, match="2 samples"):
         binary.read_images(spark, str(tmp_path / "a.im")).count()
+
+
+def test_small_files_share_tasks_and_batches(spark, tmp_path):
+    places, expected = [(y, x) for y in range(2) for x in range(3)], set()
+    for k in range(600):
+        values = np.arange(6, dtype="<f4") + k
+        (tmp_path / f"{k}.im").write_bytes(np.array([2, 3], "<f4").tobytes() + values.tobytes())
+        expected |= {(f"{k}.im", y, x, float(v)) for (y, x), v in zip(places, values)}
+    large = np.arange(15000, dtype="<f4").reshape(5000, 3)
+    (tmp_path / "large.im").write_bytes(np.array([5000, 3], "<f4").tobytes() + large.tobytes())
+    (tmp_path / "none.im").write_bytes(np.array([0, 3], "<f4").tobytes())
+    expected |= {("large.im", y, x, float(v)) for (y, x), v in np.ndenumerate(large)}
+    reader = grids.GridReader({"path": str(tmp_path), "axes": "y,x"})
+    parts = reader.partitions()
+    assert len(parts) == 2 and [len(x.names) for x in parts] == [511, 91]
+    assert all(len(list(reader.read(p))) == 1 for p in parts)
+    assert len(grids.GridReader({"path": str(tmp_path), "axes": "y,x", "slab": "6000"}).partitions()) > 600
+    for slab in (grids.SLAB_BYTES, 6000):
+        found = grids.read_grids(spark, str(tmp_path), ("y", "x"), slab=slab).collect()
+        assert len(found) == len(expected) and {(Path(r.path).name, r.y, r.x, r.v) for r in found} == expected
+
+
+@pytest.mark.parametrize("content", [b"", b"ab", np.array([2], "<f4").tobytes(), np.array([2, 3] + [0] * 5, "<f4").tobytes(), np.array([-1, 3], "<f4").tobytes()])
+def test_files_that_are_cut_are_an_error(spark, tmp_path, content):
+    (tmp_path / "a.im").write_bytes(np.array([1, 1, 5], "<f4").tobytes())
+    (tmp_path / "b.im").write_bytes(content)
+    with pytest.raises(Exception, match="samples where its sizes are"):
+        binary.read_images(spark, str(tmp_path)).count()
