@@ -8,6 +8,8 @@ longest axis apart and count 1, or are exact path lengths.
 As joins, for other weights and larger grids: a system matrix is a table (lor_id, vox,
 w). Forward projection is a join with the image and a sum by line; back projection is a
 join with the lines and a sum by voxel. ``em_step`` takes this way above GRID_CELLS.
+Spark takes exploded samples for as small as their lines, so the joins are outer ones from
+the samples' side: the other side alone may be broadcast. Sums pass over what is not met.
 """
 
 from __future__ import annotations
@@ -136,8 +138,8 @@ def forward(rays: DataFrame, image: DataFrame, mu: DataFrame | None = None, scal
 
 
 def back(rays: DataFrame, lines: DataFrame, value: Column) -> DataFrame:
-    """(vox, f): sums over the lines through each voxel."""
-    return rays.join(lines, "lor_id").groupBy("vox").agg(F.sum(F.col("w") * value).alias("f"))
+    """(vox, f): sums over the lines through each voxel; rays are never broadcast."""
+    return rays.join(lines, "lor_id", "left").groupBy("vox").agg(F.sum(F.col("w") * value).alias("f")).where("f IS NOT NULL")
 
 
 def expectation(rays: DataFrame, image: DataFrame, mu: DataFrame | None = None, scale: float = 0.5, counts: DataFrame | None = None) -> DataFrame:
