@@ -54,7 +54,7 @@ def em_list_dense(spark, sf_dir):
     """List-mode step where a projection of zero counts as one, and only met voxels are updated."""
     own = rays(spark, sf_dir)
     image = start(spark).select("vox", F.when(F.col("vox") % 3 == 0, 0.0).otherwise(1.0).alias("v"))
-    q = own.join(image, "vox").groupBy("lor_id").agg(F.sum(F.col("w") * F.col("v")).alias("q")).select("lor_id", F.when(F.col("q") == 0, 1.0).otherwise(F.col("q")).alias("q"))
+    q = own.join(image, "vox", "left").groupBy("lor_id").agg(F.sum(F.col("w") * F.col("v")).alias("q")).select("lor_id", F.when(F.col("q") == 0, 1.0).otherwise(F.col("q")).alias("q"))
     return image.join(r.back(own, q, 1 / F.col("q")), "vox").where("f <> 0").select("vox", g.rounded(F.col("v") * F.col("f")).alias("v"))
 
 
