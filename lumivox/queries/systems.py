@@ -30,7 +30,7 @@ def lines_dda_3d_inclusive(spark, sf_dir):
 def lmem_attenuated_inclusive(spark, sf_dir):
     """The variant with both ends, full attenuation and its floor at exp(-5)."""
     own = sc.samples_of(g.lors(spark, sf_dir), g.NX, g.NY, include_end=True).withColumn("w", F.lit(1.0))
-    seen = own.join(start(spark), "vox").join(mumap(spark), "vox").groupBy("lor_id").agg(F.sum("v").alias("q"), F.sum("mu").alias("a"))
+    seen = own.join(start(spark), "vox", "left").join(mumap(spark), "vox", "left").groupBy("lor_id").agg(F.sum("v").alias("q"), F.sum("mu").alias("a"))
     q = seen.select("lor_id", (F.col("q") * F.exp(F.greatest(-F.col("a"), F.lit(-5.0)))).alias("q"))
     return out(r.update(start(spark), r.back(own, q, 1 / F.col("q"))))
 

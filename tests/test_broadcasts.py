@@ -19,7 +19,7 @@ def broadcast(df):
             yield "\n".join(lines[k:end])
 
 
-@pytest.mark.parametrize("name", ["em_distinct_2d", "em_list_dense"])
+@pytest.mark.parametrize("name", ["em_distinct_2d", "em_list_dense", "lmem_attenuated_inclusive"])
 def test_samples_are_not_broadcast(spark, data, name):
     plans = list(broadcast(QUERIES[name](spark, data)))
     assert not [x for x in plans if re.search("Generate|MapInArrow", x)]
