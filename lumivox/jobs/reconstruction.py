@@ -127,12 +127,17 @@ def em_step(
 
 
 def forward(rays: DataFrame, image: DataFrame, mu: DataFrame | None = None, scale: float = 0.5) -> DataFrame:
-    """(lor_id, q): what the image projects on each line, attenuated by exp(-scale * sum of mu); zeros are dropped."""
-    seen = rays.join(image, "vox")
+    """(lor_id, q): what the image projects on each line, attenuated by exp(-scale * sum of mu); zeros are dropped.
+
+    Samples that the image or the map lacks count for neither; rays are never broadcast.
+    """
+    seen, q = rays.join(image, "vox", "left"), F.col("w") * F.col("v")
     if mu is None:
-        sums = seen.groupBy("lor_id").agg(F.sum(F.col("w") * F.col("v")).alias("q"))
+        sums = seen.groupBy("lor_id").agg(F.sum(q).alias("q"))
     else:
-        sums = seen.join(mu, "vox").groupBy("lor_id").agg(F.sum(F.col("w") * F.col("v")).alias("q"), F.sum(F.col("w") * F.col("mu")).alias("a"))
+        both = F.col("v").isNotNull() & F.col("mu").isNotNull()
+        seen = seen.join(mu, "vox", "left")
+        sums = seen.groupBy("lor_id").agg(F.sum(F.when(both, q)).alias("q"), F.sum(F.when(both, F.col("w") * F.col("mu"))).alias("a"))
         sums = sums.select("lor_id", (F.col("q") * F.exp(-scale * F.col("a"))).alias("q"))
     return sums.where("q <> 0")
 
