@@ -43,8 +43,9 @@ def em_distinct_2d(spark, sf_dir):
     """One step on the 32 x 32 image where a line's repeated pixels count once.
 
     Samples are dealt by line once; pixels and sums of a line, and its value for them, need no more.
+    Lines without a number meet none; left out at once, both uses of the samples are the same exchange.
     """
-    seen = sc.samples_of(g.lors(spark, sf_dir), g.NX, g.NY).select("lor_id", (F.col("vox") % 1024).alias("vox"))
+    seen = sc.samples_of(g.lors(spark, sf_dir).where("lor_id IS NOT NULL"), g.NX, g.NY).select("lor_id", (F.col("vox") % 1024).alias("vox"))
     own = seen.repartition("lor_id").distinct().withColumn("w", F.lit(1.0))
     flat = spark.range(1024).select(F.col("id").cast("int").alias("vox"), F.lit(1.0).alias("v"))
     return r.expectation(own, flat).select("vox", g.rounded("f").alias("v"))
